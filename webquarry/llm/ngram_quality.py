@@ -12,8 +12,10 @@ MODEL_ROWS entries: one shard as a rule; with more, the texts stream through one
 the other in the same task, each adding its part of the sums, so no broadcast outgrows that bound.
 
 A document is rejected if its log perplexity is outside the band of its language: from the
-first quartile less 3 interquartile ranges to the third quartile plus 3 of them (at least
-MARGIN on each side), taken over the documents that pass the base rules.
+first quartile less a reach to the third quartile plus it. The quartiles are those of the
+documents that pass the base rules; the reach is 3 interquartile ranges (MARGIN at least),
+times 1.5 at 50 words and falling to a half with the root of the text's length, as the
+scatter of a mean does.
 
 Defined results: a null text is an empty one; an empty text has zero counts, fails the base
 rules and is not kept; a null language is the language ``und``; repeated rows are scored each;
@@ -265,10 +267,12 @@ def quality(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     rows = cut(rows.withColumn("base_failed", failed))
     q = rows.where("NOT base_failed").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10000).alias("q"))
     reach = F.greatest(FENCE * (F.col("q")[1] - F.col("q")[0]), F.lit(MARGIN))
-    bands = q.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    bands = q.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), reach.alias("reach"))
+    own_reach = F.col("reach") * (0.5 + F.sqrt(F.try_divide(F.lit(MIN_WORDS), F.col("n_words"))))
     inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
     # As many rows as there are languages; the join is planned by their measured size.
-    return rows.join(bands, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "lang", "log_ppl", "low", "high")
+    rows = rows.join(bands, "lang", "left").withColumn("low", F.col("q1") - own_reach).withColumn("high", F.col("q3") + own_reach)
+    return rows.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "lang", "log_ppl", "low", "high")
 
 
 def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
