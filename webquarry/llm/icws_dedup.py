@@ -11,10 +11,12 @@ of copies share, and leave only what differs.
 Signatures: each shingle falls into one of 32 bins in each of 16 independent rounds; the ICWS
 minimum of each bin is a sample (empty bins borrow from another bin of the round), so a
 signature of 512 samples costs 16 evaluations a shingle. 64 bands of 8 samples make buckets.
-Exact copies are one node; in buckets of at most SMALL nodes all pairs are verified; in larger
-ones each node is verified against the bucket's first node, the links are joined to
-components, and then all pairs of a bucket whose ends are still in different components and
-whose total weights allow the similarity. So a large group of near copies costs a star in each
+Exact copies are one node; each node of a bucket is verified against the bucket's first node,
+the links are joined to components, and then all pairs of a bucket whose ends are still in
+different components and whose total weights allow the similarity are verified too. In
+buckets of more than CROWD nodes these pairs come from an exact prefix filter instead: both
+texts must share one of their rarest shingles, and what is not rarer than it must have the
+weight of the overlap that the similarity needs. So a large group of near copies costs a star in each
 bucket, and a link that joins two components isn't lost.
 
 Defined results: null texts and texts without a word are classes of their own, never linked;
@@ -41,7 +43,7 @@ THRESHOLD = 0.8
 ROUNDS, BINS = 16, 32
 BANDS, ROWS = 64, 8
 IDF_BITS = 16
-SMALL = 8
+CROWD = 12
 
 _POOL_BITS = 16
 _RNG = np.random.default_rng(5)
@@ -218,6 +220,52 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, sim double")
 
 
+def rare_first_prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(rep, h, before): of each text (rep, text) its rarest shingles, up to 1 - threshold of its weight.
+
+    ``before`` is the weight of the text's shingles that are rarer than h.
+
+    In any one order of all shingles, two sets of weighted Jaccard similarity t share a shingle
+    of both prefixes: what stands before their first common one is not shared, so it has at most
+    1 - t of the weight of each. The order is by the number of these texts with the shingle,
+    counted in 2**18 buckets of its hash.
+    """
+    bits = 18
+    sc = texts.sparkSession.sparkContext
+    table = sc.broadcast(idf)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for i, j in textkit.chunks(batch.column(0)):
+                _, h, _ = weighted_sets(batch.column(0).slice(i, j - i), table.value)
+                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"bucket": at, "n": total[at]})
+
+    found = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << bits, np.int64)
+    often[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    order_of = sc.broadcast(often)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep = batch.column("rep").to_numpy(zero_copy_only=False)
+            for i, j in textkit.chunks(batch.column("text")):
+                doc, h, w = weighted_sets(batch.column("text").slice(i, j - i), table.value)
+                rank = order_of.value[(h >> np.uint64(64 - bits)).astype(np.int64)]
+                order = np.lexsort((h, rank, doc))
+                doc, h, w = doc[order], h[order], w[order].astype(np.float64)
+                total = np.bincount(doc, w, minlength=j - i)
+                before = np.cumsum(w) - w
+                first = np.searchsorted(doc, np.arange(j - i))
+                start = np.append(before, 0.0)[first]
+                keep = before - start[doc] <= (1 - threshold) * total[doc] + 1e-6
+                yield pa.record_batch({"rep": rep[i:j][doc[keep]], "h": textkit.signed(h[keep]), "before": (before - start[doc])[keep]})
+
+    return texts.select("rep", "text").mapInArrow(prefix, "rep long, h long, before double")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Near-duplicate classes: (doc_id, rep, class_id, n_links), one row per id and distinct text.
 
@@ -231,12 +279,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = reps.select("rep", "weight", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = cut(rows.join(buckets, "key"))
-    alike = F.least("wa", "wb") >= F.greatest("wa", "wb") * (threshold - 1e-6)
-    a = members.select("key", "n", F.col("rep").alias("a"), F.col("weight").alias("wa"))
-    b = members.select("key", F.col("rep").alias("b"), F.col("weight").alias("wb"))
-    small = a.where(f"n <= {SMALL}").join(b, "key").where("a < b").where(alike).select("a", "b")
-    star = members.where(f"n > {SMALL} AND rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    pairs = cut(small.union(star).distinct())
+    pairs = cut(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = members.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", *text_key())
     texts = texts.join(reps.select("rep", "h1", "h2").join(wanted, "rep"), ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep"])
@@ -244,15 +287,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = cut(verified(pairs, texts, idf, threshold))
     first = components(links.select("a", "b"))
 
-    # Pairs of the larger buckets whose ends are in different components so far.
-    large = members.where(f"n > {SMALL}").join(first.withColumnRenamed("id", "rep"), "rep", "left")
-    large = cut(large.select("key", "first", "rep", "weight", F.coalesce("label", "rep").alias("label")))
-    mixed = large.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    large = large.join(mixed, "key")
-    a = large.select("key", "first", F.col("rep").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la"))
-    b = large.select("key", F.col("rep").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
-    rest = a.join(b, "key").where("a < b AND la <> lb AND a <> first AND b <> first").where(alike).select("a", "b").distinct()
-    more = cut(verified(rest.join(pairs, ["a", "b"], "left_anti"), texts, idf, threshold))
+    # Pairs of the buckets whose ends are in different components so far.
+    mixed = members.where("n > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left")
+    mixed = cut(mixed.select("key", "n", "first", "rep", "weight", F.coalesce("label", "rep").alias("label")))
+    several = mixed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
+    mixed = cut(mixed.join(several, "key"))
+
+    def across(rows: DataFrame, by: str) -> DataFrame:
+        """Pairs of different components under one key.
+
+        Both texts have what they share behind ``before`` at the latest, and that must reach
+        the overlap that the similarity needs.
+        """
+        a, b = (rows.select(by, F.col("rep").alias(x), F.col("weight").alias(f"w{x}"), F.col("label").alias(f"l{x}"), F.col("before").alias(f"p{x}")) for x in "ab")
+        needed = (F.col("wa") + F.col("wb")) * (threshold / (1 + threshold) - 1e-6)
+        fits = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb")) >= needed
+        return a.join(b, (a[by] == b[by]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b")
+
+    small = across(mixed.where(f"n <= {CROWD} AND rep <> first").withColumn("before", F.lit(0.0)), "key")
+    crowd = cut(mixed.where(f"n > {CROWD}").select("rep", "weight", "label").distinct())
+    marks = rare_first_prefixes(texts.join(crowd, "rep", "left_semi"), idf, threshold)
+    rest = small.union(across(marks.join(crowd, "rep"), "h")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = cut(verified(rest, texts, idf, threshold))
 
     all_links = links.select("a", "b").union(more.select("a", "b"))
     labels = first if more.isEmpty() else components(all_links)
