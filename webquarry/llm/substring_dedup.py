@@ -8,9 +8,10 @@ grow with the square of the corpus. So text and references are brought together
 first: the anchor of a window is the least hash among its nine runs of five words, so equal
 windows have equal anchors. Only anchors of two or more documents matter; the rest of the text
 never leaves its task. Around such an anchor each document gives a span, the run of windows
-that share it; equal spans are one reference with the least id that has it, so a passage that
-a third of all documents repeat is one row. Anchors of very many documents are replaced by
-the windows themselves, which spreads common phrases over all tasks. The references are
+that share it; a task keeps equal spans once, with the least id that it saw, so a passage that
+a third of all documents repeat is a row a task. Anchors of very many documents are replaced by
+the windows themselves, which spreads common phrases over all tasks. Whole copies of a
+document are found by hash before that and need no comparison. The references are
 sharded by anchor; a task builds a suffix automaton for each shard of bounded size, streams
 the shard's spans through it in the order of their ids, takes the matching statistics (the
 longest suffix known from smaller ids at each word) and marks the windows where they reach
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.llm import textkit
+from webquarry.llm.shared import text_key
 
 WINDOW = 13
 GRAM = 5
@@ -137,27 +139,16 @@ def _marks(shard: list[tuple[int, str]], window: int) -> list[int]:
     return out
 
 
-def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, h1, text) with repeated windows: their first words and bit marks.
+def _digests(words: str) -> tuple[int, int]:
+    both = hashlib.blake2b(words.encode(), digest_size=16).digest()
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
-    Columns doc_id, h1, spans array<struct<start, mask>>.
-    """
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in textkit.chunks(texts):
-                w = textkit.words(texts.slice(i, j - i))
-                at, anchor = _anchors(w, window)
-                if not len(at):
-                    continue
-                doc = w.doc[at]
-                first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-                doc, anchor = doc[first], anchor[first]
-                order = np.lexsort((anchor, doc))
-                doc, anchor = doc[order], anchor[order]
-                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-                yield pa.record_batch({"anchor": textkit.signed(anchor[new]), "doc_id": ids[i:j][doc[new]]})
+def _spans(docs: DataFrame, window: int) -> DataFrame:
+    """Occurrences of spans in ``docs`` (doc_id, h1, text, shared, common): (key, th, doc_id, h1, start, count, span).
+
+    ``shared``: anchors of other documents too; ``common``: those of very many.
+    """
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,65 +157,135 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
             for i, j in textkit.chunks(texts):
                 w = textkit.words(texts.slice(i, j - i))
                 at, anchor = _anchors(w, window)
-                key, start, count, text, row = [], [], [], [], []
+                anchor = textkit.signed(anchor)
+                rows: list[tuple[int, int, int, int, str, int]] = []
                 edges = np.searchsorted(w.doc[at], np.arange(j - i + 1))
                 for d in range(j - i):
-                    here, its = at[edges[d] : edges[d + 1]], textkit.signed(anchor[edges[d] : edges[d + 1]])
+                    here, its = at[edges[d] : edges[d + 1]], anchor[edges[d] : edges[d + 1]]
                     if not len(here):
                         continue
                     known = np.isin(its, shared[i + d].values.to_numpy())
                     frequent = np.isin(its, common[i + d].values.to_numpy())
-                    first = known & np.concatenate([[True], its[1:] != its[:-1]])
-                    run = np.flatnonzero(first)
-                    stop = np.flatnonzero(known & np.concatenate([its[1:] != its[:-1], [True]])) + 1
-                    for a, b in zip(run, stop, strict=True):
+                    turn = its[1:] != its[:-1]
+                    run = np.flatnonzero(known & np.concatenate([[True], turn]))
+                    stop = np.flatnonzero(known & np.concatenate([turn, [True]])) + 1
+                    for a, b in zip(run.tolist(), stop.tolist(), strict=True):
                         step = 1 if frequent[a] else SPAN_WINDOWS
                         for s in range(a, b, step):
                             e = min(b, s + step)
-                            first_word = int(here[s])
-                            words = w.text(first_word, first_word + (e - s) + window - 1)
-                            key.append(_window_key(words) if frequent[a] else int(its[a]))
-                            start.append(first_word - int(w.first[d]))
-                            count.append(e - s)
-                            text.append(words)
-                            row.append(i + d)
-                if row:
+                            first = int(here[s])
+                            words = w.text(first, first + (e - s) + window - 1)
+                            key, th = _digests(words)
+                            rows.append((key if frequent[a] else int(its[a]), th, first - int(w.first[d]), e - s, words, i + d))
+                if rows:
+                    key, th, start, count, text, row = zip(*rows, strict=True)
                     take = pa.array(row)
-                    yield pa.record_batch({"key": pa.array(key, pa.int64()), "doc_id": ids.take(take), "h1": h1.take(take), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32()), "span": pa.array(text, pa.string())})
+                    yield pa.record_batch({"key": pa.array(key, pa.int64()), "th": pa.array(th, pa.int64()), "doc_id": ids.take(take), "h1": h1.take(take), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32()), "span": pa.array(text, pa.string())})
+
+    return docs.select("doc_id", "h1", "text", "shared", "common").mapInArrow(spans, "key long, th long, doc_id long, h1 long, start int, count int, span string")
+
+
+def _combined(occurrences: DataFrame, most: int = 100_000) -> DataFrame:
+    """(key, th, first_doc, span): each task's distinct spans with the least id that the task saw."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[int, str]] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys, values = list(held), list(held.values())
+            held.clear()
+            return pa.record_batch({"key": pa.array([k[0] for k in keys], pa.int64()), "th": pa.array([k[1] for k in keys], pa.int64()), "first_doc": pa.array([v[0] for v in values], pa.int64()), "span": pa.array([v[1] for v in values], pa.string())})
+
+        for batch in batches:
+            for key, th, doc, span in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "doc_id", "span")), strict=True):
+                known = held.get((key, th))
+                if known is None or doc < known[0]:
+                    held[key, th] = (doc, span)
+            if len(held) >= most:
+                yield flush()
+        yield flush()
+
+    return occurrences.select("key", "th", "doc_id", "span").mapInArrow(combine, "key long, th long, first_doc long, span string")
+
+
+def _marked(references: DataFrame, window: int) -> DataFrame:
+    """(key, th, first_doc, mask): every distinct span with its least id and the marks of its windows."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, str]] = []
-        words = 0
+        shard: list[tuple[int, int, int, str]] = []  # spans of anchors with several
+        done: list[tuple[int, int, int, int]] = []
+        group: dict[int, tuple[int, str]] = {}
+        now, words = None, 0
+
+        def close() -> int:
+            if len(group) == 1:
+                ((th, (doc, _)),) = group.items()
+                done.append((now, th, doc, 0))
+                return 0
+            shard.extend((now, th, doc, span) for th, (doc, span) in group.items())
+            return sum(span.count(" ") + 1 for _, span in group.values())
 
         def flush() -> pa.RecordBatch:
-            found = _marks([(x[2], x[3]) for x in held], window)
-            return pa.record_batch({"key": pa.array([x[0] for x in held], pa.int64()), "th": pa.array([x[1] for x in held], pa.int64()), "first_doc": pa.array([x[2] for x in held], pa.int64()), "mask": pa.array(found, pa.int64())})
+            marks = _marks([(x[2], x[3]) for x in shard], window)
+            rows = done + [(x[0], x[1], x[2], m) for x, m in zip(shard, marks, strict=True)]
+            shard.clear()
+            done.clear()
+            return pa.record_batch({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(("key", "th", "first_doc", "mask"))})
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "first_doc", "span")), strict=True):
-                if words >= SHARD_WORDS and row[0] != held[-1][0]:
-                    yield flush()
-                    held, words = [], 0
-                held.append(row)
-                words += row[3].count(" ") + 1
-        if held:
-            yield flush()
-
-    seen = docs.select("doc_id", "text").mapInArrow(anchors, "anchor long, doc_id long")
-    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("n")).where("d0 < d1").select("anchor", (F.col("n") > hot).alias("hot"))
+            for key, th, doc, span in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "first_doc", "span")), strict=True):
+                if key != now:
+                    if group:
+                        words += close()
+                        group.clear()
+                    now = key
+                    if words >= SHARD_WORDS or len(done) >= 50_000:
+                        yield flush()
+                        words = 0
+                known = group.get(th)
+                if known is None or doc < known[0]:
+                    group[th] = (doc, span)
+        if group:
+            close()
+        yield flush()
+
+    return references.repartition("key").sortWithinPartitions("key").mapInArrow(match, "key long, th long, first_doc long, mask long")
+
+
+def _seen_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, doc_id), each anchor of a document once."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for i, j in textkit.chunks(texts):
+                w = textkit.words(texts.slice(i, j - i))
+                at, anchor = _anchors(w, window)
+                if not len(at):
+                    continue
+                doc = w.doc[at]
+                turn = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+                doc, anchor = doc[turn], anchor[turn]
+                _, once = np.unique(textkit.mix(anchor + doc.astype(np.uint64)), return_index=True)
+                yield pa.record_batch({"anchor": textkit.signed(anchor[once]), "doc_id": ids[i:j][doc[once]]})
+
+    return docs.select("doc_id", "text").mapInArrow(anchors, "anchor long, doc_id long")
+
+
+def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """Per id of ``docs`` (doc_id, h1, text) with windows to remove: spans array<struct<h1, start, mask>>.
+
+    All joins with the texts are by doc_id alone, so that one exchange of them serves all.
+    """
+    seen = _seen_anchors(docs, window)
+    shared = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
     # As many anchors as the document has runs of windows at most.
     by_doc = seen.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("common"))
-    occurrences = docs.join(by_doc, "doc_id").select("doc_id", "h1", "text", "shared", "common").mapInArrow(spans, "key long, doc_id long, h1 long, start int, count int, span string")
-    occurrences = occurrences.withColumn("th", F.xxhash64("span"))
-    references = occurrences.groupBy("key", "th").agg(F.min("doc_id").alias("first_doc"), F.first("span").alias("span"))
-    marked = references.repartition("key").sortWithinPartitions("key", "first_doc").mapInArrow(match, "key long, th long, first_doc long, mask long")
+    occurrences = _spans(docs.join(by_doc, "doc_id"), window)
+    marked = _marked(_combined(occurrences), window)
     every = F.expr("shiftleft(1L, count) - 1")
     found = occurrences.drop("span").join(marked, ["key", "th"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first_doc"), every).otherwise(F.col("mask")))
-    return found.where("mask <> 0").groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
-
-
-def _window_key(words: str) -> int:
-    return int.from_bytes(hashlib.blake2b(words.encode(), digest_size=8).digest(), "big", signed=True)
+    return found.where("mask <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "start", "mask")).alias("spans"))
 
 
 def _covered(n: int, starts: list[int], masks: list[int], window: int) -> np.ndarray:
@@ -247,23 +308,32 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, total, gone = [], [], []
-            for value, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for value, h1, copy, spans in zip(*(batch.column(c) for c in ("text", "h1", "copy", "spans")), strict=True):
                 whole = value.as_py()
                 words = [] if whole is None else whole.encode().split()
                 lost = 0
-                if spans.is_valid:
-                    out = _covered(len(words), spans.values.field("start").to_pylist(), spans.values.field("mask").to_pylist(), window)
+                if copy.as_py():
+                    lost = len(words) if len(words) >= window else 0
+                    whole = whole if not lost else ""
+                elif spans.is_valid:
+                    mine = [x for x in spans.as_py() if x["h1"] == h1.as_py()]
+                    out = _covered(len(words), [x["start"] for x in mine], [x["mask"] for x in mine], window)
                     lost = int(out.sum())
-                    whole = b" ".join(x for x, o in zip(words, out.tolist(), strict=True) if not o).decode()
+                    whole = whole if not lost else b" ".join(x for x, o in zip(words, out.tolist(), strict=True) if not o).decode()
                 text.append(whole)
                 total.append(len(words))
                 gone.append(lost)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(text, pa.string())})
 
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h1"))
-    found = removed_windows(keyed, window, hot)
-    joined = keyed.join(found, ["doc_id", "h1"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    key = text_key()
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", key[0])
+    hashed = docs.select(F.col("doc_id").cast("long"), *key)
+    # Whole copies of a text with a smaller id lose every window; only the first of them is looked into.
+    first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = hashed.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("copies"))
+    rows = keyed.join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("h1")), F.lit(False))).drop("copies")
+    found = removed_windows(rows.where("NOT copy"), window, hot)
+    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
