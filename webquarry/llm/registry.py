@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webquarry.llm import hilbert_shards, icws_dedup, substring_dedup, bpe_prefix, ngram_quality, decontaminate, url_digests, language_fusion, licence_digests
+from webquarry.llm import hilbert_shards, icws_dedup, substring_dedup, bpe_prefix, ngram_quality, decontaminate, url_digests, language_fusion, licence_digests, crf_extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (hilbert_shards, icws_dedup, substring_dedup, bpe_prefix, ngram_quality, decontaminate, url_digests, language_fusion, licence_digests):
+for module in (hilbert_shards, icws_dedup, substring_dedup, bpe_prefix, ngram_quality, decontaminate, url_digests, language_fusion, licence_digests, crf_extract):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
