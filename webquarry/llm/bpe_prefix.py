@@ -181,17 +181,33 @@ class Pieces(dict):
         return out[::-1]
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text): doc_id, n_tokens, ids array<int>, decoded binary."""
+def tokenized(docs: DataFrame, path: str, pattern: str, rows: int = 256) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text): doc_id, n_tokens, ids array<int>, round_trip (decoding gives the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         find, pieces = regex.compile(pattern).findall, Pieces(bpe)
         for batch in batches:
-            ids = [[i for p in find(text or "") for i in pieces[p]] for text in batch.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(map(bpe.decode, ids), pa.binary())})
+            for start in range(0, len(batch), rows):
+                part = batch.slice(start, rows)
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                ids = [[i for p in find(text) for i in pieces[p]] for text in texts]
+                same = [bpe.decode(x) == text.encode() for x, text in zip(ids, texts, strict=True)]
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "round_trip": pa.array(same)})
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
+def decoded(tokens: DataFrame, path: str) -> DataFrame:
+    """Every row of ``tokens`` (doc_id, ids array<int>): doc_id, data binary; null ids are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            data = [bpe.decode(ids.as_py() or []) for ids in batch.column("ids")]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "data": pa.array(data, pa.binary())})
+
+    return tokens.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

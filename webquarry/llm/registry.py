@@ -6,11 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webquarry.llm import hilbert_shards, icws_dedup, substring_dedup, bpe_prefix, ngram_quality, decontaminate, url_digests, language_fusion, licence_digests, crf_extract
+import corpus_pipeline
+from webquarry.llm import (
+    bpe_prefix,
+    crf_extract,
+    decontaminate,
+    hilbert_shards,
+    icws_dedup,
+    language_fusion,
+    licence_digests,
+    ngram_quality,
+    substring_dedup,
+    url_digests,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (hilbert_shards, icws_dedup, substring_dedup, bpe_prefix, ngram_quality, decontaminate, url_digests, language_fusion, licence_digests, crf_extract):
+for module in (hilbert_shards, licence_digests, ngram_quality, language_fusion, icws_dedup, substring_dedup, crf_extract, bpe_prefix, url_digests, decontaminate):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
