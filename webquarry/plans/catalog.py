@@ -172,10 +172,15 @@ def u8_frontier(spark, sf_dir):  # noqa: ANN001, ANN201
     return crawl.frontier(_Tables(spark, sf_dir).pages.select(U.root(F.col("url")).alias("base")).distinct())
 
 
-@query(None)
+_MORE_LINKS = "concat(html, '<a href=\"/contact\">c</a><a href=\"/services/', CAST(page_id % 3 AS STRING), '\">s</a><a href=\"/blog\">b</a>')"
+_BASE = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)"
+
+
+@query(f"SELECT DISTINCT url, {_BASE} || link AS link, CAST(priority AS INTEGER) AS priority FROM (SELECT url, unnest(['/contact', '/services/' || CAST(page_id % 3 AS STRING)]) AS link, unnest([10, 4]) AS priority FROM pages)")
 def u9_links(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Internal links worth following."""
-    return crawl.links(_Tables(spark, sf_dir).pages)
+    """Internal links worth following of pages with some more links."""
+    pages = _Tables(spark, sf_dir).pages
+    return crawl.links(pages.select("url", F.expr(_MORE_LINKS).alias("html")))
 
 
 # Contacts
