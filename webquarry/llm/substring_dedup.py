@@ -19,7 +19,7 @@ longest suffix known from smaller ids at each word) and marks the windows where
 
 Defined results: null texts and texts of fewer than 13 words lose nothing; repeated windows
 inside one document are kept; rows with one doc_id are one document for the comparison, and
-each such row gets its own result; an empty table gives an empty result; further columns are
+each such row gets its own result; rows without an id are one document before all others; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -39,6 +39,7 @@ from webquarry.llm.shared import text_key
 WINDOW = 13
 GRAM = 5
 HOT = 500
+NO_ID = -(1 << 63)
 SPAN_WINDOWS = 48
 SHARD_WORDS = 20_000
 
@@ -326,14 +327,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(text, pa.string())})
 
     key = text_key()
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", key[0])
-    hashed = docs.select(F.col("doc_id").cast("long"), *key)
+    # Never null, so that no join adds a filter and the exchange of the texts is the same in all of them.
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    keyed = docs.select(own_id, "text", key[0])
+    hashed = docs.select(own_id, *key)
     # Whole copies of a text with a smaller id lose every window; only the first of them is looked into.
     first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = hashed.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("copies"))
     rows = keyed.join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("h1")), F.lit(False))).drop("copies")
     found = removed_windows(rows.where("NOT copy"), window, hot)
-    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
