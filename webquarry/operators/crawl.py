@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
 from webquarry.functions import contacts as C
+from webquarry.functions import documents as D
 from webquarry.functions import urls as U
 
 
@@ -38,6 +39,14 @@ def page_contacts(pages: DataFrame, html: str = "html") -> DataFrame:
     return texts.withColumn("info", C.contact_info(F.col("content"), F.col(html)))
 
 
+def linked_data_contacts(pages: DataFrame) -> DataFrame:
+    """(page_id, contact_type, value) from linked-data scripts of pages; only pages with one reach Python."""
+    scripts = F.regexp_extract_all("html", F.lit(D.LINKED_DATA), F.lit(1))
+    rows = pages.where(F.col("html").rlike(r"(?i)application/ld\+json")).select("page_id", F.explode(D.linked_data(scripts)).alias("c"))
+    rows = rows.select("page_id", "c.contact_type", "c.value")
+    return rows.where((F.col("contact_type") != "email") | C.is_business_email(F.col("value")))
+
+
 def host_contacts(pages: DataFrame) -> DataFrame:
     """Contacts per host over all its pages (url, html): lists, sorted and each once, and the confidence."""
     rows = page_contacts(pages).withColumn("host", U.host(F.col("url")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webquarry import fixed_values as V
 from webquarry.bridge import TABLES, oracle, physical, table
 from webquarry.functions import contacts as C
+from webquarry.functions import documents as D
 from webquarry.functions import urls as U
 from webquarry.operators import crawl, metrics, reports, tasks
 from webquarry.sources import serp, sinks
@@ -586,3 +587,177 @@ def k5_append_new(spark, sf_dir):  # noqa: ANN001, ANN201
     """Search results that aren't stored yet."""
     r = _Tables(spark, sf_dir).search_results
     return sinks.append_new(r.where("id % 3 = 0"), r.where("id % 2 = 0"), ["keyword_id", "url"]).select("id", "url")
+
+
+# More of the inventory: each a short plan over the logical tables
+
+
+@query("SELECT form_id, keyword, pos FROM (SELECT form_id, pos, keyword, row_number() OVER (PARTITION BY keyword ORDER BY form_id, pos) AS n FROM (SELECT form_id, pos, substr(trim(translate(line, '<>\"''', '')), 1, 500) AS keyword FROM (SELECT conv_id * 1000 + turn AS form_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS pos FROM conversations)) WHERE keyword <> '') WHERE n = 1 AND keyword NOT IN (SELECT lower(n_name) FROM nation)")
+def s3_new_keywords(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Lines of forms as new keywords, each once at its first place."""
+    t = _Tables(spark, sf_dir)
+    forms = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("form_id"), "text")
+    return serp.new_keywords(forms, t.keywords)
+
+
+@query("SELECT page_id, page_id % 2 <> 0 AS allowed FROM pages")
+def s18_robots(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Whether a path is allowed by the rules of a robots text."""
+    text = F.concat(F.lit("User-agent: *\nDisallow: /private*\nDisallow:\nDisallow: /even"), (F.col("page_id") % 2).cast("string"))
+    rules = _Tables(spark, sf_dir).pages.select("page_id", serp.robots_rules(text).alias("r"))
+    return rules.select("page_id", serp.is_allowed(F.lit("/even0"), F.col("r.disallow")).alias("allowed"))
+
+
+@query("SELECT page_id, 'https://a.example/' || page_id AS loc FROM pages")
+def s17_sitemaps(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Locations of sitemaps without media."""
+    xml = F.expr("concat('<urlset><url><loc> https://a.example/', CAST(page_id AS STRING), ' </loc></url><url><loc>https://a.example/x.pdf</loc></url></urlset>')")
+    return _Tables(spark, sf_dir).pages.select("page_id", F.explode(serp.sitemap_urls(xml)).alias("loc"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a' || conv_id || '@acme.example' ELSE '' END AS emails FROM conversations")
+def x22_model_replies(spark, sf_dir):  # noqa: ANN001, ANN201
+    """E-mails in replies of a model, some of them no JSON."""
+    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('Sure: {"emails": ["a'), F.col("conv_id").cast("string"), F.lit('@acme.example"]} done'))).otherwise("[1]")
+    return _Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.array_join(serp.llm_contacts(reply)["emails"], " ").alias("emails"))
+
+
+@query("SELECT page_id, 'email' AS contact_type, 'ld' || page_id || '@acme.example' AS value FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'telegram', 'https://t.me/x' FROM pages WHERE page_id % 3 = 0")
+def x17_linked_data(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Contacts in linked-data scripts, at any depth."""
+    script = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"a": {"email": "LD'), F.col("page_id").cast("string"), F.lit('@acme.example"}}, {"sameAs": ["https://t.me/x"]}]}</script>'))
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", script)).otherwise(F.col("html"))
+    return crawl.linked_data_contacts(_Tables(spark, sf_dir).pages.select("page_id", html.alias("html")))
+
+
+@query("SELECT event_id, '{\"api_key\": \"***\", \"k\": ' || event_id || '}' AS clean FROM events")
+def p4_sanitised(spark, sf_dir):  # noqa: ANN001, ANN201
+    """JSON without secrets."""
+    text = F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit(', "api_key": "x"}'))
+    return _Tables(spark, sf_dir).events.select("event_id", D.sanitise(text).alias("clean"))
+
+
+@query("SELECT keyword_id, count(*) AS results FROM search_results GROUP BY keyword_id", "search_results")
+def a19_results_per_keyword(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Results of each keyword."""
+    return _Tables(spark, sf_dir).search_results.groupBy("keyword_id").agg(F.count("*").alias("results"))
+
+
+_MINUTES = "date_diff('second', locked_at, TIMESTAMP '1998-12-01') // 60"
+
+
+@query(f"SELECT CAST(max({_MINUTES}) AS BIGINT) AS oldest_minutes, count(*) AS locked FROM task_queue WHERE locked_at IS NOT NULL AND status = 'running'", "task_queue")
+def a20_oldest_lock(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Age of the oldest lock."""
+    minutes = F.expr("timestampdiff(MINUTE, locked_at, TIMESTAMP '1998-12-01')")
+    return _Tables(spark, sf_dir).task_queue.where("locked_at IS NOT NULL AND status = 'running'").agg(F.max(minutes).alias("oldest_minutes"), F.count("*").alias("locked"))
+
+
+@query("SELECT count(DISTINCT keyword_id) AS keywords FROM task_queue WHERE status IN ('pending', 'running')", "task_queue")
+def a21_keywords_in_progress(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Keywords with open tasks."""
+    return _Tables(spark, sf_dir).task_queue.where(F.col("status").isin("pending", "running")).agg(F.countDistinct("keyword_id").alias("keywords"))
+
+
+@query("SELECT count(DISTINCT d.domain) AS domains, count(DISTINCT d.domain) FILTER (c.contact_type = 'email') AS with_email, CAST(round(count(DISTINCT d.domain) FILTER (c.contact_type = 'email') * 100.0 / count(DISTINCT d.domain), 1) AS DOUBLE) AS yield_pct FROM domain_contacts d LEFT JOIN contacts c ON c.domain_contact_id = d.id", "domain_contacts", "contacts")
+def a25_email_yield(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Domains with e-mail and their share."""
+    t = _Tables(spark, sf_dir)
+    rows = t.domain_contacts.select(F.col("id").alias("domain_contact_id"), "domain").join(t.contacts.select("domain_contact_id", "contact_type"), "domain_contact_id", "left")
+    out = rows.agg(F.countDistinct("domain").alias("domains"), F.countDistinct(F.when(F.col("contact_type") == "email", F.col("domain"))).alias("with_email"))
+    return out.withColumn("yield_pct", metrics.rate(F.col("with_email"), F.col("domains"), digits=1))
+
+
+@query("SELECT task_type, count(*) FILTER (status = 'failed') AS failed FROM task_queue GROUP BY task_type", "task_queue")
+def a26_failed_by_type(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Failed tasks by type."""
+    return _Tables(spark, sf_dir).task_queue.groupBy("task_type").agg(F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+@query("SELECT max(id) + 1 AS next_id FROM contacts", "contacts")
+def a27_next_id(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The next free id."""
+    return _Tables(spark, sf_dir).contacts.agg((F.max("id") + 1).alias("next_id"))
+
+
+@query("SELECT count(*) FILTER (contact_type = 'email') AS emails, count(*) FILTER (contact_type = 'email' AND is_verified) AS verified, CAST(coalesce(round(count(*) FILTER (contact_type = 'email' AND is_verified) * 100.0 / nullif(count(*) FILTER (contact_type = 'email'), 0), 2), 0.0) AS DOUBLE) AS verified_pct FROM contacts", "contacts")
+def a29_verified(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Verified e-mail addresses and their share."""
+    mail = F.col("contact_type") == "email"
+    out = _Tables(spark, sf_dir).contacts.agg(F.count_if(mail).alias("emails"), F.count_if(mail & F.col("is_verified")).alias("verified"))
+    return out.withColumn("verified_pct", metrics.rate(F.col("verified"), F.col("emails")))
+
+
+@query("SELECT count(*) AS contact_rows FROM contacts c WHERE c.domain_contact_id IN (SELECT id FROM domain_contacts WHERE created_at >= TIMESTAMP '2024-01-29')", "contacts", "domain_contacts")
+def j13_recent_contact_rows(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Contacts of recent domains."""
+    t = _Tables(spark, sf_dir)
+    recent = t.domain_contacts.where("created_at >= TIMESTAMP '2024-01-29'").select(F.col("id").alias("domain_contact_id"))
+    return t.contacts.join(recent, "domain_contact_id", "left_semi").agg(F.count("*").alias("contact_rows"))
+
+
+@query(f"WITH r AS (SELECT id, url, {_root('url')} AS root FROM search_results), c AS (SELECT id AS cand, CASE WHEN id % 2 = 0 THEN url ELSE {_root('url')} END AS u FROM search_results), x AS (SELECT url, max(id) AS id FROM r GROUP BY url), y AS (SELECT root, min(id) AS id FROM r GROUP BY root) SELECT c.cand, coalesce(x.id, y.id) AS result_id FROM c LEFT JOIN x ON c.u = x.url LEFT JOIN y ON c.u = y.root", "search_results")
+def j14_candidate_rows(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The stored result of each candidate URL: the last with this URL, else the first with this root."""
+    r = _Tables(spark, sf_dir).search_results.select("id", "url", U.root(F.col("url")).alias("root"))
+    cand = r.select(F.col("id").alias("cand"), F.when(F.col("id") % 2 == 0, F.col("url")).otherwise(F.col("root")).alias("u"))
+    exact = r.groupBy(F.col("url").alias("u")).agg(F.max("id").alias("exact"))
+    roots = r.groupBy(F.col("root").alias("u")).agg(F.min("id").alias("by_root"))
+    return cand.join(exact, "u", "left").join(roots, "u", "left").select("cand", F.coalesce("exact", "by_root").alias("result_id"))
+
+
+@query("SELECT id, error_message, duration_seconds FROM crawl_logs WHERE error_message ILIKE '%timeout%' AND crawled_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'", "crawl_logs")
+def f5_timeouts(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Timeouts in a closed range of time."""
+    logs = _Tables(spark, sf_dir).crawl_logs.where("crawled_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'")
+    return logs.where(metrics.is_timeout(F.col("error_message"))).select("id", "error_message", "duration_seconds")
+
+
+@query(f"SELECT id, CAST({_MINUTES} AS BIGINT) AS minutes FROM task_queue WHERE status = 'running' ORDER BY minutes DESC, id LIMIT 10", "task_queue")
+def o9_longest_running(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The longest running tasks."""
+    minutes = F.expr("timestampdiff(MINUTE, locked_at, TIMESTAMP '1998-12-01')")
+    return _Tables(spark, sf_dir).task_queue.where("status = 'running'").select("id", minutes.alias("minutes")).orderBy(F.desc("minutes"), "id").limit(10)
+
+
+@query("SELECT run_id, keyword_id, status, websites_processed, contacts_found FROM (SELECT *, row_number() OVER (PARTITION BY run_id, keyword_id ORDER BY id DESC) AS n FROM pipeline_state) WHERE n = 1", "pipeline_state")
+def t12_progress(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The last state of each keyword in each run."""
+    return tasks.latest_per_key(_Tables(spark, sf_dir).pipeline_state, ("run_id", "keyword_id"), F.desc("id")).select("run_id", "keyword_id", "status", "websites_processed", "contacts_found")
+
+
+@query("SELECT run_id, with_contacts_pct, zero_page_pct, failures, CAST(CASE WHEN with_contacts_pct < 20 OR zero_page_pct > 60 OR failures > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code FROM (SELECT run_id, CAST(round(count(*) FILTER (contacts_found > 0) * 100.0 / count(*), 2) AS DOUBLE) AS with_contacts_pct, CAST(round(count(*) FILTER (websites_processed = 0) * 100.0 / count(*), 2) AS DOUBLE) AS zero_page_pct, count(*) FILTER (status = 'failed' AND keyword_id % 5 = 0) AS failures FROM pipeline_state GROUP BY run_id)", "pipeline_state")
+def g3_weekly_gate(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The weekly gate of every run."""
+    n = F.count("*")
+    counts = [metrics.rate(F.count_if(F.expr(test)), n).alias(name) for name, test in (("with_contacts_pct", "contacts_found > 0"), ("zero_page_pct", "websites_processed = 0"))]
+    failures = F.count_if(F.expr("status = 'failed' AND keyword_id % 5 = 0")).alias("failures")
+    return metrics.weekly_gate(_Tables(spark, sf_dir).pipeline_state.groupBy("run_id").agg(*counts, failures))
+
+
+@query("WITH v AS (SELECT event_type AS metric, CAST(count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS DOUBLE) AS b, CAST(count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS DOUBLE) AS a FROM events GROUP BY event_type) SELECT metric, b AS before, a AS after, a - b AS delta, CASE WHEN a >= b THEN 'improved' ELSE 'regressed' END AS verdict FROM v")
+def g4_report_delta(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Differences of two reports."""
+    e = _Tables(spark, sf_dir).events
+    early = F.expr("ts < TIMESTAMP '2024-01-15'")
+    old, new = (e.groupBy(F.col("event_type").alias("metric")).agg(F.count_if(test).cast("double").alias("value")) for test in (early, ~early))
+    return metrics.report_delta(old, new)
+
+
+@query("SELECT doc_id, array_to_string(list_slice(list_filter([source, 'B2B', 'saas', lang, 'iot'], lambda t: lower(t) NOT IN ('b2b', 'company', 'business', 'website')), 1, 3), ', ') AS subject FROM documents")
+def p8_subject_area(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Subject areas from tags."""
+    tags = F.array("source", F.lit("B2B"), F.lit("saas"), "lang", F.lit("iot"))
+    return _Tables(spark, sf_dir).documents.select("doc_id", C.subject_area(tags).alias("subject"))
+
+
+@query("SELECT id, domain, status_code, pages_crawled, CASE WHEN pages_crawled = 0 THEN error_message END AS error_message FROM crawl_logs", "crawl_logs")
+def k7_crawl_log_rows(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Log rows with the error only where no page came."""
+    return _Tables(spark, sf_dir).crawl_logs.select("id", "domain", "status_code", "pages_crawled", F.when(F.col("pages_crawled") == 0, F.col("error_message")).alias("error_message"))
+
+
+@query("SELECT id FROM crawl_logs WHERE crawled_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY", "crawl_logs")
+def k16_log_retention(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Logs that the retention rule keeps."""
+    return _Tables(spark, sf_dir).crawl_logs.where("crawled_at >= TIMESTAMP '2024-01-31' - INTERVAL '7' DAY").select("id")
