@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class PrefixBpe:
@@ -139,22 +139,23 @@ def load(path: str) -> PrefixBpe:
 
 
 class Pieces(dict):
-    """Encodings of the pieces seen so far, over one table of the last tokens of their prefixes.
+    """What is made of the ids of the pieces seen so far, over one table of the last tokens of their prefixes.
 
-    Pieces that begin alike share the table's entries. Both are emptied when they are full.
+    Pieces that begin alike share the table's entries. Either is emptied when it is full.
     """
 
-    def __init__(self, bpe: PrefixBpe, most: int = CACHE_WORDS) -> None:
+    def __init__(self, bpe: PrefixBpe, made: Callable[[list[int]], tuple] = tuple, most: int = CACHE_WORDS) -> None:
         super().__init__()
-        self.bpe, self.most = bpe, most
+        self.bpe, self.made, self.most = bpe, made, most
         self.last: dict[bytes, int] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= self.most or len(self.last) >= 2 * self.most:
+    def __missing__(self, piece: str) -> tuple:
+        if len(self) >= self.most:
             self.clear()
+        if len(self.last) >= 2 * self.most:
             self.last.clear()
-        self[piece] = ids = tuple(self._encode(piece.encode("utf-8")))
-        return ids
+        self[piece] = made = self.made(self._encode(piece.encode("utf-8")))
+        return made
 
     def _encode(self, data: bytes) -> list[int]:
         own = self.bpe.ranks.get(data)
@@ -215,14 +216,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        find, pieces, name = regex.compile(pattern).findall, Pieces(bpe), {v: str(v).encode() for v in bpe.bytes}
+        name = {v: str(v).encode() for v in bpe.bytes}
+        made = lambda ids: (len(ids), b" ".join(map(name.__getitem__, ids)), bpe.decode(ids))
+        find, pieces = regex.compile(pattern).findall, Pieces(bpe, made)
         for batch in batches:
             count, ids_sha, decoded_sha = [], [], []
             for text in batch.column("text"):
-                ids = [i for p in find(text.as_py() or "") for i in pieces[p]]
-                count.append(len(ids))
-                ids_sha.append(hashlib.sha256(b" ".join(map(name.__getitem__, ids))).hexdigest())
-                decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                parts = [pieces[p] for p in find(text.as_py() or "")]
+                n, ids, data = zip(*parts, strict=True) if parts else ((), (), ())
+                count.append(sum(n))
+                ids_sha.append(hashlib.sha256(b" ".join(ids)).hexdigest())
+                decoded_sha.append(hashlib.sha256(b"".join(data)).hexdigest())
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
