@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ P_DECLARED = 0.9
 P_SUFFIX = 0.8
 HOST_STRENGTH = 10.0
 MIN_POSTERIOR = 0.5
+BROADCAST_HOSTS = 100_000
 #: Languages of address suffixes.
 SUFFIXES = {"at": "de", "au": "en", "de": "de", "es": "es", "fr": "fr", "mx": "es", "uk": "en", "us": "en"}
 
@@ -56,11 +58,11 @@ def _buckets(texts: pa.Array) -> tuple[textkit.Words, object, np.ndarray]:
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (bucket, language) of the bounded sample of (id, text, declared)."""
     labelled = rows.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0) & (F.col("declared") != ""))
-    sample = labelled.select("text", "declared", F.xxhash64("id").alias("h")).orderBy("h", "declared", "text").limit(TRAIN_ROWS).toPandas()
-    langs = sorted(sample["declared"].unique())
+    sample = labelled.select("text", "declared", F.xxhash64("id").alias("h")).orderBy("h", "declared", "text").limit(TRAIN_ROWS).toArrow()
+    langs = sorted(sample.column("declared").unique().to_pylist())
     counts = np.full((1 << BUCKET_BITS, max(1, len(langs))), 0.1)
     for k, lang in enumerate(langs):
-        texts = pa.array(sample["text"][sample["declared"] == lang], pa.string())
+        texts = sample.filter(pc.equal(sample.column("declared"), lang)).column("text").combine_chunks()
         for i, j in textkit.chunks(texts):
             _, v, bucket = _buckets(texts.slice(i, j - i))
             counts[:, k] += np.bincount(bucket, np.repeat(v.times, v.size), minlength=1 << BUCKET_BITS)
@@ -133,7 +135,10 @@ def identify(rows: DataFrame) -> DataFrame:
         return F.when(F.col(name).isin(langs), right).otherwise(F.lit(0.0))
 
     flat = F.array(*[F.lit(1 / n)] * n)
-    joined = seen.join(priors, "host", "left").withColumn("prior", F.coalesce("prior", flat))
+    # Few hosts are sent to all tasks; many are joined by a shuffle, in which Spark splits hot hosts.
+    priors = cut(priors)
+    small = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    joined = seen.join(F.broadcast(priors) if small else priors, "host", "left").withColumn("prior", F.coalesce("prior", flat))
     scores = [F.col("evidence")[k] + told("declared", lang, P_DECLARED) + told("suffix", lang, P_SUFFIX) + F.log(F.col("prior")[k]) for k, lang in enumerate(langs)]
     joined = joined.select("id", "declared", "lettered", F.array(*scores).alias("s"))
     posterior = _normalised([F.col("s")[k] for k in range(n)])
