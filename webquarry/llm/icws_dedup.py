@@ -82,9 +82,9 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def idf_table(docs: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequencies by word bucket: 2**16 numbers."""
     n = docs.count()
-    found = document_frequencies(docs).toPandas()
+    found = document_frequencies(docs).toArrow()
     df = np.zeros(1 << IDF_BITS)
-    df[found["bucket"].to_numpy(dtype=np.int64)] = found["df"].to_numpy(dtype=np.float64)
+    df[found.column("bucket").to_numpy()] = found.column("df").to_numpy()
     return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
 
@@ -243,9 +243,9 @@ def rare_first_prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) ->
         at = np.flatnonzero(total)
         yield pa.record_batch({"bucket": at, "n": total[at]})
 
-    found = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(1 << bits, np.int64)
-    often[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    often[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     order_of = sc.broadcast(often)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
