@@ -165,15 +165,17 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
 
 def _shards(model: DataFrame, most: int) -> list[dict[str, tuple[np.ndarray, np.ndarray]]]:
     """The model as sorted hash arrays by language, in shards of about ``most`` rows."""
-    n = max(1, -(-model.count() // most))
+    sizes = {r["lang"]: r["n"] for r in model.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = max(1, -(-sum(sizes.values()) // most))
     out = []
     for k in range(n):
-        part = model.where(F.pmod(F.xxhash64("lang", "gram"), F.lit(n)) == k).toPandas()
         shard = {}
-        for lang, rows in part.groupby("lang"):
-            h = textkit.mix(rows["gram"].to_numpy(np.int64).view(np.uint64))
+        for lang in sizes:
+            part = model.where((F.col("lang") == lang) & (F.pmod(F.xxhash64("gram"), F.lit(n)) == k))
+            rows = part.select("gram", F.col("logp").cast("float")).toArrow()
+            h = textkit.mix(rows.column("gram").to_numpy().view(np.uint64))
             order = np.argsort(h)
-            shard[lang] = (h[order], rows["logp"].to_numpy(np.float64)[order].astype(np.float32))
+            shard[lang] = (h[order], rows.column("logp").to_numpy()[order])
         out.append(shard)
     return out
 
