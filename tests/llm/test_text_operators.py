@@ -168,6 +168,53 @@ def test_unlikely_text_is_rejected(spark):
     assert not kept[60] and all(kept[i] for i in range(60))
 
 
+def kneser_ney_runs(texts):
+    """The model over whole texts: the brute-force one, fed each text as one run between spaces."""
+    import sys
+
+    joined = [" ".join(words(t)) for t in texts]
+    own = sys.modules[__name__]
+    inside, own.words = own.words, lambda t: [t] if t else []
+    try:
+        return kneser_ney(joined)
+    finally:
+        own.words = inside
+
+
+@pytest.mark.parametrize("model_rows", [ngram_quality.MODEL_ROWS, 200])
+def test_running_quality_equals_brute_force(spark, odd, model_rows):
+    docs = odd.withColumn("lang", F.lit("en"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = kneser_ney_runs([r.text for r in docs.collect()])
+    rows = ngram_quality.quality(docs, model_rows, across=True).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        run = " ".join(words(texts[r.doc_id]))
+        b = b"    " + run.encode() + b" "
+        scores = [model[b[i - 4 : i + 1]] for i in range(4, len(b))] if run else []
+        assert (r.log_ppl is None) == (not scores)
+        if scores:
+            assert math.isclose(r.log_ppl, -sum(scores) / len(scores), rel_tol=1e-4)
+
+
+def test_query_scores_shuffled_words_worse(spark, tmp_path):
+    r = random.Random(8)
+    known = sentence(r, 1000).split()
+    follows = {w: r.sample(known, 2) for w in known}
+    texts = []
+    for _ in range(60):
+        run = [r.choice(known)]
+        while len(run) < 120:
+            run.append(r.choice(follows[run[-1]]))
+        texts.append(" ".join(run))
+    salad = texts[0].split()
+    r.shuffle(salad)
+    table(spark, [*texts, " ".join(salad)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in ngram_quality.op3_ngram_quality(spark, str(tmp_path)).collect()}
+    assert got[0].kept
+    assert got[60].log_ppl > got[0].log_ppl + 0.05
+
+
 def test_language(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = language_fusion.identify(language_fusion.from_documents(docs)).collect()

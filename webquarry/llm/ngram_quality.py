@@ -1,11 +1,12 @@
 """Quality rules and n-gram perplexity.
 
-The language model is an interpolated modified Kneser-Ney model of byte 5-grams inside words
-(a word stands between spaces), one for each declared language. Each task counts its distinct
-words, turns them into packed 5-grams and sums these before anything is shuffled; Spark sums
+The language model is an interpolated modified Kneser-Ney model of byte 5-grams, one for each
+declared language. The 5-grams of the query run over the whole text with one space between
+words, so that the order of words counts; ``across=False`` gives those inside single words
+(each between spaces). Each task sums its packed 5-grams before anything is shuffled; Spark sums
 the counts, derives continuation counts of the lower orders, discounts and interpolated
 probabilities with joins in which no key has more than 256 rows. All n-grams of the corpus are
-in the model, so a text is scored with one lookup for each byte of its distinct words.
+in the model, so a text is scored with one lookup for each of its bytes.
 
 The probabilities are kept as arrays sorted by hash, and sent to the tasks in shards of at most
 MODEL_ROWS entries: one shard as a rule; with more, the texts stream through one shard after
@@ -79,13 +80,33 @@ def vocabulary(w: textkit.Words, group: np.ndarray) -> Vocabulary:
     return Vocabulary(grams, size, its[at], times, inverse)
 
 
+def running(w: textkit.Words, group: np.ndarray) -> Vocabulary:
+    """Every word at its place, its 5-grams reaching into the words before it in the same text."""
+    length = w.end - w.start
+    size = length + 1
+    # Each text begins with ORDER - 1 spaces; a 5-gram ends at each byte of a word and at the space after it.
+    fresh = np.ones(len(w.doc), bool)
+    fresh[1:] = w.doc[1:] != w.doc[:-1]
+    begin = np.cumsum(size) - size + (ORDER - 1) * np.cumsum(fresh)
+    padded = np.full(int(size.sum()) + (ORDER - 1) * int(fresh.sum()), 0x20, np.uint8)
+    before = np.cumsum(length) - length
+    each = np.arange(int(length.sum()))
+    padded[np.repeat(begin - before, length) + each] = w.data[np.repeat(w.start - before, length) + each]
+    ends = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    grams = np.zeros(len(ends), np.uint64)
+    for back in range(ORDER - 1, -1, -1):
+        grams = grams << np.uint64(8) | padded[ends - back]
+    return Vocabulary(grams, size, group[w.doc], np.ones(len(length), np.int64), np.arange(len(length)))
+
+
 def _groups(langs: pa.Array) -> tuple[np.ndarray, list[str]]:
     coded = langs.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
-def counted_grams(docs: DataFrame) -> DataFrame:
+def counted_grams(docs: DataFrame, across: bool = False) -> DataFrame:
     """(lang, gram, c): occurrences of every packed 5-gram in the documents (lang, text)."""
+    split = running if across else vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -104,7 +125,7 @@ def counted_grams(docs: DataFrame) -> DataFrame:
                 w = textkit.words(texts.slice(i, j - i))
                 if not len(w.hash):
                     continue
-                v = vocabulary(w, group[i:j])
+                v = split(w, group[i:j])
                 of, times = np.repeat(v.group, v.size), np.repeat(v.times, v.size)
                 for g in np.unique(of):
                     keys, where = np.unique(v.grams[of == g], return_inverse=True)
@@ -218,8 +239,9 @@ def base_counts(texts: pa.Array, w: textkit.Words) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scored(docs: DataFrame, shards: list[dict[str, tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+def scored(docs: DataFrame, shards: list[dict[str, tuple[np.ndarray, np.ndarray]]], across: bool = False) -> DataFrame:
     """Every document (doc_id, lang, text) with the base counts and its log perplexity a byte (null: no word)."""
+    split = running if across else vocabulary
 
     def score(shard, first: bool):  # noqa: ANN001, ANN202
         table = docs.sparkSession.sparkContext.broadcast(shard)
@@ -234,7 +256,7 @@ def scored(docs: DataFrame, shards: list[dict[str, tuple[np.ndarray, np.ndarray]
                     w = textkit.words(own)
                     total = np.zeros(j - i)
                     if len(w.hash):
-                        v = vocabulary(w, group[i:j])
+                        v = split(w, group[i:j])
                         of, value = np.repeat(v.group, v.size), np.zeros(len(v.grams))
                         for g in np.unique(of):
                             value[of == g] = _lookup(table.value.get(names[g]), v.grams[of == g])
@@ -260,11 +282,11 @@ def scored(docs: DataFrame, shards: list[dict[str, tuple[np.ndarray, np.ndarray]
     return out.select("doc_id", "lang", *COUNTS, F.when(F.col("bytes") > 0, -F.col("logp") / F.col("bytes")).alias("log_ppl"))
 
 
-def quality(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
+def quality(docs: DataFrame, model_rows: int = MODEL_ROWS, across: bool = False) -> DataFrame:
     """Every document: doc_id, the base counts, base_failed, log_ppl, the band of its language and kept."""
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    model = cut(kneser_ney(cut(counted_grams(own))))
-    rows = scored(own, _shards(model, model_rows))
+    model = cut(kneser_ney(cut(counted_grams(own, across))))
+    rows = scored(own, _shards(model, model_rows), across)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     rows = cut(rows.withColumn("base_failed", failed))
     q = rows.where("NOT base_failed").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10000).alias("q"))
@@ -279,7 +301,7 @@ def quality(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
 
 def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the base counts and the verdict of rules and model."""
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), across=True)
 
 
 QUERIES = {"op3_ngram_quality": op3_ngram_quality}
