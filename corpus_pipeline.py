@@ -8,48 +8,73 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.llm import bpe_prefix, decontaminate, icws_dedup, language_fusion, substring_dedup
-from webquarry.llm.shared import cut, shared_folder
+from webquarry.llm.shared import cut, shared_folder, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Up to so many ids to drop are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``gone`` (doc_id)."""
-    gone = cut(gone.where("doc_id IS NOT NULL").distinct())
+def without(docs: DataFrame, gone: DataFrame, *key: Column) -> DataFrame:
+    """The documents whose ``key`` isn't a row of ``gone`` (one column for each part of the key, nulls are equal)."""
+    gone = cut(gone.distinct().toDF(*[f"gone{k}" for k in range(len(key))]))
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
+    same = [part.eqNullSafe(F.col(f"gone{k}")) for k, part in enumerate(key)]
+    return docs.join(F.broadcast(gone) if small else gone, reduce(and_, same), "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or no language likely enough."""
-    found = language_fusion.identify(language_fusion.from_documents(docs))
-    return without(docs, found.where("NOT kept").select(F.col("id").alias("doc_id")))
+    """Drops documents without a language: no letters, or no language likely enough.
+
+    Rows are told apart by a hash of what the verdict depends on, not by their ids.
+    """
+    key = F.xxhash64("text", "lang", "source")
+    found = language_fusion.identify(language_fusion.from_documents(docs.withColumn("doc_id", key)))
+    return without(docs, found.where("NOT kept").select("id"), key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate class."""
-    return without(docs, icws_dedup.classes(docs).where("doc_id <> class_id").select("doc_id"))
+    """Keeps one row of each near-duplicate class, of the document with the least id (null ids last).
+
+    Classes are of texts (by 64 bits of hash), whatever their ids. Texts without a word are
+    alike only with the same id and text.
+    """
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select("doc_id", *text_key(), worded.alias("worded")).groupBy("doc_id", "h1", "h2", "worded").agg(F.count("*").alias("n"))
+    found = icws_dedup.classes(docs.where(worded).withColumn("doc_id", F.xxhash64("text"))).select(F.col("doc_id").alias("h1"), "class_id")
+    rows = cut(rows.join(found, "h1", "left"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = rows.where("worded").groupBy("class_id").agg(F.min(rank).alias("first"))
+    gone = rows.where("worded").join(first, "class_id").where(rank != F.col("first")).select("doc_id", "h1", "h2")
+    # Only rows that stand there several times are brought together with their texts.
+    several = rows.where("n > 1").select("doc_id", "h1", "h2")
+    key = [F.col("doc_id"), *text_key()]
+    once = without(docs, gone.union(several), *key)
+    kept = several.join(gone.toDF("g0", "g1", "g2"), F.col("doc_id").eqNullSafe(F.col("g0")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_anti").toDF("k0", "k1", "k2")
+    hashed = docs.select(*COLUMNS, *text_key())
+    repeated = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left_semi")
+    return once.union(repeated.dropDuplicates(["doc_id", "h1", "h2"]).select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes windows of words that documents with smaller ids have; documents left without a word go."""
-    kept = substring_dedup.dedup(docs).where("NOT (n_removed > 0 AND n_removed = n_words)")
-    kept = kept.join(docs.select("doc_id", "lang", "source"), "doc_id")
+    kept = substring_dedup.dedup(docs, carried=("lang", "source")).where("NOT (n_removed > 0 AND n_removed = n_words)")
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontaminate.contained(docs, items).select("doc_id"))
+    key = F.xxhash64("text")
+    return without(docs, decontaminate.contained(docs.withColumn("doc_id", key), items).select("doc_id"), key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

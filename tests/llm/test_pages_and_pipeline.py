@@ -111,3 +111,25 @@ def test_pipeline(spark, sf_dir):
     bad = {r.doc_id for r in decontaminate.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     clean = corpus_pipeline.contamination(spark, docs, sf_dir)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+def test_stages_on_null_repeated_and_shared_ids(spark, sf_dir):
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    copy, lone, other, hidden, blank = text(), text(), text(), text(), " "
+    rows = [(1, copy), (1, copy), (2, copy), (2, lone), (None, copy), (None, other), (None, other), (3, hidden), (3, hidden), (4, blank), (5, blank), (4, blank)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", len(t)) for i, t in rows], schema)
+    order = lambda pairs: sorted(pairs, key=str)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert order((x.doc_id, x.text) for x in got) == order([(1, copy), (2, lone), (None, other), (3, hidden), (4, blank), (5, blank)])
+    plain = [(1, copy), (2, lone), (None, other), (3, hidden), (3, hidden), (3, hidden)]
+    got = corpus_pipeline.substrings(spark, spark.createDataFrame([(i, t, "en", f"s{i}", len(t)) for i, t in plain], schema), sf_dir).collect()
+    assert order((x.doc_id, x.text, x.lang, x.source) for x in got) == order((i, t, "en", f"s{i}") for i, t in plain)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    mixed = [(None, item), (7, item), (7, lone), (None, lone)]
+    got = corpus_pipeline.contamination(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in mixed], schema), sf_dir).collect()
+    assert order((x.doc_id, x.text) for x in got) == order([(7, lone), (None, lone)])
+    mixed = [(8, "12 34"), (8, lone), (None, "12 34"), (None, lone)]
+    got = corpus_pipeline.language(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in mixed], schema), sf_dir).collect()
+    assert order((x.doc_id, x.text) for x in got) == order([(8, lone), (None, lone)])

@@ -300,8 +300,8 @@ def _covered(n: int, starts: list[int], masks: list[int], window: int) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text.
+def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text and its ``carried`` columns.
 
     ``kept_text`` is the input text where nothing goes, else the kept words joined by one space.
     """
@@ -324,19 +324,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
                 text.append(whole)
                 total.append(len(words))
                 gone.append(lost)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(text, pa.string())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(text, pa.string()), **{c: batch.column(c) for c in carried}})
 
     key = text_key()
     # Never null, so that no join adds a filter and the exchange of the texts is the same in all of them.
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
-    keyed = docs.select(own_id, "text", key[0])
+    keyed = docs.select(own_id, "text", key[0], *carried)
     hashed = docs.select(own_id, *key)
     # Whole copies of a text with a smaller id lose every window; only the first of them is looked into.
     first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = hashed.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("copies"))
     rows = keyed.join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("h1")), F.lit(False))).drop("copies")
     found = removed_windows(rows.where("NOT copy"), window, hot)
-    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans", *carried).mapInArrow(keep, f"doc_id long, n_words long, n_removed long, kept_text string{kind}").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
