@@ -423,3 +423,25 @@ def test_prefix_tables_append_and_edit():
         new, edited = bpe.replace(data, table_of, i, min(len(data), i + 3), b"th")
         assert edited == bpe.extend(new, [])
         assert bpe.decode(bpe.tokens(edited)) == new
+
+
+@pytest.mark.parametrize("run", ["a" * 300_000, " " * 300_000 + "b"])
+def test_long_runs_are_encoded_in_linear_space(run):
+    path, pattern = vocabulary()
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe_prefix.load(path).ranks, special_tokens={})
+    pieces = bpe_prefix.Pieces(bpe_prefix.load(path))
+    got = [i for p in bpe_prefix.regex.compile(pattern).findall(run) for i in pieces[p]]
+    assert sum(map(len, pieces.last)) <= 2 * bpe_prefix.CACHE_BYTES
+    assert got == library.encode_ordinary(run)
+
+
+def test_prefix_table_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe_prefix, "CACHE_BYTES", 1000)
+    bpe, r = bpe_prefix.load(vocabulary()[0]), random.Random(5)
+    pieces = bpe_prefix.Pieces(bpe)
+    for _ in range(200):
+        piece = "".join(r.choice("abcxyz") for _ in range(r.randint(1, bpe_prefix.SHORT_BYTES + 9)))
+        assert list(pieces[piece]) == bpe.encode(piece.encode())
+        assert sum(map(len, pieces.last)) <= 1000 + bpe_prefix.SHORT_BYTES**2

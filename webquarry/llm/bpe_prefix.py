@@ -27,6 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHE_WORDS = 200_000
+#: Longer pieces are encoded over a list of their own and are not remembered.
+SHORT_BYTES = 64
+#: Bound of the bytes of the prefixes that a table holds.
+CACHE_BYTES = 32 << 20
 
 
 class PrefixBpe:
@@ -141,20 +145,27 @@ def load(path: str) -> PrefixBpe:
 class Pieces(dict):
     """What is made of the ids of the pieces seen so far, over one table of the last tokens of their prefixes.
 
-    Pieces that begin alike share the table's entries. Either is emptied when it is full.
+    Short pieces that begin alike share the table's entries, whose keys have at most CACHE_BYTES
+    bytes together and the last piece's. Either is emptied when it is full. A longer piece has a
+    list of its own, in the size of the piece.
     """
 
     def __init__(self, bpe: PrefixBpe, made: Callable[[list[int]], tuple] = tuple, most: int = CACHE_WORDS) -> None:
         super().__init__()
         self.bpe, self.made, self.most = bpe, made, most
         self.last: dict[bytes, int] = {}
+        self.held = 0
 
     def __missing__(self, piece: str) -> tuple:
+        data = piece.encode("utf-8")
+        if len(data) > SHORT_BYTES:
+            return self.made(self.bpe.encode(data))
         if len(self) >= self.most:
             self.clear()
-        if len(self.last) >= 2 * self.most:
+        if len(self.last) >= 2 * self.most or self.held >= CACHE_BYTES:
             self.last.clear()
-        self[piece] = made = self.made(self._encode(piece.encode("utf-8")))
+            self.held = 0
+        self[piece] = made = self.made(self._encode(data))
         return made
 
     def _encode(self, data: bytes) -> list[int]:
@@ -171,6 +182,7 @@ class Pieces(dict):
                 token = usable.get(data[start:end])
                 if token is not None and (start == 0 or follows(last[data[:start]], token)):
                     last[data[:end]] = token
+                    self.held += end
                     break
             else:
                 raise ValueError("a byte has no token")
