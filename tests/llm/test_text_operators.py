@@ -445,3 +445,14 @@ def test_prefix_table_is_bounded_by_bytes(monkeypatch):
         piece = "".join(r.choice("abcxyz") for _ in range(r.randint(1, bpe_prefix.SHORT_BYTES + 9)))
         assert list(pieces[piece]) == bpe.encode(piece.encode())
         assert sum(map(len, pieces.last)) <= 1000 + bpe_prefix.SHORT_BYTES**2
+
+
+def test_rare_and_long_languages_have_a_class(spark):
+    kind = "id long, text string, declared string, host string, suffix string"
+    many = spark.range(9000).selectExpr("id", "concat('the town and ', id) AS text", "'en' AS declared", "'a' AS host", "CAST(NULL AS STRING) AS suffix")
+    rare = spark.createDataFrame([(9001, "kaupunki ja talo " * 3, "fi", "b", None), (9002, "la ville et le pays " * 400, "fr", "c", None)], kind)
+    langs, table_of = language_fusion.fit(many.union(rare))
+    assert langs == ["en", "fi", "fr"] and table_of.shape[1] == 3
+    got = {r.id: r for r in language_fusion.identify(many.union(rare)).where("id > 9000").collect()}
+    assert got[9001].lang == "fi" and got[9002].lang == "fr" and got[9001].kept and got[9002].kept
+    assert language_fusion.identify(rare.where("id = 9002")).first().kept

@@ -7,8 +7,10 @@ suffix x the prior of the host. Host priors are sums of text-only posteriors ove
 the host, smoothed towards those of its domain, and these towards the whole corpus's, all by
 grouped aggregation.
 
-The text model is fitted on at most TRAIN_ROWS labelled rows of at most TRAIN_CHARS characters,
-those of the least hash of their id; everything else covers all rows and whole texts.
+The languages are all that are declared in any row with a text. The text model is fitted on at most
+TRAIN_ROWS labelled rows of each language, those of the least hash of their id, and on the first
+TRAIN_CHARS characters of each, so the training bytes of a language are bounded, not the length
+of its rows; everything else covers all rows and whole texts.
 
 A row is rejected if its text has no letter in any word, or if no language reaches MIN_POSTERIOR.
 
@@ -26,14 +28,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webquarry.llm import textkit
 from webquarry.llm.ngram_quality import vocabulary
 from webquarry.llm.shared import cut
 
-TRAIN_ROWS = 4000
+#: Rows of each language; up to 1000 Spark limits them in each task before they are shuffled.
+TRAIN_ROWS = 1000
 TRAIN_CHARS = 4000
 BUCKET_BITS = 15
 TEMPER = 0.1
@@ -56,16 +59,29 @@ def _buckets(texts: pa.Array) -> tuple[textkit.Words, object, np.ndarray]:
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (bucket, language) of the bounded sample of (id, text, declared)."""
-    labelled = rows.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0) & (F.col("declared") != ""))
-    sample = labelled.select("text", "declared", F.xxhash64("id").alias("h")).orderBy("h", "declared", "text").limit(TRAIN_ROWS).toArrow()
-    langs = sorted(sample.column("declared").unique().to_pylist())
+    """Languages and log probabilities (bucket, language) of the bounded samples of (id, text, declared)."""
+    labelled = rows.where((F.length("text") > 0) & (F.col("declared") != ""))
+    langs = sorted(r["declared"] for r in labelled.select("declared").distinct().collect())
+    head = labelled.select("declared", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("id").alias("h"))
+    sample = head.withColumn("k", F.row_number().over(Window.partitionBy("declared").orderBy("h", "text"))).where(F.col("k") <= TRAIN_ROWS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            declared = batch.column("declared")
+            for lang in declared.unique().to_pylist():
+                texts = batch.column("text").filter(pc.equal(declared, lang))
+                total = np.zeros(1 << BUCKET_BITS)
+                for i, j in textkit.chunks(texts):
+                    _, v, bucket = _buckets(texts.slice(i, j - i))
+                    total += np.bincount(bucket, np.repeat(v.times, v.size), minlength=1 << BUCKET_BITS)
+                at = np.flatnonzero(total)
+                yield pa.record_batch({"declared": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "c": pa.array(total[at])})
+
+    found = sample.select("declared", "text").mapInArrow(count, "declared string, bucket long, c double").groupBy("declared", "bucket").agg(F.sum("c").alias("c")).toArrow()
     counts = np.full((1 << BUCKET_BITS, max(1, len(langs))), 0.1)
-    for k, lang in enumerate(langs):
-        texts = sample.filter(pc.equal(sample.column("declared"), lang)).column("text").combine_chunks()
-        for i, j in textkit.chunks(texts):
-            _, v, bucket = _buckets(texts.slice(i, j - i))
-            counts[:, k] += np.bincount(bucket, np.repeat(v.times, v.size), minlength=1 << BUCKET_BITS)
+    if langs:
+        column = pc.index_in(found.column("declared"), pa.array(langs)).to_numpy()
+        counts[found.column("bucket").to_numpy(), column] += found.column("c").to_numpy()
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
