@@ -432,19 +432,45 @@ def test_long_runs_are_encoded_in_linear_space(run):
 
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe_prefix.load(path).ranks, special_tokens={})
     pieces = bpe_prefix.Pieces(bpe_prefix.load(path))
-    got = [i for p in bpe_prefix.regex.compile(pattern).findall(run) for i in pieces[p]]
-    assert sum(map(len, pieces.last)) <= 2 * bpe_prefix.CACHE_BYTES
+    got = [i for group in bpe_prefix.matches(iter([run]), pattern) for _, part in group for p in part for i in pieces.of([part])[p]]
     assert got == library.encode_ordinary(run)
+    # A long piece is forgotten with the next texts, and its table is one number a byte.
+    assert not any(len(p) > bpe_prefix.SHORT_CHARS for p in pieces.of([["a"]]))
+    assert len(pieces.bpe.extend(run.encode(), [])) == len(run)
 
 
-def test_prefix_table_is_bounded_by_bytes(monkeypatch):
-    monkeypatch.setattr(bpe_prefix, "CACHE_BYTES", 1000)
+def test_remembered_pieces_are_bounded():
     bpe, r = bpe_prefix.load(vocabulary()[0]), random.Random(5)
-    pieces = bpe_prefix.Pieces(bpe)
-    for _ in range(200):
-        piece = "".join(r.choice("abcxyz") for _ in range(r.randint(1, bpe_prefix.SHORT_BYTES + 9)))
-        assert list(pieces[piece]) == bpe.encode(piece.encode())
-        assert sum(map(len, pieces.last)) <= 1000 + bpe_prefix.SHORT_BYTES**2
+    pieces = bpe_prefix.Pieces(bpe, most=50)
+    for _ in range(40):
+        part = ["".join(r.choice("abcxyz") for _ in range(r.randint(1, bpe_prefix.SHORT_CHARS + 9))) for _ in range(20)]
+        known = pieces.of([part, part[:3]])
+        assert all(list(known[p]) == bpe.encode(p.encode()) for p in part)
+        assert len(known) <= 50 + 20
+
+
+def test_texts_in_several_parts_are_encoded_as_one(spark, monkeypatch):
+    monkeypatch.setattr(bpe_prefix, "CHUNK_CHARS", 40)
+    r, (path, pattern) = random.Random(7), vocabulary()
+    texts = [None, "", "a", *(sentence(r, n) for n in (3, 30, 1, 400, 2)), "", sentence(r, 90)]
+    got: dict[int, list[str]] = {}
+    for group in bpe_prefix.matches(iter(texts), pattern):
+        for row, part in group:
+            got.setdefault(row, []).extend(part)
+    assert [got.get(i, []) for i in range(len(texts))] == [bpe_prefix.regex.findall(pattern, t or "") for t in texts]
+
+
+def test_long_texts_equal_the_library(spark):
+    r, library = random.Random(8), reference_encoding()
+    long = sentence(r, 700_000)
+    docs = table(spark, ["a b", long, None, "c", long[:2_500_000]])
+    texts = {x.doc_id: x.text or "" for x in docs.collect()}
+    for x in bpe_prefix.tokenized(docs, *vocabulary()).collect():
+        assert x.ids == library.encode_ordinary(texts[x.doc_id]) and x.round_trip and x.n_tokens == len(x.ids)
+    for x in bpe_prefix.digests(docs, *vocabulary()).collect():
+        ids = library.encode_ordinary(texts[x.doc_id])
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest()
 
 
 def test_rare_and_long_languages_have_a_class(spark):

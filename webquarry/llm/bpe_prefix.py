@@ -18,19 +18,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_WORDS = 200_000
-#: Longer pieces are encoded over a list of their own and are not remembered.
-SHORT_BYTES = 64
-#: Bound of the bytes of the prefixes that a table holds.
-CACHE_BYTES = 32 << 20
+#: Pieces that are remembered, those of the latest chunk of texts in any case.
+CACHE_PIECES = 200_000
+#: Longer pieces are not remembered.
+SHORT_CHARS = 64
+#: Characters of texts that are cut into pieces and encoded together.
+CHUNK_CHARS = 1 << 21
+#: Remembered verdicts on pairs of neighbouring tokens.
+PAIRS = 200_000
 
 
 class PrefixBpe:
@@ -58,6 +64,17 @@ class PrefixBpe:
                     self.joined[a << 32 | b] = token
                     self.usable[value] = token
                     break
+        self.length = [0] * size
+        #: The usable tokens from their ends: byte -> (branches before it, the token that begins there or -1).
+        self.endings: dict[int, tuple[dict, int]] = {}
+        for value, token in sorted(self.usable.items(), key=lambda x: x[0][::-1]):
+            self.length[token] = len(value)
+            branches = self.endings
+            for byte in value[:0:-1]:
+                branches = branches.setdefault(byte, ({}, -1))[0]
+            branches[value[0]] = (branches.get(value[0], ({},))[0], token)
+        #: Verdicts of follows() on pairs of tokens, at most PAIRS.
+        self.pairs: dict[int, bool] = {}
 
     def follows(self, a: int, b: int) -> bool:
         """Whether b can be the token after a in an encoding.
@@ -84,19 +101,36 @@ class PrefixBpe:
             else:
                 return True
 
-    def last_token(self, data: bytes, end: int, before: Callable[[int], int]) -> int:
-        """The last token of the prefix of ``end`` bytes; ``before`` gives those of shorter ones."""
-        usable = self.usable
-        for start in range(max(0, end - self.longest), end):
-            token = usable.get(data[start:end])
-            if token is not None and (start == 0 or self.follows(before(start), token)):
-                return token
-        raise ValueError("a byte has no token")
-
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
-        """Adds to ``last``, the last tokens of the first prefixes of ``data``, those of the others."""
-        for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
-            last.append(self.last_token(data, end, lambda n: last[n - 1]))
+        """Adds to ``last``, the last tokens of the first prefixes of ``data``, those of the others.
+
+        A walk back from the end of each prefix names the tokens that end there, the shortest
+        first; the one that may follow the last token of the prefix before it is the only one.
+        The table is one number a byte, however long the piece is.
+        """
+        pairs = self.pairs
+        for end in range(len(last), len(data) if upto is None else upto):
+            branches = self.endings
+            for start in range(end, -1, -1):
+                found = branches.get(data[start])
+                if found is None:
+                    raise ValueError("a byte has no token")
+                branches, token = found
+                if token < 0:
+                    continue
+                if start:
+                    pair = last[start - 1] << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self.follows(last[start - 1], token)
+                    if not fits:
+                        continue
+                last.append(token)
+                break
+            else:
+                raise ValueError("a byte has no token")
         return last
 
     def tokens(self, last: list[int], end: int | None = None) -> list[int]:
@@ -104,7 +138,7 @@ class PrefixBpe:
         at, out = len(last) if end is None else end, []
         while at > 0:
             out.append(last[at - 1])
-            at -= len(self.bytes[last[at - 1]])
+            at -= self.length[last[at - 1]]
         return out[::-1]
 
     def replace(self, data: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
@@ -116,13 +150,13 @@ class PrefixBpe:
         changed = data[:start] + new + data[end:]
         shift, table, same = len(new) - (end - start), last[:start], 0
         while len(table) < len(changed):
-            if same >= 2 * self.longest:
-                return changed, table + last[len(table) - shift :]
-            self.extend(changed, table, len(table) + 1)
-            at = len(table) - 1
-            token = table[at]
-            behind = at - len(self.bytes[token]) + 1 >= start + len(new)
-            same = same + 1 if behind and at - shift >= 0 and token == last[at - shift] else 0
+            done = len(table)
+            self.extend(changed, table, min(len(changed), done + 2 * self.longest))
+            for at in range(done, len(table)):
+                behind = at - self.length[table[at]] + 1 >= start + len(new)
+                same = same + 1 if behind and at - shift >= 0 and table[at] == last[at - shift] else 0
+                if same >= 2 * self.longest:
+                    return changed, table[: at + 1] + last[at + 1 - shift :]
         return changed, table
 
     def encode(self, data: bytes) -> list[int]:
@@ -142,71 +176,99 @@ def load(path: str) -> PrefixBpe:
         return PrefixBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
-class Pieces(dict):
-    """What is made of the ids of the pieces seen so far, over one table of the last tokens of their prefixes.
+class Pieces:
+    """What is made of the ids of pieces, remembered for at most about ``most`` of them.
 
-    Short pieces that begin alike share the table's entries, whose keys have at most CACHE_BYTES
-    bytes together and the last piece's. Either is emptied when it is full. A longer piece has a
-    list of its own, in the size of the piece.
+    New pieces are encoded in sorted order, each on the table of the one before as far as both
+    begin alike. When too many are held, those of the latest texts stay.
     """
 
-    def __init__(self, bpe: PrefixBpe, made: Callable[[list[int]], tuple] = tuple, most: int = CACHE_WORDS) -> None:
-        super().__init__()
+    def __init__(self, bpe: PrefixBpe, made: Callable[[list[int]], object] = tuple, most: int = CACHE_PIECES) -> None:
         self.bpe, self.made, self.most = bpe, made, most
-        self.last: dict[bytes, int] = {}
-        self.held = 0
-
-    def __missing__(self, piece: str) -> tuple:
-        data = piece.encode("utf-8")
-        if len(data) > SHORT_BYTES:
-            return self.made(self.bpe.encode(data))
-        if len(self) >= self.most:
-            self.clear()
-        if len(self.last) >= 2 * self.most or self.held >= CACHE_BYTES:
-            self.last.clear()
-            self.held = 0
-        self[piece] = made = self.made(self._encode(data))
-        return made
-
-    def _encode(self, data: bytes) -> list[int]:
-        own = self.bpe.ranks.get(data)
-        if own is not None:
-            return [own]
-        last, bpe = self.last, self.bpe
-        usable, follows, longest = bpe.usable, bpe.follows, bpe.longest
-        known = len(data)
-        while known and data[:known] not in last:
-            known -= 1
-        for end in range(known + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = usable.get(data[start:end])
-                if token is not None and (start == 0 or follows(last[data[:start]], token)):
-                    last[data[:end]] = token
-                    self.held += end
-                    break
-            else:
-                raise ValueError("a byte has no token")
-        at, out = len(data), []
-        while at:
-            token = last[data[:at]]
-            out.append(token)
-            at -= len(bpe.bytes[token])
-        return out[::-1]
-
-
-def tokenized(docs: DataFrame, path: str, pattern: str, rows: int = 256) -> DataFrame:
+        self.held: dict[str, object] = {}
+        self.long: list[str] = []
+
+    def of(self, lists: list[list[str]]) -> dict[str, object]:
+        """A dictionary with all pieces of the lists; valid until the next call."""
+        for piece in self.long:
+            del self.held[piece]
+        wanted: set[str] = set().union(*lists)
+        fresh = sorted(wanted.difference(self.held))
+        self.long = [p for p in fresh if len(p) > SHORT_CHARS]
+        if len(self.held) + len(fresh) > self.most:
+            self.held = {p: x for p, x in self.held.items() if p in wanted}
+        ranks, extend, tokens = self.bpe.ranks, self.bpe.extend, self.bpe.tokens
+        last: list[int] = []
+        before = b""
+        for piece in fresh:
+            data = piece.encode("utf-8")
+            own = ranks.get(data)
+            if own is None:
+                same = 0
+                for x, y in zip(before, data, strict=False):
+                    if x != y:
+                        break
+                    same += 1
+                del last[same:]
+                before = data
+            self.held[piece] = self.made([own] if own is not None else tokens(extend(data, last)))
+        return self.held
+
+
+def matches(texts: Iterator[str | None], pattern: str) -> Iterator[list[tuple[int, list[str]]]]:
+    """The pattern's matches in order, as lists of (text number, matches) of about CHUNK_CHARS together.
+
+    The matches of a long text come in several parts, so that they aren't all held at once.
+    """
+    compiled = regex.compile(pattern)
+    group: list[tuple[int, list[str]]] = []
+    room = CHUNK_CHARS
+    for row, text in enumerate(texts):
+        text = text or ""
+        if len(text) <= CHUNK_CHARS:
+            parts = iter([compiled.findall(text)])
+        else:
+            found = (m.group() for m in compiled.finditer(text))
+            parts = iter(lambda it=found: list(islice(it, CHUNK_CHARS // 4)), [])
+        for part in parts:
+            group.append((row, part))
+            room -= min(len(text), CHUNK_CHARS)
+            if room <= 0:
+                yield group
+                group, room = [], CHUNK_CHARS
+    yield group
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, n_tokens, ids array<int>, round_trip (decoding gives the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        find, pieces = regex.compile(pattern).findall, Pieces(bpe)
+        pieces = Pieces(bpe)
+
+        def rows(part: pa.RecordBatch, ids: dict[int, array], start: int) -> pa.RecordBatch:
+            own = [ids.get(start + i, array("i")) for i in range(len(part))]
+            same = [bpe.decode(x) == (text.as_py() or "").encode() for x, text in zip(own, part.column("text"), strict=True)]
+            sizes = np.array([0, *map(len, own)], np.int32)
+            flat = pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in own]) if sizes.sum() else np.zeros(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), flat)
+            return pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array(sizes[1:].astype(np.int64)), "ids": lists, "round_trip": pa.array(same, pa.bool_())})
+
         for batch in batches:
-            for start in range(0, len(batch), rows):
-                part = batch.slice(start, rows)
-                texts = [text or "" for text in part.column("text").to_pylist()]
-                ids = [[i for p in find(text) for i in pieces[p]] for text in texts]
-                same = [bpe.decode(x) == text.encode() for x, text in zip(ids, texts, strict=True)]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "round_trip": pa.array(same)})
+            ids: dict[int, array] = {}
+            done = 0
+            for group in matches((x.as_py() for x in batch.column("text")), pattern):
+                known = pieces.of([part for _, part in group])
+                for row, part in group:
+                    ids.setdefault(row, array("i")).extend(chain.from_iterable(map(known.__getitem__, part)))
+                # The last text of a group may go on in the next one.
+                upto = group[-1][0] if group else len(batch)
+                if upto > done:
+                    yield rows(batch.slice(done, upto - done), ids, done)
+                    ids = {row: x for row, x in ids.items() if row >= upto}
+                    done = upto
+            if done < len(batch):
+                yield rows(batch.slice(done), ids, done)
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
@@ -229,17 +291,19 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         name = {v: str(v).encode() for v in bpe.bytes}
-        made = lambda ids: (len(ids), b" ".join(map(name.__getitem__, ids)), bpe.decode(ids))
-        find, pieces = regex.compile(pattern).findall, Pieces(bpe, made)
+        pieces = Pieces(bpe, lambda ids: (b" ".join(map(name.__getitem__, ids)), bpe.decode(ids)))
         for batch in batches:
-            count, ids_sha, decoded_sha = [], [], []
-            for text in batch.column("text"):
-                parts = [pieces[p] for p in find(text.as_py() or "")]
-                n, ids, data = zip(*parts, strict=True) if parts else ((), (), ())
-                count.append(sum(n))
-                ids_sha.append(hashlib.sha256(b" ".join(ids)).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join(data)).hexdigest())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
+            count, ids_sha, decoded_sha = np.zeros(len(batch), np.int64), [hashlib.sha256() for _ in range(len(batch))], [hashlib.sha256() for _ in range(len(batch))]
+            for group in matches((x.as_py() for x in batch.column("text")), pattern):
+                known = pieces.of([part for _, part in group])
+                for row, part in group:
+                    if part:
+                        made = list(map(known.__getitem__, part))
+                        ids = b" ".join([x for x, _ in made])
+                        ids_sha[row].update(b" " + ids if count[row] else ids)
+                        decoded_sha[row].update(b"".join([x for _, x in made]))
+                        count[row] += ids.count(b" ") + 1
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(count), "ids_sha256": pa.array([x.hexdigest() for x in ids_sha], pa.string()), "decoded_sha256": pa.array([x.hexdigest() for x in decoded_sha], pa.string())})
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
