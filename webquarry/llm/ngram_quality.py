@@ -3,14 +3,16 @@
 The language model is an interpolated modified Kneser-Ney model of byte 5-grams, one for each
 declared language. The 5-grams of the query run over the whole text with one space between
 words, so that the order of words counts; ``across=False`` gives those inside single words
-(each between spaces). Each task sums its packed 5-grams before anything is shuffled; Spark sums
-the counts, derives continuation counts of the lower orders, discounts and interpolated
-probabilities with joins in which no key has more than 256 rows. All n-grams of the corpus are
-in the model, so a text is scored with one lookup for each of its bytes.
+(each between spaces). Each task sums its packed 5-grams before anything is shuffled, and takes
+several input splits for that; Spark sums the counts, derives continuation counts of the lower
+orders, discounts and interpolated probabilities with joins and windows in which no key has more
+than 256 rows. All n-grams of the corpus are in the model, so a text is scored with one lookup for
+each of its bytes; a 5-gram that the model hasn't has the least probability of its language.
 
-The probabilities are kept as arrays sorted by hash, and sent to the tasks in shards of at most
-MODEL_ROWS entries: one shard as a rule; with more, the texts stream through one shard after
-the other in the same task, each adding its part of the sums, so no broadcast outgrows that bound.
+The probabilities are kept as arrays sorted by hash. Tasks build them in shards of about
+MODEL_ROWS entries; the driver passes one shard after the other to the shared folder, from which
+Spark brings them to every executor, and tasks map them into memory. So neither the driver nor a
+worker holds the model, and the texts are read once, whatever the number of shards.
 
 A document is rejected if its log perplexity is outside the band of its language: from the
 first quartile less a reach to the third quartile plus it. The quartiles are those of the
@@ -25,24 +27,32 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webquarry.llm import textkit
-from webquarry.llm.shared import cut
+from webquarry.llm.shared import cut, hand_out
 
 ORDER = 5
-MODEL_ROWS = 8_000_000
+MODEL_ROWS = 1_000_000
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 FENCE = 3.0
 MARGIN = 0.15
 PENDING = 2_000_000
+#: The counting tasks take splits together, down to so many tasks a core: fewer tasks have more to sum.
+TASKS_A_CORE = 4
+#: Bands of up to so many languages are sent to all tasks.
+BANDS_MOST = 100_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -141,7 +151,8 @@ def counted_grams(docs: DataFrame, across: bool = False) -> DataFrame:
                     pending.update(merged)
         yield from summed()
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    tasks = TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    return docs.select("lang", "text").coalesce(tasks).mapInArrow(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def _discount(level: DataFrame, discounts: DataFrame) -> DataFrame:
@@ -170,43 +181,87 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     levels = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
-        levels[n] = levels[n + 1].groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("c"))
+        # Read for the discounts, the contexts and the next level: computed once.
+        levels[n] = cut(levels[n + 1].groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("c")))
     lower = None
+    same = Window.partitionBy("lang", "context")
     for n in range(1, ORDER + 1):
         level = _discount(levels[n], _discounts(levels[n])).withColumn("context", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
-        contexts = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
-        level = level.join(contexts, ["lang", "context"])
+        # A context has at most 256 rows, one for each byte behind it.
+        level = level.withColumn("total", F.sum("c").over(same)).withColumn("mass", F.sum("d").over(same))
         level = level.withColumn("below", F.lit(1 / 256)) if lower is None else level.join(lower, ["lang", "suffix"])
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("mass") / F.col("total") * F.col("below")
-        lower = level.select("lang", F.col("gram").alias("suffix"), p.alias("below"))
-        if n in (2, 4):
-            lower = cut(lower)
+        lower = cut(level.select("lang", F.col("gram").alias("suffix"), p.alias("below")))
     return lower.select("lang", F.col("suffix").alias("gram"), F.log("below").alias("logp"))
 
 
-def _shards(model: DataFrame, most: int) -> list[dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """The model as sorted hash arrays by language, in shards of about ``most`` rows."""
-    sizes = {r["lang"]: r["n"] for r in model.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    n = max(1, -(-sum(sizes.values()) // most))
-    out = []
-    for k in range(n):
-        shard = {}
-        for lang in sizes:
-            part = model.where((F.col("lang") == lang) & (F.pmod(F.xxhash64("gram"), F.lit(n)) == k))
-            rows = part.select("gram", F.col("logp").cast("float")).toArrow()
-            h = textkit.mix(rows.column("gram").to_numpy().view(np.uint64))
-            order = np.argsort(h)
-            shard[lang] = (h[order], rows.column("logp").to_numpy()[order])
-        out.append(shard)
+def shard_files(model: DataFrame, most: int) -> list[str]:
+    """The model as files of about ``most`` rows by the rest of the packed 5-gram, handed out to all executors.
+
+    A file has a line of JSON with the place, size and least value of each language, then hashes
+    and log probabilities of each, sorted by hash. The number of files is odd, so that all bytes
+    of a 5-gram count for the rest.
+    """
+    sizes = model.groupBy("lang").agg(F.count("*").alias("n"), F.min("logp").alias("least")).collect()
+    n = -(-sum(r["n"] for r in sizes) // most) | 1
+    least = {r["lang"]: r["least"] for r in sizes}
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("gram", pa.int64()), ("logp", pa.float32())]))
+        for shard in pc.unique(got.column("shard")).to_pylist():
+            own = got.filter(pc.equal(got.column("shard"), shard))
+            places, parts, at = {}, [], 0
+            for lang in sorted(pc.unique(own.column("lang")).to_pylist()):
+                rows = own.filter(pc.equal(own.column("lang"), lang))
+                h = textkit.mix(rows.column("gram").to_numpy().view(np.uint64))
+                order = np.argsort(h)
+                places[lang] = (at, len(h), least[lang])
+                for array in (h[order], rows.column("logp").to_numpy()[order].astype(np.float64)):
+                    parts.append(array.tobytes())
+                    at += 8 * len(h)
+            head = json.dumps(places).encode()
+            # Arrays begin at a multiple of eight bytes.
+            head += b" " * (-(len(head) + 1) % 8) + b"\n"
+            yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "data": pa.array([b"".join([head, *parts])], pa.binary())})
+
+    keyed = model.select(F.pmod("gram", F.lit(n)).cast("int").alias("shard"), "lang", "gram", F.col("logp").cast("float"))
+    built = cut(keyed.repartition(n, "shard").mapInArrow(build, "shard int, data binary"))
+    names = [""] * n
+    # One shard at a time: each is a row of a partition of its own, as a rule.
+    for row in built.toLocalIterator():
+        names[row["shard"]] = hand_out(model.sparkSession, bytes(row["data"]), "ngrams")
+    return names
+
+
+@lru_cache(maxsize=512)
+def _opened(name: str) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+    data = np.memmap(SparkFiles.get(name), np.uint8, "r")
+    line = int(np.flatnonzero(data[: 1 << 20] == 0x0A)[0]) + 1
+    body = data[line:]
+    out = {}
+    for lang, (at, n, least) in json.loads(data[:line].tobytes()).items():
+        out[lang] = (body[at : at + 8 * n].view(np.uint64), body[at + 8 * n : at + 16 * n].view(np.float64), least)
     return out
 
 
-def _lookup(table: tuple[np.ndarray, np.ndarray] | None, grams: np.ndarray) -> np.ndarray:
-    if table is None or not len(table[0]):
-        return np.zeros(len(grams))
-    h = textkit.mix(grams)
-    at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-    return np.where(table[0][at] == h, table[1][at], 0.0)
+def _lookup(names: list[str], lang: str, grams: np.ndarray) -> np.ndarray:
+    """Log probabilities of packed 5-grams."""
+    keys, back = np.unique(grams, return_inverse=True)
+    out = np.zeros(len(keys))
+    rest = (keys % np.uint64(max(1, len(names)))).astype(np.int64)
+    order = np.argsort(rest, kind="stable")
+    edges = np.searchsorted(rest[order], np.arange(len(names) + 1))
+    for shard, name in enumerate(names):
+        mine = order[edges[shard] : edges[shard + 1]]
+        if not len(mine):
+            continue
+        h, logp, least = _opened(name).get(lang, (np.zeros(0, np.uint64), np.zeros(0), 0.0)) if name else (np.zeros(0, np.uint64), np.zeros(0), 0.0)
+        if not len(h):
+            continue
+        wanted = textkit.mix(keys[mine])
+        at = np.minimum(np.searchsorted(h, wanted), len(h) - 1)
+        out[mine] = np.where(h[at] == wanted, logp[at], least)
+    return out[back]
 
 
 def base_counts(texts: pa.Array, w: textkit.Words) -> dict[str, np.ndarray]:
@@ -239,62 +294,49 @@ def base_counts(texts: pa.Array, w: textkit.Words) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scored(docs: DataFrame, shards: list[dict[str, tuple[np.ndarray, np.ndarray]]], across: bool = False) -> DataFrame:
+def scored(docs: DataFrame, names: list[str], across: bool = False) -> DataFrame:
     """Every document (doc_id, lang, text) with the base counts and its log perplexity a byte (null: no word)."""
     split = running if across else vocabulary
 
-    def score(shard, first: bool):  # noqa: ANN001, ANN202
-        table = docs.sparkSession.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column("text")
-                group, names = _groups(batch.column("lang"))
-                for i, j in textkit.chunks(texts):
-                    part = batch.slice(i, j - i)
-                    own = texts.slice(i, j - i)
-                    w = textkit.words(own)
-                    total = np.zeros(j - i)
-                    if len(w.hash):
-                        v = split(w, group[i:j])
-                        of, value = np.repeat(v.group, v.size), np.zeros(len(v.grams))
-                        for g in np.unique(of):
-                            value[of == g] = _lookup(table.value.get(names[g]), v.grams[of == g])
-                        edges = np.concatenate([[0.0], np.cumsum(value)])
-                        ends = np.cumsum(v.size)
-                        by_word = edges[ends] - edges[ends - v.size]
-                        total = np.bincount(w.doc, by_word[v.inverse], minlength=j - i)
-                    if not first:
-                        total = total + part.column("logp").to_numpy()
-                        counts = {k: part.column(k) for k in (*COUNTS, "bytes")}
-                    else:
-                        counts = {k: pa.array(x.astype(np.int64)) for k, x in base_counts(own, w).items()}
-                        size = np.bincount(w.doc, w.end - w.start + 1, minlength=j - i) if len(w.doc) else np.zeros(j - i)
-                        counts["bytes"] = pa.array(size.astype(np.int64))
-                    yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "text": part.column("text"), **counts, "logp": pa.array(total)})
-
-        return run
-
-    kind = "doc_id long, lang string, text string, " + ", ".join(f"{k} long" for k in (*COUNTS, "bytes")) + ", logp double"
-    out = docs
-    for k, shard in enumerate(shards):
-        out = out.mapInArrow(score(shard, k == 0), kind)
-    return out.select("doc_id", "lang", *COUNTS, F.when(F.col("bytes") > 0, -F.col("logp") / F.col("bytes")).alias("log_ppl"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            group, langs = _groups(batch.column("lang"))
+            for i, j in textkit.chunks(texts):
+                part, own = batch.slice(i, j - i), texts.slice(i, j - i)
+                w = textkit.words(own)
+                total, size = np.zeros(j - i), np.zeros(j - i)
+                if len(w.hash):
+                    v = split(w, group[i:j])
+                    of, value = np.repeat(v.group, v.size), np.zeros(len(v.grams))
+                    for g in np.unique(of):
+                        value[of == g] = _lookup(names, langs[g], v.grams[of == g])
+                    edges = np.concatenate([[0.0], np.cumsum(value)])
+                    ends = np.cumsum(v.size)
+                    total = np.bincount(w.doc, (edges[ends] - edges[ends - v.size])[v.inverse], minlength=j - i)
+                    size = np.bincount(w.doc, w.end - w.start + 1, minlength=j - i)
+                counts = {k: pa.array(x.astype(np.int64)) for k, x in base_counts(own, w).items()}
+                log_ppl = pa.array(-total / np.maximum(size, 1), mask=size == 0)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": part.column("lang"), **counts, "log_ppl": log_ppl})
+
+    kind = "doc_id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", log_ppl double"
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, kind)
 
 
 def quality(docs: DataFrame, model_rows: int = MODEL_ROWS, across: bool = False) -> DataFrame:
     """Every document: doc_id, the base counts, base_failed, log_ppl, the band of its language and kept."""
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    model = cut(kneser_ney(cut(counted_grams(own, across))))
-    rows = scored(own, _shards(model, model_rows), across)
+    model = kneser_ney(cut(counted_grams(own, across)))
+    rows = scored(own, shard_files(model, model_rows), across)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     rows = cut(rows.withColumn("base_failed", failed))
     q = rows.where("NOT base_failed").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10000).alias("q"))
     reach = F.greatest(FENCE * (F.col("q")[1] - F.col("q")[0]), F.lit(MARGIN))
-    bands = q.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), reach.alias("reach"))
+    bands = cut(q.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), reach.alias("reach")))
+    # As many rows as there are languages: sent to all tasks, so that no task gets all rows of a language.
+    bands = F.broadcast(bands) if bands.limit(BANDS_MOST + 1).count() <= BANDS_MOST else bands
     own_reach = F.col("reach") * (0.5 + F.sqrt(F.try_divide(F.lit(MIN_WORDS), F.col("n_words"))))
     inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
-    # As many rows as there are languages; the join is planned by their measured size.
     rows = rows.join(bands, "lang", "left").withColumn("low", F.col("q1") - own_reach).withColumn("high", F.col("q3") + own_reach)
     return rows.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "lang", "log_ppl", "low", "high")
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode), a new one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new one in local mode and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -24,6 +28,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hand_out(spark: SparkSession, data: bytes, prefix: str) -> str:
+    """Puts ``data`` as a file into the shared folder, from which Spark brings it to every executor; its name.
+
+    Tasks open it with ``SparkFiles.get(name)`` and can map it into memory.
+    """
+    name = f"{prefix}-{uuid.uuid4().hex}.bin"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(shared_folder(spark), name)
+    with tempfile.TemporaryDirectory() as folder:
+        # Only from one process of the driver to the other.
+        with open(os.path.join(folder, name), "wb") as out:
+            out.write(data)
+        target.getFileSystem(conf).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path("file://" + folder, name), target)
+    spark.sparkContext.addFile(target.toString())
+    return name
+
+
 def text_key() -> list[Column]:
     """128 bits of hash of the column ``text``, as two longs (two seeds); null texts share one key."""
     return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]

@@ -21,7 +21,6 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.shared import shared_folder
+from webquarry.llm.shared import hand_out
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Hosts that are blocked unless a rule says otherwise; with them all their subdomains.
@@ -92,17 +91,7 @@ def share(spark: SparkSession, keys: list[tuple[str, str, str]], most: int = FIL
     groups: list[list[tuple[str, str, str]]] = [[] for _ in range(parts)]
     for h, p, k in keys:
         groups[xxhash.xxh64_intdigest((h + p).encode()) * parts >> 64].append((h, p, k))
-    names, folder = [], shared_folder(spark)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for group in groups:
-        name = f"digests-{uuid.uuid4().hex}.bin"
-        path = jvm.org.apache.hadoop.fs.Path(folder, name)
-        out = path.getFileSystem(conf).create(path)
-        out.write(bytearray(digest_array(group)))
-        out.close()
-        spark.sparkContext.addFile(path.toString())
-        names.append(name)
-    return names
+    return [hand_out(spark, digest_array(group), "digests") for group in groups]
 
 
 def _probes(host: str, path: bytes, lengths: list[int]) -> Iterator[bytes]:
