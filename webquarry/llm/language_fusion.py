@@ -7,10 +7,11 @@ suffix x the prior of the host. Host priors are sums of text-only posteriors ove
 the host, smoothed towards those of its domain, and these towards the whole corpus's, all by
 grouped aggregation.
 
-The languages are all that are declared in any row with a text. The text model is fitted on at most
-TRAIN_ROWS labelled rows of each language, those of the least hash of their id, and on the first
-TRAIN_CHARS characters of each, so the training bytes of a language are bounded, not the length
-of its rows; everything else covers all rows and whole texts.
+The languages are all that are declared in any row with a text, by their primary subtag of two or
+three letters. The text model is fitted on at most TRAIN_ROWS different labelled rows of each
+language, those of the least hash, and on the first TRAIN_CHARS characters of each, so the training
+bytes of a language are bounded, not the length of its rows. The hashes are chosen first, without
+the texts; only chosen texts leave their tasks. Everything else covers all rows and whole texts.
 
 A row is rejected if its text has no letter in any word, or if no language reaches MIN_POSTERIOR.
 
@@ -35,7 +36,7 @@ from webquarry.llm import textkit
 from webquarry.llm.ngram_quality import vocabulary
 from webquarry.llm.shared import cut
 
-#: Rows of each language; up to 1000 Spark limits them in each task before they are shuffled.
+#: Different rows of each language.
 TRAIN_ROWS = 1000
 TRAIN_CHARS = 4000
 BUCKET_BITS = 15
@@ -45,6 +46,7 @@ P_SUFFIX = 0.8
 HOST_STRENGTH = 10.0
 MIN_POSTERIOR = 0.5
 BROADCAST_HOSTS = 100_000
+BROADCAST_ROWS = 1_000_000
 #: Languages of address suffixes.
 SUFFIXES = {"at": "de", "au": "en", "de": "de", "es": "es", "fr": "fr", "mx": "es", "uk": "en", "us": "en"}
 
@@ -60,10 +62,16 @@ def _buckets(texts: pa.Array) -> tuple[textkit.Words, object, np.ndarray]:
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (bucket, language) of the bounded samples of (id, text, declared)."""
-    labelled = rows.where((F.length("text") > 0) & (F.col("declared") != ""))
-    langs = sorted(r["declared"] for r in labelled.select("declared").distinct().collect())
-    head = labelled.select("declared", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("id").alias("h"))
-    sample = head.withColumn("k", F.row_number().over(Window.partitionBy("declared").orderBy("h", "text"))).where(F.col("k") <= TRAIN_ROWS)
+    head = F.substring("text", 1, TRAIN_CHARS)
+    labelled = rows.where((F.length("text") > 0) & (F.col("declared") != "")).select("declared", head.alias("text"), F.xxhash64("id", head).alias("h"))
+    sizes = {r["declared"]: r["n"] for r in labelled.groupBy("declared").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    # Hashes up to this one are twice as many as wanted on average, so few rows are ranked.
+    limits = [(lang, min(1 << 63, round((1 << 64) * min(1.0, 2 * TRAIN_ROWS / n)) - (1 << 63)) - 1) for lang, n in sizes.items()]
+    few = labelled.join(F.broadcast(rows.sparkSession.createDataFrame(limits, "declared string, limit long")), "declared").where("h <= limit").select("declared", "h").distinct()
+    chosen = cut(few.withColumn("k", F.row_number().over(Window.partitionBy("declared").orderBy("h"))).where(F.col("k") <= TRAIN_ROWS).select("declared", "h"))
+    chosen = F.broadcast(chosen) if len(langs) * TRAIN_ROWS <= BROADCAST_ROWS else chosen
+    sample = labelled.join(chosen, ["declared", "h"]).groupBy("declared", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,17 +171,22 @@ def identify(rows: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("posterior") >= MIN_POSTERIOR, F.lit(False)))
 
 
+def primary_subtag(tag: Column) -> Column:
+    """The language of a tag like ``en`` or ``en-GB`` in lower case; '' for anything else."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(tag)), r"^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """Documents as rows to identify: the column lang is the declaration, the source the host."""
     host = F.lower(F.coalesce("source", F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.lower("lang").alias("declared"), host.alias("host"), _suffix(host).alias("suffix"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", primary_subtag(F.col("lang")).alias("declared"), host.alias("host"), _suffix(host).alias("suffix"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
     """Pages as rows to identify: text without tags, the lang attribute of the root, host and suffix of the url."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:/?#]+://([^/?#:]*)", 1), F.lit("")))
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1))
+    declared = primary_subtag(F.regexp_extract("html", r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z_-]+)", 1))
     return pages.select(F.col("page_id").cast("long").alias("id"), text.alias("text"), declared.alias("declared"), host.alias("host"), _suffix(host).alias("suffix"))
 
 
@@ -187,5 +200,10 @@ def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op4_language_fusion": op4_language_fusion}
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its language by text, markup, address suffix and the priors of host and domain."""
+    return identify(from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {"op4_language_fusion": op4_language_fusion, "page_languages": page_languages}
 ORACLES: dict[str, str] = {}
