@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from webquarry.llm import crf_extract, language_fusion, url_digests
@@ -96,6 +97,24 @@ def test_page_languages(spark, sf_dir):
     assert sum(r.lang == r.declared for r in found) >= 0.9 * len(found)
 
 
+def test_page_languages_without_and_against_declarations(spark, sf_dir):
+    rows = language_fusion.from_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).cache()
+    true = {r.id: r.declared for r in rows.collect()}
+    # Every fifth declaration is withheld, every seventh is wrong: text, suffix and host decide.
+    wrong = F.when(F.col("declared") == "en", "de").otherwise("en")
+    given = F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 7 == 0, wrong).otherwise(F.col("declared"))
+    got = {r.id: r.lang for r in language_fusion.identify(rows.withColumn("declared", given)).collect()}
+    withheld, lied = [i for i in true if i % 5 == 0], [i for i in true if i % 7 == 0 and i % 5]
+    assert sum(got[i] == true[i] for i in withheld) >= 0.9 * len(withheld)
+    assert sum(got[i] == true[i] for i in lied) >= 0.9 * len(lied)
+
+
+@pytest.mark.parametrize(("tag", "want"), [("en", "en"), ("EN-gb", "en"), ("pt_BR", "pt"), ("deu", "deu"), ("x", ""), ("english", ""), ("", ""), (None, "")])
+def test_primary_subtags(spark, tag, want):
+    row = spark.createDataFrame([(tag,)], "t string").select(language_fusion.primary_subtag(F.col("t")).alias("p")).first()
+    assert row.p == want
+
+
 def test_pipeline(spark, sf_dir):
     from webquarry.llm import decontaminate, icws_dedup
 

@@ -8,10 +8,10 @@ the host, smoothed towards those of its domain, and these towards the whole corp
 grouped aggregation.
 
 The languages are all that are declared in any row with a text, by their primary subtag of two or
-three letters. The text model is fitted on at most TRAIN_ROWS different labelled rows of each
-language, those of the least hash, and on the first TRAIN_CHARS characters of each, so the training
-bytes of a language are bounded, not the length of its rows. The hashes are chosen first, without
-the texts; only chosen texts leave their tasks. Everything else covers all rows and whole texts.
+three letters. The text model is fitted on TRAIN_ROWS labelled rows of each language on average (all of a
+rare one), those whose hash is below a share of all hashes, each text once, and on the first
+TRAIN_CHARS characters of each, so the training bytes of a language are bounded, not the length of
+its rows. Only chosen texts leave their tasks. Everything else covers all rows and whole texts.
 
 A row is rejected if its text has no letter in any word, or if no language reaches MIN_POSTERIOR.
 
@@ -29,14 +29,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.llm import textkit
 from webquarry.llm.ngram_quality import vocabulary
 from webquarry.llm.shared import cut
 
-#: Different rows of each language.
+#: Rows of each language, on average.
 TRAIN_ROWS = 1000
 TRAIN_CHARS = 4000
 BUCKET_BITS = 15
@@ -46,7 +46,6 @@ P_SUFFIX = 0.8
 HOST_STRENGTH = 10.0
 MIN_POSTERIOR = 0.5
 BROADCAST_HOSTS = 100_000
-BROADCAST_ROWS = 1_000_000
 #: Languages of address suffixes.
 SUFFIXES = {"at": "de", "au": "en", "de": "de", "es": "es", "fr": "fr", "mx": "es", "uk": "en", "us": "en"}
 
@@ -66,12 +65,10 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     labelled = rows.where((F.length("text") > 0) & (F.col("declared") != "")).select("declared", head.alias("text"), F.xxhash64("id", head).alias("h"))
     sizes = {r["declared"]: r["n"] for r in labelled.groupBy("declared").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
-    # Hashes up to this one are twice as many as wanted on average, so few rows are ranked.
-    limits = [(lang, min(1 << 63, round((1 << 64) * min(1.0, 2 * TRAIN_ROWS / n)) - (1 << 63)) - 1) for lang, n in sizes.items()]
-    few = labelled.join(F.broadcast(rows.sparkSession.createDataFrame(limits, "declared string, limit long")), "declared").where("h <= limit").select("declared", "h").distinct()
-    chosen = cut(few.withColumn("k", F.row_number().over(Window.partitionBy("declared").orderBy("h"))).where(F.col("k") <= TRAIN_ROWS).select("declared", "h"))
-    chosen = F.broadcast(chosen) if len(langs) * TRAIN_ROWS <= BROADCAST_ROWS else chosen
-    sample = labelled.join(chosen, ["declared", "h"]).groupBy("declared", "h").agg(F.first("text").alias("text"))
+    # Rows whose hash is at most this: TRAIN_ROWS of a language on average, all of a rare one.
+    limits = [(lang, min((1 << 63) - 1, round((1 << 64) * min(1.0, TRAIN_ROWS / n)) - (1 << 63))) for lang, n in sizes.items()]
+    limits = F.broadcast(rows.sparkSession.createDataFrame(limits, "declared string, limit long"))
+    sample = labelled.join(limits, "declared").where("h <= limit").groupBy("declared", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
