@@ -82,7 +82,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                 at = np.flatnonzero(total)
                 yield pa.record_batch({"declared": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "c": pa.array(total[at])})
 
-    found = sample.select("declared", "text").mapInArrow(count, "declared string, bucket long, c double").groupBy("declared", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    found = sample.select("declared", "text").mapInArrow(textkit.lean(count), "declared string, bucket long, c double").groupBy("declared", "bucket").agg(F.sum("c").alias("c")).toArrow()
     counts = np.full((1 << BUCKET_BITS, max(1, len(langs))), 0.1)
     if langs:
         column = pc.index_in(found.column("declared"), pa.array(langs)).to_numpy()
@@ -113,7 +113,7 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(langs)), pa.array(total.reshape(-1)))
                 yield pa.record_batch({**{c: part.column(c) for c in ("id", "declared", "host", "suffix")}, "lettered": pa.array(lettered), "evidence": lists})
 
-    return rows.select("id", "declared", "host", "suffix", "text").mapInArrow(score, "id long, declared string, host string, suffix string, lettered boolean, evidence array<double>")
+    return rows.select("id", "declared", "host", "suffix", "text").mapInArrow(textkit.lean(score), "id long, declared string, host string, suffix string, lettered boolean, evidence array<double>")
 
 
 def _normalised(scores: list[Column]) -> list[Column]:

@@ -152,7 +152,7 @@ def counted_grams(docs: DataFrame, across: bool = False) -> DataFrame:
         yield from summed()
 
     tasks = TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism
-    return docs.select("lang", "text").coalesce(tasks).mapInArrow(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return docs.select("lang", "text").coalesce(tasks).mapInArrow(textkit.lean(count), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def _discount(level: DataFrame, discounts: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def shard_files(model: DataFrame, most: int) -> list[str]:
             yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "data": pa.array([b"".join([head, *parts])], pa.binary())})
 
     keyed = model.select(F.pmod("gram", F.lit(n)).cast("int").alias("shard"), "lang", "gram", F.col("logp").cast("float"))
-    built = cut(keyed.repartition(n, "shard").mapInArrow(build, "shard int, data binary"))
+    built = cut(keyed.repartition(n, "shard").mapInArrow(textkit.lean(build), "shard int, data binary"))
     names = [""] * n
     # One shard at a time: each is a row of a partition of its own, as a rule.
     for row in built.toLocalIterator():
@@ -320,7 +320,7 @@ def scored(docs: DataFrame, names: list[str], across: bool = False) -> DataFrame
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": part.column("lang"), **counts, "log_ppl": log_ppl})
 
     kind = "doc_id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", log_ppl double"
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "lang", "text").mapInArrow(textkit.lean(run), kind)
 
 
 def quality(docs: DataFrame, model_rows: int = MODEL_ROWS, across: bool = False) -> DataFrame:

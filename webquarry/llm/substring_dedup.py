@@ -145,10 +145,12 @@ def _digests(words: str) -> tuple[int, int]:
     return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
-def _spans(docs: DataFrame, window: int) -> DataFrame:
-    """Occurrences of spans in ``docs`` (doc_id, h1, text, shared, common): (key, th, doc_id, h1, start, count, span).
+def _spans(docs: DataFrame, window: int, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of spans in ``docs`` (doc_id, h1, text, shared, common), and each task's distinct ones.
 
-    ``shared``: anchors of other documents too; ``common``: those of very many.
+    The occurrences are (key, th, doc_id, h1, start, count), the distinct spans (key, th, first_doc,
+    span) with the least id that the task saw. ``shared``: anchors of other documents too;
+    ``common``: those of very many.
     """
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +185,6 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
                     take = pa.array(row)
                     yield pa.record_batch({"key": pa.array(key, pa.int64()), "th": pa.array(th, pa.int64()), "doc_id": ids.take(take), "h1": h1.take(take), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32()), "span": pa.array(text, pa.string())})
 
-    return docs.select("doc_id", "h1", "text", "shared", "common").mapInArrow(spans, "key long, th long, doc_id long, h1 long, start int, count int, span string")
-
-
-def _combined(occurrences: DataFrame, most: int = 100_000) -> DataFrame:
-    """(key, th, first_doc, span): each task's distinct spans with the least id that the task saw."""
-
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[int, str]] = {}
 
@@ -197,7 +193,7 @@ def _combined(occurrences: DataFrame, most: int = 100_000) -> DataFrame:
             held.clear()
             return pa.record_batch({"key": pa.array([k[0] for k in keys], pa.int64()), "th": pa.array([k[1] for k in keys], pa.int64()), "first_doc": pa.array([v[0] for v in values], pa.int64()), "span": pa.array([v[1] for v in values], pa.string())})
 
-        for batch in batches:
+        for batch in spans(batches):
             for key, th, doc, span in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "doc_id", "span")), strict=True):
                 known = held.get((key, th))
                 if known is None or doc < known[0]:
@@ -206,7 +202,13 @@ def _combined(occurrences: DataFrame, most: int = 100_000) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return occurrences.select("key", "th", "doc_id", "span").mapInArrow(combine, "key long, th long, first_doc long, span string")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in spans(batches):
+            yield batch.drop_columns(["span"])
+
+    rows = docs.select("doc_id", "h1", "text", "shared", "common")
+    distinct = rows.mapInArrow(textkit.lean(combine), "key long, th long, first_doc long, span string")
+    return rows.mapInArrow(textkit.lean(places), "key long, th long, doc_id long, h1 long, start int, count int"), distinct
 
 
 def _marked(references: DataFrame, window: int) -> DataFrame:
@@ -250,7 +252,7 @@ def _marked(references: DataFrame, window: int) -> DataFrame:
             close()
         yield flush()
 
-    return references.repartition("key").sortWithinPartitions("key").mapInArrow(match, "key long, th long, first_doc long, mask long")
+    return references.repartition("key").sortWithinPartitions("key").mapInArrow(textkit.lean(match), "key long, th long, first_doc long, mask long")
 
 
 def _seen_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -270,7 +272,7 @@ def _seen_anchors(docs: DataFrame, window: int) -> DataFrame:
                 _, once = np.unique(textkit.mix(anchor + doc.astype(np.uint64)), return_index=True)
                 yield pa.record_batch({"anchor": textkit.signed(anchor[once]), "doc_id": ids[i:j][doc[once]]})
 
-    return docs.select("doc_id", "text").mapInArrow(anchors, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(textkit.lean(anchors), "anchor long, doc_id long")
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -282,10 +284,10 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
     shared = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
     # As many anchors as the document has runs of windows at most.
     by_doc = seen.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("common"))
-    occurrences = _spans(docs.join(by_doc, "doc_id"), window)
-    marked = _marked(_combined(occurrences), window)
+    occurrences, spans = _spans(docs.join(by_doc, "doc_id"), window)
+    marked = _marked(spans, window)
     every = F.expr("shiftleft(1L, count) - 1")
-    found = occurrences.drop("span").join(marked, ["key", "th"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first_doc"), every).otherwise(F.col("mask")))
+    found = occurrences.join(marked, ["key", "th"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first_doc"), every).otherwise(F.col("mask")))
     return found.where("mask <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "start", "mask")).alias("spans"))
 
 
@@ -337,7 +339,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carried: tuple[
     rows = keyed.join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("h1")), F.lit(False))).drop("copies")
     found = removed_windows(rows.where("NOT copy"), window, hot)
     kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans", *carried).mapInArrow(keep, f"doc_id long, n_words long, n_removed long, kept_text string{kind}").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans", *carried).mapInArrow(textkit.lean(keep), f"doc_id long, n_words long, n_removed long, kept_text string{kind}").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
