@@ -52,6 +52,8 @@ _R = (-np.log(_U[0] * _U[1])).astype(np.float32)
 _LOG_C = np.log(-np.log(_U[2] * _U[3])).astype(np.float32)
 _BETA = _U[4].astype(np.float32)
 _SALT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+#: For each round and bin, the order in which other bins are asked.
+_TRIES = np.array([[np.random.default_rng([k, b]).permutation(BINS) for b in range(BINS)] for k in range(ROUNDS)])
 
 
 def _words(texts: pa.Array) -> textkit.Words:
@@ -116,42 +118,38 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np
     """ICWS samples of n sets: uint64 (n, ROUNDS, BINS); sets without a shingle have zeros."""
     out = np.zeros((n, ROUNDS, BINS), np.uint64)
     log_w = np.log(weight)
+    low, best = np.empty(n * BINS, np.float32), np.empty(n * BINS, np.int64)
     for k in range(ROUNDS):
         x = textkit.mix(h * _SALT[k])
         pool = (x >> np.uint64(64 - _POOL_BITS)).astype(np.int64)
         slot = doc * BINS + (x & np.uint64(BINS - 1)).astype(np.int64)
-        r = _R[pool]
-        t = np.floor(log_w / r + _BETA[pool])
-        log_a = _LOG_C[pool] - r * (t - _BETA[pool] + 1)
-        order = np.argsort(slot, kind="stable")
-        s = slot[order]
-        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        low = np.repeat(np.minimum.reduceat(log_a[order], at), np.diff(np.append(at, len(s))))
-        hit = np.flatnonzero(log_a[order] == low)
-        _, one = np.unique(s[hit], return_index=True)
-        best = order[hit[one]]
-        sample = textkit.mix(h[best] + t[best].astype(np.int64).view(np.uint64) * _SALT[32]) | np.uint64(1)
-        flat = out[:, k, :]
-        flat[slot[best] // BINS, slot[best] % BINS] = sample
-        _densify(flat, k)
+        r, beta = _R[pool], _BETA[pool]
+        t = np.floor(log_w / r + beta)
+        log_a = _LOG_C[pool] - r * (t - beta + 1)
+        low.fill(np.inf)
+        np.minimum.at(low, slot, log_a)
+        # Of equal minima the first in the order of hashes, as the last one written here.
+        hit = np.flatnonzero(log_a == low[slot])[::-1]
+        best.fill(-1)
+        best[slot[hit]] = hit
+        full = np.flatnonzero(best >= 0)
+        first = best[full]
+        out[full // BINS, k, full % BINS] = textkit.mix(h[first] + t[first].astype(np.int64).view(np.uint64) * _SALT[32]) | np.uint64(1)
+        _densify(out[:, k, :], _TRIES[k])
     return out
 
 
-def _densify(flat: np.ndarray, k: int) -> None:
-    """Empty bins take the sample of another bin, tried in an order fixed by bin and round."""
-    some = np.flatnonzero((flat != 0).any(axis=1) & (flat == 0).any(axis=1))
-    if not len(some):
-        return
-    source = flat[some].copy()
-    for b in range(BINS):
-        need = np.flatnonzero(source[:, b] == 0)
-        tries = np.random.default_rng([k, b]).permutation(BINS)
-        for c in tries:
-            if not len(need):
-                break
-            got = source[need, c] != 0
-            flat[some[need[got]], b] = textkit.mix(source[need[got], c] + np.uint64(b + 1)) | np.uint64(1)
-            need = need[~got]
+def _densify(flat: np.ndarray, tries: np.ndarray) -> None:
+    """Empty bins take the sample of another bin, the first full one in the bin's own order ``tries``."""
+    full = flat != 0
+    some = np.flatnonzero(full.any(axis=1) & ~full.all(axis=1))
+    for at in range(0, len(some), 1024):
+        rows = some[at : at + 1024]
+        source = flat[rows]
+        row, empty = np.nonzero(source == 0)
+        own = tries[empty]
+        found = own[np.arange(len(row)), (source[row[:, None], own] != 0).argmax(axis=1)]
+        flat[rows[row], empty] = textkit.mix(source[row, found] + (empty + 1).astype(np.uint64)) | np.uint64(1)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
