@@ -48,6 +48,22 @@ def test_html_text(spark):
     assert spark.createDataFrame([(html,)], "h string").select(C.html_text(F.col("h"))).first()[0] == "Hello big world"
 
 
+@pytest.mark.parametrize("text", ["a &amp; b", "&amp;lt;", "&#64;&#x41;&#X1F600;", "&#0;&#xD800;", "&unknown; &eacute;&Eacute;", "no", "&", "&&amp;&", "&quot;&apos;&copy;"])
+def test_references_are_decoded_as_the_standard_library_does(spark, text):
+    from html import unescape
+
+    assert spark.createDataFrame([(text,)], "t string").select(C.decoded_references(F.col("t"))).first()[0] == unescape(text)
+
+
+def test_linked_data_is_part_of_the_contacts(spark):
+    html = '<script type="application/ld+json">{"email": "Info@acme.example", "sameAs": ["telegram.me/acme", "https://www.linkedin.com/company/acme?utm_source=a"]}</script>'
+    pages = spark.createDataFrame([(1, "https://a.example/", html), (2, "https://b.example/", "x"), (3, "https://c.example/", None)], "id int, url string, html string")
+    got = {r.host: r for r in crawl.host_contacts(pages).collect()}
+    one = got["a.example"]
+    assert one.emails == ["info@acme.example"] and one.telegram == ["https://t.me/acme"] and one.linkedin == ["https://www.linkedin.com/company/acme"] and one.confidence == 90
+    assert got["b.example"].emails == [] and got["c.example"].pages == 1
+
+
 def test_tags_and_subjects(spark):
     row = spark.range(1).select(C.subject_area(F.array(*map(F.lit, ["fintech co", "B2B", "saas", "ai", "iot"]))).alias("s"), C.merged_tags(F.lit("Ai"), F.array(*map(F.lit, ["AI", "x", "y", "z"]))).alias("t")).first()
     assert row.s == "fintech co, saas, ai" and row.t == ["Ai", "x", "y"]

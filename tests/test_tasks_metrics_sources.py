@@ -51,23 +51,58 @@ def test_xml(spark):
 def test_robots(spark):
     text = "User-agent: *\n  Disallow: /private\nDisallow:\nAllow: /x\nCrawl-delay: not_a_number"
     row = spark.createDataFrame([(text,)], "t string").select(serp.robots_rules(F.col("t")).alias("r")).first().r
-    assert row.disallow == ["/private", ""] and row.allow == ["/x"] and row.crawl_delay is None
+    # Empty paths say nothing, as in the rules that the engine follows.
+    assert row.disallow == ["/private"] and row.allow == ["/x"] and row.crawl_delay is None
     rules = F.array(F.lit("/*.pdf$"), F.lit(""))
     assert spark.range(1).select(serp.is_allowed(F.lit("/document.pdf"), rules), serp.is_allowed(F.lit("/a"), rules)).first()[:] == (False, True)
 
 
 def test_sitemaps_lists_and_replies(spark):
     row = spark.range(1).select(
-        serp.sitemap_urls(F.lit("<loc> https://a.example/x </loc><loc>https://a.example/y.PDF</loc>")).alias("s"),
+        serp.sitemap_urls(F.lit("<loc>https://a.example/x</loc><loc>https://a.example/y.pdf</loc><loc>https://a.example/y.PDF</loc><loc>a\nb</loc>")).alias("s"),
         serp.llm_contacts(F.lit('text {"emails": ["a@acme.example"]} text')).alias("a"),
         serp.llm_contacts(F.lit("[1]")).alias("b"),
         serp.search_type(F.lit("zz")).alias("t"),
         serp.localisation(F.lit("en")).alias("l"),
     ).first()
-    assert row.s == ["https://a.example/x"] and row.a.emails == ["a@acme.example"] and row.b.emails == []
+    assert row.s == ["https://a.example/x", "https://a.example/y.PDF"] and row.a.emails == ["a@acme.example"] and row.b.emails == []
     assert row.t == "SEARCH_TYPE_RU" and row.l == "LOCALIZATION_EN"
 
 
+def test_reports_are_written_and_the_newest_two_read(spark, tmp_path):
+    import os
+
+    for k, rate in enumerate((10.0, 30.0, 20.0)):
+        sinks.write_report(spark.createDataFrame([(rate, 5.0, k)], "with_contacts_rate double, zero_page_rate_in_run double, failures int"), str(tmp_path / "r"))
+        fresh = [p for p in (tmp_path / "r").glob("*.json") if os.path.getmtime(p) > 2_000_000]
+        for p in fresh:
+            os.utime(p, (1_000_000 + 1000 * k, 1_000_000 + 1000 * k))
+    got = {r.metric: (r.new, r.old, r.delta, r.trend) for r in metrics.newest_delta(sinks.newest_reports(spark, str(tmp_path / "r"))).collect()}
+    assert got == {"with_contacts_rate": (20.0, 30.0, -10.0, "regressed"), "zero_page_rate_in_run": (5.0, 5.0, 0.0, "improved"), "failures": (2.0, 1.0, 1.0, "regressed")}
+
+
+def test_xml_with_entities_is_not_read():
+    bomb = '<!DOCTYPE r [<!ENTITY a "x"><!ENTITY b "&a;&a;">]><r><doc><url>&b;</url></doc></r>'
+    assert serp.xml_rows(bomb) == [] and serp.xml_rows("<r><doc><url>u</url></doc></r>")[0]["url"] == "u"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (None, None),
+        ("plain", "plain"),
+        ("x" * 700, "x" * 500),
+        ('{"a": "{\\"token\\": \\"x\\"}"}', '{"a": {"token": "***REDACTED***"}}'),
+        ('{"Authorization": ["x"], "b": "12"}', '{"Authorization": "***REDACTED***", "b": 12}'),
+        ("[" * 100_000, "[" * 500),
+    ],
+)
+def test_secrets(text, want):
+    from webquarry.functions import documents
+
+    assert documents.sanitised(text) == want
+
+
 def test_new_keywords(spark):
     forms = spark.createDataFrame([(1, "a\nb\n\n<a>\nc"), (2, "c\nd")], "form_id int, text string")
     got = serp.new_keywords(forms, spark.createDataFrame([("b",)], "keyword string")).collect()

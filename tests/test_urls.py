@@ -74,8 +74,16 @@ def test_suffix_join_equals_the_test_by_column(spark):
     assert {r.url for r in left.collect()} == {"https://ab.example/", "https://c.example/"}
 
 
+@pytest.mark.parametrize("base", ["https://a.example/x/y?q=1#f", "http://a.example", "https://a.example/", "https://a.example/d/"])
+@pytest.mark.parametrize("link", ["", "/c", "c.html", "../about", "./t/../u/", "..", ".", "?p=1", "#f", "//b.example/c", "https://b.example/x", "mailto:a@b.example", "a//b/c", "/a/./b/../c?d=../e", "../../../x"])
+def test_links_are_joined_as_the_standard_library_does(spark, base, link):
+    from urllib.parse import urljoin
+
+    assert spark.range(1).select(U.joined(F.lit(base), F.lit(link))).first()[0] == urljoin(base, link)
+
+
 def test_frontier_and_links(spark):
     front = {r.url: r.priority for r in crawl.frontier(spark.createDataFrame([("https://a.example/",)], "base string")).collect()}
-    assert front["https://a.example/contact"] == 10 and front["https://a.example/about"] == 7 and front["https://a.example"] == 7
+    assert front["https://a.example/contact"] == 10 and front["https://a.example/about"] == 7 and front["https://a.example/"] == 7 and front["https://a.example/our-story"] == 5
     pages = spark.createDataFrame([("https://a.example/x", '<a href="/contact">c</a><a href="/blog">b</a><a href="https://b.example/contact">o</a>')], "url string, html string")
     assert [(r.link, r.priority) for r in crawl.links(pages).collect()] == [("https://a.example/contact", 10)]

@@ -26,6 +26,8 @@ CONTACT_PAGE_PARTS = ("/contact", "/contacts", "/about", "/team", "/leadership",
 INTERNAL_LINK_ENDINGS = (".pdf", ".jpg", ".png", ".zip", ".mp4", ".doc")
 PRIMARY_PATHS = ("/contact", "/contacts", "/contact-us", "/impressum", "/kontakt")
 CONTACT_PATHS = ("/contact", "/contacts", "/about", "/about-us", "/team", "/our-team", "/leadership", "/contact-us", "/impressum", "/legal")
+EXTRA_PATHS = ("/team-members", "/our-story", "/company", "/leadership-team")
+SITEMAP_SKIPPED = (".jpg", ".png", ".pdf", ".zip", ".mp4")
 # E-mail addresses that are no business contacts.
 BLOCKED_MAILBOXES = ("noreply", "no-reply", "donotreply", "support", "admin", "webmaster", "postmaster")
 FREE_PROVIDERS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "mail.ru", "yandex.ru")
@@ -52,10 +54,12 @@ OBFUSCATION = r"(?i)\[at\]|\(at\)| at |\[dot\]|\(dot\)| dot |\{@\}"
 GENERIC_TAGS = ("b2b", "company", "business", "website")
 # Limits and thresholds.
 PAYLOAD_PAGES, PAYLOAD_TEXT, PAYLOAD_HTML = 3, 15000, 50000
+ERROR_STATUS, MIN_HTML, MIN_TEXT = 400, 80, 200
 LOCK_SECONDS = 300
+HINT_RUNNING, HINT_FAILED = 15, 20
 ALERT_ZERO_PAGES, ALERT_TIMEOUT_RATE, ALERT_CONTACTS_RATE, ALERT_AVERAGE = 5, 35.0, 20.0, 0.5
 DENYLIST_DAYS, DENYLIST_ZERO_CRAWLS, DENYLIST_LIMIT = 7, 3, 25
-MAX_RETRIES = {"search_keyword": 3, "crawl_domain": 2, "extract_contacts": 1}
+MAX_RETRIES = {"search_keyword": 3, "crawl_domain": 2, "extract_contacts": 1, "save_results": 3}
 CONTACT_TYPES = ("email", "telegram", "linkedin", "phone", "x", "facebook", "instagram", "youtube")
 KEYWORD_SYNONYMS = {
     "стартап": ("компания", "бизнес", "предприятие"),

@@ -3,25 +3,51 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
+from webquarry.functions import documents as D
 from webquarry.functions.urls import contact_url, telegram_url
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    # Letters of all scripts have a case.
+    pattern = pattern.replace("(?i)", "(?iu)")
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _character(ref: Column) -> Column:
+    """The character of a reference; names that HTML 4 doesn't have stay as they are."""
+    number = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)).when(ref.startswith("&#"), F.regexp_extract(ref, "^&#([0-9]+)", 1)).cast("long")
+    wrong = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    code = F.when(wrong, F.lit(0xFFFD)).otherwise(number)
+    names = F.create_map(*[F.lit(x) for name, n in {**name2codepoint, "apos": 39}.items() for x in (name, chr(n))])
+    named = F.element_at(names, F.regexp_extract(ref, "^&([A-Za-z0-9]+);", 1))
+    return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), named, ref)
+
+
+def decoded_references(text: Column) -> Column:
+    """A text with its character references decoded, each once."""
+    pieces = F.split(text, _REFERENCE, -1)
+    found = F.transform(_all(text, _REFERENCE), _character)
+    whole = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Text of a page: no scripts, styles and tags, white space collapsed."""
+    """Text of a page: no scripts, styles and tags, references decoded, white space collapsed."""
     out = F.coalesce(html, F.lit(""))
     for tag in ("script", "style", "noscript"):
         out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]+>", " "), r"\s+", " "))
+    # Also the no-break space that a reference may have left.
+    return F.trim(F.regexp_replace(decoded_references(F.regexp_replace(out, r"(?s)<[^>]+>", " ")), r"[\s\x{A0}]+", " "))
 
 
 def is_business_email(email: Column) -> Column:
@@ -73,8 +99,38 @@ def social(text: Column, html: Column, platform: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(_all(both, V.SOCIAL[platform]), contact_url)))
 
 
+def has_linked_data(html: Column) -> Column:
+    """Whether a page has a linked-data script."""
+    return F.coalesce(html.rlike(r"(?i)application/ld\+json"), F.lit(False))
+
+
+def linked_contacts(html: Column) -> Column:
+    """E-mail addresses and links (contact_type, value) of a page's linked-data scripts, of any depth."""
+    scripts = F.when(has_linked_data(html), F.regexp_extract_all(html, F.lit(D.LINKED_DATA), F.lit(1)))
+    none = F.array().cast("array<struct<contact_type: string, value: string>>")
+    return F.coalesce(D.linked_data(scripts), none)
+
+
+def with_linked(info: Column, linked: Column) -> Column:
+    """The contacts of a page together with those of its linked data, normalised, sorted, each once."""
+
+    def of(kind: str) -> Column:
+        return F.transform(F.filter(linked, lambda c: c["contact_type"] == kind), lambda c: c["value"])
+
+    def both(name: str, more: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.concat(info[name], F.filter(more, lambda x: x != "")))).alias(name)
+
+    mails = F.transform(F.filter(of("email"), is_business_email), normal_email)
+    return F.struct(both("emails", mails), both("telegram", F.transform(of("telegram"), telegram_url)), both("linkedin", F.transform(of("linkedin"), contact_url)), info["phones"].alias("phones"), info["social"].alias("social"))
+
+
+def has_contacts(info: Column) -> Column:
+    """Whether a page has any contact but phones."""
+    return (F.size(info["emails"]) > 0) | (F.size(info["telegram"]) > 0) | (F.size(info["linkedin"]) > 0) | (F.size(info["social"]) > 0)
+
+
 def contact_info(text: Column, html: Column) -> Column:
-    """All contacts of one page as a struct."""
+    """All contacts of one page's text and HTML as a struct."""
     platforms = F.create_map(*[x for p in V.SOCIAL for x in (F.lit(p), social(text, html, p))])
     return F.struct(emails(text, html).alias("emails"), telegrams(text, html).alias("telegram"), linkedins(text, html).alias("linkedin"), phones(text).alias("phones"), F.map_filter(platforms, lambda _, v: F.size(v) > 0).alias("social"))
 
@@ -100,6 +156,13 @@ def subject_area(tags: Column) -> Column:
     return F.array_join(F.slice(F.filter(tags, lambda t: ~F.lower(t).isin(*V.GENERIC_TAGS)), 1, 3), ", ")
 
 
+def subject_or_keyword(tags: Column, keyword: Column) -> Column:
+    """The subject area, else the keyword if any of its words says something, else ''."""
+    words = F.filter(F.split(F.trim(F.lower(keyword)), r"\s+"), lambda w: ~w.isin("", *V.GENERIC_TAGS))
+    own = subject_area(F.coalesce(tags, F.array().cast("array<string>")))
+    return F.when(own != "", own).when(F.size(words) > 0, keyword).otherwise("")
+
+
 def merged_tags(keyword: Column, categories: Column) -> Column:
     """The keyword, then the categories that aren't in the list yet, whatever their case."""
     return F.aggregate(F.slice(categories, 1, 3), F.array(keyword), lambda out, c: F.when(F.exists(out, lambda t: F.lower(t) == F.lower(c)), out).otherwise(F.concat(out, F.array(c))))
@@ -130,3 +193,18 @@ def keyword_variations(keyword: Column) -> Column:
 def has_any(*counts: Column) -> Column:
     """Whether any count is above zero."""
     return reduce(or_, [c > 0 for c in counts])
+
+
+def stored_has_data(stored: Column, kinds: tuple[str, ...] = ("emails", "telegram", "linkedin"), social: bool = True) -> Column:
+    """Whether stored contacts, a JSON text, have any value; what is no object has none."""
+    kind = "struct<emails: array<string>, telegram: array<string>, linkedin: array<string>, social: map<string, array<string>>>"
+    found = F.from_json(stored, kind)
+    tests = [F.coalesce(F.size(found[k]) > 0, F.lit(False)) for k in kinds]
+    if social:
+        tests.append(F.coalesce(F.exists(F.map_values(found["social"]), lambda v: F.size(v) > 0), F.lit(False)))
+    return F.coalesce(reduce(or_, tests), F.lit(False))
+
+
+def method_label(model_reply: Column) -> Column:
+    """How contacts were found: by a model if there is a reply of one, else by patterns."""
+    return F.when(model_reply.isNotNull(), "llm").otherwise("regex")

@@ -8,27 +8,38 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What names of secrets contain, what stands for them, and what is shown of texts and lists.
 _SECRET = ("token", "secret", "password", "api_key", "authorization")
+_MASK = "***REDACTED***"
+_TEXT, _LIST = 500, 50
 
 
-def _clean(value: object, depth: int = 0) -> object:
-    if depth > 50:
-        return None
+def _clean(value: object) -> object:
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except (ValueError, RecursionError):
+            return value[:_TEXT]
     if isinstance(value, dict):
-        return {k: "***" if any(s in k.lower() for s in _SECRET) else _clean(v, depth + 1) for k, v in value.items()}
+        return {k: _MASK if any(s in k.lower() for s in _SECRET) else _clean(v) for k, v in value.items()}
     if isinstance(value, list):
-        return [_clean(v, depth + 1) for v in value[:50]]
+        return [_clean(v) for v in value[:_LIST]]
     return value
 
 
 def sanitised(text: str | None) -> str | None:
-    """JSON without secrets and with lists of fifty at most; other text cut to 500 characters."""
+    """A stored text as it may be shown.
+
+    JSON, also inside strings of it, without secrets and with lists of fifty at most; any other
+    text cut to 500 characters. JSON that is nested too deeply to be read is such a text.
+    """
     if text is None:
         return None
     try:
-        return json.dumps(_clean(json.loads(text)), ensure_ascii=False, sort_keys=True)
-    except ValueError:
-        return text[:500]
+        clean = _clean(text)
+    except RecursionError:
+        return text[:_TEXT]
+    return clean if isinstance(clean, str) else json.dumps(clean, ensure_ascii=False, sort_keys=True)
 
 
 @F.pandas_udf(T.StringType())
@@ -46,7 +57,7 @@ def _walk(value: object) -> list[tuple[str, str]]:
         elif isinstance(node, dict):
             todo += node.values()
             if isinstance(node.get("email"), str):
-                found.append(("email", node["email"].strip().lower().removeprefix("mailto:")))
+                found.append(("email", node["email"]))
             same = node.get("sameAs")
             for link in [same] if isinstance(same, str) else same if isinstance(same, list) else []:
                 if isinstance(link, str):
@@ -55,19 +66,19 @@ def _walk(value: object) -> list[tuple[str, str]]:
 
 
 def linked_data_contacts(scripts: list[str]) -> list[dict[str, str]]:
-    """Contacts in linked-data scripts, sorted, each once; scripts that aren't JSON have none."""
+    """Contacts in linked-data scripts as written there, sorted, each once; scripts that aren't JSON have none."""
     found: set[tuple[str, str]] = set()
-    for script in scripts:
+    for script in scripts if scripts is not None else ():
         try:
-            found.update(_walk(json.loads(script)))
-        except ValueError:
+            found.update(_walk(json.loads(script.strip())))
+        except (ValueError, RecursionError):
             continue
     return [{"contact_type": kind, "value": value} for kind, value in sorted(found)]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("contact_type", T.StringType()), T.StructField("value", T.StringType())])))
 def linked_data(scripts: pd.Series) -> pd.Series:
-    """Column version of linked_data_contacts(); apply it to rows that have such scripts only."""
+    """Column version of linked_data_contacts(); null scripts, of pages without one, have none."""
     return scripts.map(linked_data_contacts)
 
 

@@ -34,6 +34,45 @@ def root(url: Column) -> Column:
     return F.when(found == "", "").otherwise(F.concat(found, F.lit("/")))
 
 
+def location(url: Column) -> Column:
+    """Network location as written, with ``www.`` and port; '' without a scheme."""
+    return F.coalesce(F.regexp_extract(url, _SCHEME + r"([^/?#]*)", 1), F.lit(""))
+
+
+def _without_dots(segments: Column) -> Column:
+    """Path segments without ``.`` and ``..``; what ends in one of them ends in a slash."""
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.concat(out, F.array(s))),
+    )
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+
+
+def joined(base: Column, link: Column) -> Column:
+    """A link resolved by the absolute URL of its page: other schemes as they are, dots taken out of paths."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    top = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    own = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    path_of, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    # All but the last segment of the page's path, then the link's; empty ones inside don't count.
+    both = F.concat(F.slice(F.split(own, "/"), 1, F.greatest(F.size(F.split(own, "/")) - 1, F.lit(0))), F.split(path_of, "/"))
+    inner = F.slice(both, 1, F.size(both) - 1)
+    relative = F.concat(F.filter(inner, lambda s: s != ""), F.array(F.element_at(both, -1)))
+    absolute = F.slice(F.split(path_of, "/"), 2, F.size(F.split(path_of, "/")))
+    segments = F.when(path_of.startswith("/"), absolute).otherwise(relative)
+    resolved = F.concat(top, F.lit("/"), F.array_join(_without_dots(segments), "/"), rest)
+    same_page = F.concat(top, own, F.when(link.startswith("?"), link).otherwise(F.concat(query, link)))
+    return (
+        F.when(F.coalesce(link, F.lit("")) == "", base)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(path_of == "", same_page)
+        .otherwise(resolved)
+    )
+
+
 def is_blocked(url: Column, hosts: tuple[str, ...] = V.BLOCKED_HOSTS) -> Column:
     """Whether the host is empty, listed, or a subdomain of a listed one."""
     own = host(url)
@@ -48,7 +87,11 @@ def host_suffixes(own: Column) -> Column:
 
 def crawl_score(url: Column) -> Column:
     """How likely a URL leads to contacts; -1000 for files."""
-    p = F.lower(path(url))
+    return path_score(F.lower(path(url)))
+
+
+def path_score(p: Column) -> Column:
+    """The score of a path in lower case."""
     marks = [(V.HIGH_MARKERS, 100), (V.MEDIUM_MARKERS, 60), (V.LOW_MARKERS, -45)]
     score = reduce(add, [F.when(p.contains(m), weight).otherwise(0) for markers, weight in marks for m in markers])
     score = score + F.when(p.rlike("^/*$"), 25).otherwise(0)
@@ -111,4 +154,4 @@ def search_query(keyword: Column, language: Column, country: Column) -> Column:
 
 def crawl_delay(delay: Column) -> Column:
     """Seconds between requests: at least 0.1, else 0.5 if none is told."""
-    return F.coalesce(F.greatest(delay, F.lit(0.1)), F.lit(0.5))
+    return F.when(delay.isNull(), F.lit(0.5)).otherwise(F.greatest(delay, F.lit(0.1)))

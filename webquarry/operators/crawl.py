@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
 from webquarry.functions import contacts as C
-from webquarry.functions import documents as D
 from webquarry.functions import urls as U
 
 
 def crawl_targets(results: DataFrame, hosts: tuple[str, ...] = V.BLOCKED_HOSTS) -> DataFrame:
-    """The best URL of each host: (host, url, score, rank) of results (seq, url).
+    """The best URL of each host: (host, url, score, first_seq) of results (seq, url).
 
     Candidates are the URL and, for articles, its root; the highest score wins, the earlier of
-    equals. Hosts are ranked by score, those first accepted earlier before equals.
+    equals. ``ranked`` sorts the hosts.
     """
     both = F.array(F.struct(F.lit(0).alias("cand"), F.trim("url").alias("u")), F.struct(F.lit(1).alias("cand"), U.root(F.trim("url")).alias("u")))
     rows = results.where(F.trim("url") != "").select("seq", "url", F.explode(both).alias("c")).select("seq", "c.cand", F.col("c.u").alias("u"), U.needs_root(F.trim("url")).alias("fallback"))
-    rows = rows.where("cand = 0 OR fallback").select("*", U.host(F.col("u")).alias("host"), U.crawl_score(F.col("u")).alias("score"))
+    # The path is computed once, as the score reads it for each of its marks.
+    rows = rows.where("cand = 0 OR fallback").select("*", U.host(F.col("u")).alias("host"), F.lower(U.path(F.col("u"))).alias("p"))
+    rows = rows.select("*", U.path_score(F.col("p")).alias("score"))
     rows = rows.where(~U.is_blocked(F.col("u"), hosts) & (F.col("score") > -1000))
     best = rows.groupBy("host").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"), (-F.col("cand")).alias("k"), "u")).alias("b"), F.min("seq").alias("first_seq"))
     return best.select("host", F.col("b.u").alias("url"), F.col("b.score").alias("score"), "first_seq")
 
 
+def ranked(targets: DataFrame) -> DataFrame:
+    """Crawl targets sorted by score, those of hosts that were accepted earlier before equals."""
+    return targets.orderBy(F.desc("score"), "first_seq")
+
+
 def not_blocked(rows: DataFrame, url: str, listed: DataFrame) -> DataFrame:
     """Rows whose host is no subdomain of a listed host: an equi-join of the host's suffixes with ``listed`` (host)."""
     keyed = rows.withColumn("_host", U.host(F.col(url)))
@@ -34,33 +40,41 @@ def not_blocked(rows: DataFrame, url: str, listed: DataFrame) -> DataFrame:
 
 
 def page_contacts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with the text of the HTML and the contacts found as ``info``."""
-    texts = pages.withColumn("content", C.html_text(F.col(html)))
-    return texts.withColumn("info", C.contact_info(F.col("content"), F.col(html)))
+    """``pages`` with the text of the HTML and the contacts of text, HTML and linked data as ``info``."""
+    texts = pages.withColumn("content", C.html_text(F.col(html))).withColumn("_linked", C.linked_contacts(F.col(html)))
+    found = texts.withColumn("info", C.contact_info(F.col("content"), F.col(html)))
+    return found.withColumn("info", C.with_linked(F.col("info"), F.col("_linked"))).drop("_linked")
 
 
 def linked_data_contacts(pages: DataFrame) -> DataFrame:
-    """(page_id, contact_type, value) from linked-data scripts of pages; only pages with one reach Python."""
-    scripts = F.regexp_extract_all("html", F.lit(D.LINKED_DATA), F.lit(1))
-    rows = pages.where(F.col("html").rlike(r"(?i)application/ld\+json")).select("page_id", F.explode(D.linked_data(scripts)).alias("c"))
-    rows = rows.select("page_id", "c.contact_type", "c.value")
-    return rows.where((F.col("contact_type") != "email") | C.is_business_email(F.col("value")))
+    """(page_id, contact_type, value) of linked-data scripts, normalised, each once; only pages with one reach Python."""
+    rows = pages.where(C.has_linked_data(F.col("html"))).select("page_id", F.explode(C.linked_contacts(F.col("html"))).alias("c")).select("page_id", "c.contact_type", "c.value")
+    kind, value = F.col("contact_type"), F.col("value")
+    normal = F.when(kind == "email", C.normal_email(value)).when(kind == "telegram", U.telegram_url(value)).otherwise(U.contact_url(value))
+    rows = rows.where((kind != "email") | C.is_business_email(value)).select("page_id", kind, normal.alias("value"))
+    return rows.where("value <> ''").distinct()
 
 
 def host_contacts(pages: DataFrame) -> DataFrame:
-    """Contacts per host over all its pages (url, html): lists, sorted and each once, and the confidence."""
-    rows = page_contacts(pages).withColumn("host", U.host(F.col("url")))
-    kinds = ("emails", "telegram", "linkedin", "phones")
-    # One row a contact: partial aggregation keeps each once before the shuffle.
+    """Contacts per host over all its pages (url, html): lists, sorted and each once, and the confidence.
+
+    ``social`` lists the links of all other platforms.
+    """
+    rows = page_contacts(pages).select(U.host(F.col("url")).alias("host"), U.is_contact_page(F.col("url")).cast("long").alias("contact_page"), "info")
+    kinds = ("emails", "telegram", "linkedin", "phones", "social")
 
+    # One row a contact and one a page: partial aggregation keeps each contact once before the shuffle.
     def typed(kind: str):  # noqa: ANN202
-        return F.transform(F.col(f"info.{kind}"), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        values = F.flatten(F.map_values("info.social")) if kind == "social" else F.col(f"info.{kind}")
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    each = rows.select("host", F.explode_outer(F.concat(*map(typed, kinds))).alias("c"))
-    lists = each.groupBy("host").agg(*[F.array_sort(F.collect_set(F.when(F.col("c.kind") == k, F.col("c.value")))).alias(k) for k in kinds])
-    pages_by_host = rows.groupBy("host").agg(F.count("*").alias("pages"), F.sum(U.is_contact_page(F.col("url")).cast("long")).alias("contact_pages"))
-    joined = pages_by_host.join(lists, "host")
-    return joined.withColumn("confidence", C.confidence(*[F.size(k) for k in kinds]))
+    page = F.array(F.struct(F.lit("page").alias("kind"), F.lit(None).cast("string").alias("value")))
+    each = rows.select("host", "contact_page", F.explode(F.concat(page, *map(typed, kinds))).alias("c"))
+    first = F.col("c.kind") == "page"
+    counts = [F.count_if(first).alias("pages"), F.sum(F.when(first, F.col("contact_page")).otherwise(0)).alias("contact_pages")]
+    lists = [F.array_sort(F.collect_set(F.when(F.col("c.kind") == k, F.col("c.value")))).alias(k) for k in kinds]
+    found = each.groupBy("host").agg(*counts, *lists)
+    return found.withColumn("confidence", C.confidence(*[F.size(k) for k in kinds[:4]]))
 
 
 def early_stop(items: DataFrame, host: str, order: str, hit: str, most: int) -> DataFrame:
@@ -70,35 +84,69 @@ def early_stop(items: DataFrame, host: str, order: str, hit: str, most: int) ->
     return items.withColumn("_n", F.row_number().over(w)).withColumn("_hit", before).where(f"_hit = 0 AND _n <= {most}").drop("_n", "_hit")
 
 
-def payload(items: DataFrame, host: str, order: str) -> DataFrame:
-    """The first pages of each host, texts and HTML cut to the sizes that the queue carries."""
+def payload(pages: DataFrame, host: str, order: str) -> DataFrame:
+    """The first pages (order, host, html) of each host, texts and HTML cut to the sizes that the queue carries.
+
+    Pages are ranked without their HTML, which is joined to the few that stay.
+    """
     rank = F.row_number().over(Window.partitionBy(host).orderBy(order))
-    rows = items.withColumn("_n", rank).where(F.col("_n") <= V.PAYLOAD_PAGES).drop("_n")
-    return rows.withColumn("content", F.substring("content", 1, V.PAYLOAD_TEXT)).withColumn("html", F.substring("html", 1, V.PAYLOAD_HTML))
+    first = pages.select(order, host).withColumn("_n", rank).where(F.col("_n") <= V.PAYLOAD_PAGES).select(order)
+    rows = pages.join(first, order, "left_semi")
+    return rows.withColumn("content", F.substring(C.html_text(F.col("html")), 1, V.PAYLOAD_TEXT)).withColumn("html", F.substring("html", 1, V.PAYLOAD_HTML))
 
 
-def frontier(bases: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
-    """URLs to visit for each base URL (base): contact paths, sitemap pages (base, loc) and the base, each once at its first priority."""
-    base = F.regexp_replace(U.root(F.col("base")), "/$", "")
-    known = [(p, 10) for p in V.PRIMARY_PATHS] + [(p, 7) for p in V.CONTACT_PATHS] + [("", 7)]
-    listed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(i).alias("i")) for i, (p, w) in enumerate(known)])
+def frontier(bases: DataFrame, sitemap: DataFrame | None = None, keep_order: bool = False) -> DataFrame:
+    """URLs to visit for each base URL (base): contact paths, sitemap pages (base, loc), the base and some more, each once at its first priority.
+
+    ``keep_order``: with ``seq``, their place in the list.
+    """
+    base = U.root(F.col("base"))
+    known = [(p, 10) for p in V.PRIMARY_PATHS] + [(p, 7) for p in V.CONTACT_PATHS]
+    late = [("/", 7)] + [(p, 5) for p in V.EXTRA_PATHS]
+    places = [(p, w, i) for i, (p, w) in enumerate(known)] + [(p, w, len(known) + 1 + i) for i, (p, w) in enumerate(late)]
+    listed = F.array(*[F.struct(F.lit(p[1:]).alias("p"), F.lit(w).alias("w"), F.lit(i).alias("i")) for p, w, i in places])
     rows = bases.select("base", F.explode(listed).alias("c")).select("base", F.concat(base, F.col("c.p")).alias("url"), F.col("c.w").alias("priority"), F.col("c.i").alias("seq"))
     if sitemap is not None:
-        rows = rows.union(sitemap.where(U.is_contact_page(F.col("loc"))).select("base", F.col("loc").alias("url"), F.lit(9), F.lit(5)))
+        rows = rows.union(sitemap.where(U.is_contact_page(F.col("loc"))).select("base", F.col("loc").alias("url"), F.lit(9), F.lit(len(known))))
     first = F.row_number().over(Window.partitionBy("base", "url").orderBy("seq"))
-    return rows.withColumn("_n", first).where("_n = 1").drop("_n", "seq")
+    rows = rows.withColumn("_n", first).where("_n = 1").drop("_n")
+    return rows if keep_order else rows.drop("seq")
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Internal links of pages (url, html) worth following: (url, link, priority) of the first fifty anchors."""
-    hrefs = F.slice(F.regexp_extract_all("html", F.lit(r"""(?i)<a[^>]+href=["']([^"'#]+)"""), F.lit(1)), 1, 50)
-    base = F.regexp_replace(U.root(F.col("url")), "/$", "")
-    rows = pages.select("url", U.host(F.col("url")).alias("host"), base.alias("base"), F.explode(F.array_distinct(hrefs)).alias("href"))
-    rows = rows.withColumn("link", F.when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.col("href")))
-    rows = rows.where(U.is_internal_link(F.col("href"), F.col("host"))).select("url", "link", U.link_priority(F.col("link")).alias("priority"))
+    """Internal links of pages (url, html) worth following: (url, link, priority), of the first fifty anchors, resolved by the page's URL."""
+    hrefs = F.filter(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']"""), F.lit(1)), lambda h: h != "")
+    link = F.transform(F.slice(hrefs, 1, 50), lambda h: U.joined(F.col("url"), C.decoded_references(F.trim(h))))
+    rows = pages.select("url", U.location(F.col("url")).alias("own"), F.explode(F.array_distinct(link)).alias("link"))
+    rows = rows.where(U.is_internal_link(F.col("link"), F.col("own"))).select("url", "link", U.link_priority(F.col("link")).alias("priority"))
     return rows.where("priority >= 3").distinct()
 
 
+def contact_paths(pages: DataFrame, host: str, order: str) -> DataFrame:
+    """(host, paths): the paths of each host's first five contact pages (url), in order."""
+    rows = pages.where(U.is_contact_page(F.col("url"))).select(host, order, U.path(F.col("url")).alias("path"))
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(host).orderBy(order))).where("_n <= 5")
+    return ranked.groupBy(host).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "path"))), lambda x: x["path"]).alias("paths"))
+
+
+def listed_pages(pages: DataFrame, paths: DataFrame, host: str) -> DataFrame:
+    """The pages that a visit of contact pages only reads: those of the listed paths (host, paths)."""
+    wanted = paths.select(host, F.explode("paths").alias("_path")).distinct()
+    return pages.withColumn("_path", U.path(F.col("url"))).join(wanted, [host, "_path"], "left_semi").drop("_path")
+
+
+def usable_pages(pages: DataFrame) -> DataFrame:
+    """Fetched pages (status, html) with their text: no error status, no short HTML, no short text."""
+    rows = pages.where(F.col("status") < V.ERROR_STATUS).withColumn("html", F.trim("html")).where(F.length("html") >= V.MIN_HTML)
+    return rows.withColumn("content", C.html_text(F.col("html"))).where(F.length("content") >= V.MIN_TEXT)
+
+
+def snippet_items(rows: DataFrame) -> DataFrame:
+    """Items for extraction of search results (url, blob): text only, of the highest priority."""
+    url = F.when(F.coalesce("url", F.lit("")) == "", F.lit("serp://snippet")).otherwise(F.col("url"))
+    return rows.withColumn("item", F.struct(url.alias("url"), F.col("blob").alias("content"), F.lit("").alias("html"), F.lit("serp_snippet").alias("type"), F.lit(10).alias("priority")))
+
+
 def best_snippets(rows: DataFrame) -> DataFrame:
     """Search results (host, seq, title, snippet) whose text has a contact: the first of each host."""
     blob = F.array_join(F.filter(F.array(F.trim("title"), F.trim("snippet")), lambda x: x != ""), "\n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
+from webquarry.functions import contacts as C
 
 LISTS = ("email", "telegram", "linkedin", "phone")
 
@@ -19,9 +20,10 @@ def flat_rows(domains: DataFrame, results: DataFrame, keywords: DataFrame, conta
     return c.join(d, "domain_contact_id").join(r, "search_result_id").join(k, "keyword_id")
 
 
-def filtered(rows: DataFrame, keyword_id: int | None = None, country: str | None = None, contact_type: str | None = None, domain: str | None = None, min_confidence: int | None = None) -> DataFrame:
-    """The export's optional filters; the domain is matched anywhere, whatever its case."""
-    tests = [(keyword_id, F.col("keyword_id") == keyword_id), (country, F.col("country") == country), (contact_type, F.col("contact_type") == contact_type), (domain, F.col("domain").ilike(f"%{domain}%")), (min_confidence, F.col("confidence_score") >= (min_confidence or 0))]
+def filtered(rows: DataFrame, keyword_id: int | None = None, country: str | None = None, contact_type: str | None = None, domain: str | None = None, min_confidence: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The export's optional filters; the domain is matched anywhere, whatever its case; dates are of the domain, both inclusive."""
+    at = F.col("domain_at") if "domain_at" in rows.columns else F.lit(None).cast("timestamp")
+    tests = [(start, at >= F.lit(start).cast("timestamp")), (end, at <= F.lit(end).cast("timestamp")), (keyword_id, F.col("keyword_id") == keyword_id), (country, F.col("country") == country), (contact_type, F.col("contact_type") == contact_type), (domain, F.col("domain").ilike(f"%{domain}%")), (min_confidence, F.col("confidence_score") >= (min_confidence or 0))]
     for value, test in tests:
         rows = rows.where(test) if value is not None else rows
     return rows
@@ -46,9 +48,32 @@ def domain_export(rows: DataFrame) -> DataFrame:
     return out.select("domain", F.col("b.keyword").alias("keyword"), F.col("b.confidence_score").alias("confidence_score"), F.date_format("b.domain_at", "yyyy-MM-dd HH:mm:ss").alias("extracted_at"), *LISTS)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows with a running number in a total order, for the final, small result of an export."""
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+def numbered(rows: DataFrame, first: str, second: str, *order: str) -> DataFrame:
+    """Rows with a running number ``n`` in a total order of columns.
+
+    Groups of ``first`` and ``second`` are counted and the counts cumulated, so that no task gets
+    more rows than one such group has, or groups than one value of ``first`` has.
+    """
+    groups = rows.groupBy(first, second).agg(F.count("*").alias("_c"))
+    within = Window.partitionBy(first).orderBy(second).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(first, second, F.coalesce(F.sum("_c").over(within), F.lit(0)).alias("_before"), "_c")
+    tops = groups.groupBy(first).agg(F.sum("_c").alias("_t"))
+    tops = tops.select(first, F.coalesce(F.sum("_t").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(first, second).orderBy(*(order or (first,))))
+    joined = rows.withColumn("_k", rank).join(groups.drop("_c"), [first, second]).join(tops, first)
+    return joined.withColumn("n", F.col("_start") + F.col("_before") + F.col("_k")).drop("_start", "_before", "_k")
+
+
+def flat_export_rows(rows: DataFrame, tags: DataFrame) -> DataFrame:
+    """The numbered flat export by keyword id and domain with the subject of the domain's tags (domain, tags)."""
+    keys = ("keyword_id", "keyword", "country", "language", "domain")
+    out = flat_export(rows, keys).join(tags, "domain", "left").withColumn("subject", C.subject_area(F.coalesce("tags", F.array().cast("array<string>"))))
+    return numbered(out.drop("tags"), "keyword_id", "domain")
+
+
+def domain_sample(rows: DataFrame, n: int = 20) -> DataFrame:
+    """Domains of the first ``n`` contact rows with their values per type."""
+    return flat_export(rows.orderBy("contact_id").limit(n), ("domain",))
 
 
 def search(rows: DataFrame, contact_type: str | None, text: str) -> DataFrame:

@@ -63,9 +63,30 @@ def keyword_drill_down(tasks: DataFrame) -> DataFrame:
 
 
 def requeued(tasks: DataFrame, newest: int) -> DataFrame:
-    """The newest failed tasks as pending ones without retries."""
+    """The newest failed tasks as pending ones; their retries stay counted."""
     rows = tasks.where("status = 'failed'").orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(newest, 200)))
-    return rows.select("id", "task_type", F.lit("pending").alias("status"), F.lit(0).alias("retry_count"))
+    return rows.select("id", "task_type", F.lit("pending").alias("status"), "retry_count")
+
+
+def reset_searches(tasks: DataFrame) -> DataFrame:
+    """All failed searches as new: pending, without retries, lock and times."""
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("locked_at", "timestamp"), ("started_at", "timestamp"), ("completed_at", "timestamp"), ("error_message", "string"))]
+    return tasks.where("task_type = 'search_keyword' AND status = 'failed'").select("id", F.lit("pending").alias("status"), F.lit(0).alias("retry_count"), *none)
+
+
+def reset_keywords(keywords: DataFrame) -> DataFrame:
+    """Processed keywords, to be processed again."""
+    return keywords.where("is_processed").select("id", "keyword", F.lit(False).alias("is_processed"))
+
+
+def longest_locked(tasks: DataFrame, n: int = 10) -> DataFrame:
+    """Running tasks, the latest locks first."""
+    return tasks.where("status = 'running'").orderBy(F.desc_nulls_last("locked_at"), F.desc("id")).limit(n)
+
+
+def failures(tasks: DataFrame, chars: int = 80) -> DataFrame:
+    """Failed tasks by type and the beginning of their error."""
+    return tasks.where("status = 'failed'").groupBy("task_type", F.substring("error_message", 1, chars).alias("error")).agg(F.count("*").alias("n"))
 
 
 def unblocked(tasks: DataFrame) -> DataFrame:

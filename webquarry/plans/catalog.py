@@ -81,7 +81,17 @@ def _text(html: str) -> str:
     out = f"coalesce({html}, '')"
     for tag in ("script", "style", "noscript"):
         out = f"regexp_replace({out}, '<{tag}[^>]*>.*?</{tag}>', ' ', 'gis')"
-    return f"trim(regexp_replace(regexp_replace({out}, '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g'))"
+    out = f"regexp_replace({out}, '<[^>]+>', ' ', 'gs')"
+    # The references that the test pages have; the ampersand is the last, so that none is decoded twice.
+    for ref, character in (("&#64;", "@"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{ref}', '{character}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+def _contact_url(u: str) -> str:
+    with_scheme = f"CASE WHEN starts_with(trim({u}), '//') THEN 'https:' || trim({u}) WHEN regexp_matches(trim({u}), '^https?://', 'i') THEN trim({u}) ELSE 'https://' || regexp_replace(trim({u}), '^/+', '') END"
+    plain = f"regexp_replace(regexp_replace({with_scheme}, '#.*$', ''), '(\\?|&)(utm_[^=&]+|fbclid|gclid)=[^&]*', '', 'gi')"
+    return f"(CASE WHEN trim(coalesce({u}, '')) = '' THEN '' ELSE regexp_replace(replace({plain}, '?&', '?'), '[?&]+$', '') END)"
 
 
 _SHAPE = "^[a-z0-9_%+-]+(\\.[a-z0-9_%+-]+)*@([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\\.)+[a-z]{2,63}$"
@@ -93,14 +103,49 @@ def _business(e: str) -> str:
 
 
 #: Pages with contacts of every kind, on both engines: none of the test pages has any of most kinds.
-_SUFFIX = "concat(html, '<a href=\"mailto:sales', CAST(page_id AS STRING), '@acme.example?subject=x\">m</a><a href=\"https://t.me/team', CAST(page_id AS STRING), '\">t</a> Telegram: @acme_team', CAST(page_id % 7 AS STRING), ' linkedin.com/company/acme', CAST(page_id % 5 AS STRING), ' +1 555 010 ', CAST(1000 + page_id % 900 AS STRING), ' twitter.com/acme', CAST(page_id % 3 AS STRING))"
+_SUFFIX = "concat(html, '<a href=\"mailto:sales', CAST(page_id AS STRING), '@acme.example?subject=x\">m</a><a href=\"https://t.me/team', CAST(page_id AS STRING), '\">t</a> Telegram: @acme_team', CAST(page_id % 7 AS STRING), ' linkedin.com/company/acme', CAST(page_id % 5 AS STRING), ' +1 555 010 ', CAST(1000 + page_id % 900 AS STRING), ' twitter.com/acme', CAST(page_id % 3 AS STRING), ' join.chat/Inv_', CAST(page_id % 4 AS STRING), ' t.me/plain', CAST(page_id % 6 AS STRING), ' write to hr&#64;acme', CAST(page_id % 3 AS STRING), '.example <a href=\"https://www.linkedin.com/company/Acme?utm_source=a&b=2\">l</a> www.facebook.com/acme.', CAST(page_id % 5 AS STRING), ' instagram.com/acme_ youtube.com/@acme', CAST(page_id % 2 AS STRING), CASE WHEN page_id % 3 = 0 THEN concat('<script type=\"application/ld+json\">{\"@graph\": [{\"a\": {\"email\": \"LD', CAST(page_id AS STRING), '@acme.example\"}}, {\"sameAs\": [\"https://telegram.me/ld', CAST(page_id % 5 AS STRING), '\", 7, \"www.linkedin.com/company/ld', CAST(page_id % 5 AS STRING), '#x\"]}]}</script>') ELSE '' END)"
 
 
 def _rich(t: _Tables) -> DataFrame:
     return t.pages.select("page_id", "url", F.expr(_SUFFIX).alias("html"))
 
 
-_RICH = f"rich AS (SELECT page_id, url, html, {_text('html')} AS content FROM (SELECT page_id, url, {_SUFFIX} AS html FROM pages))"
+_RICH = f"rich AS MATERIALIZED (SELECT page_id, url, html, {_text('html')} AS content FROM (SELECT page_id, url, {_SUFFIX} AS html FROM pages))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(text: str, pattern: str, group: int = 0) -> str:
+    return f"unnest(regexp_extract_all({text}, {_quoted(pattern)}, {group}))"
+
+
+#: Every contact of the enriched pages: (page_id, url, kind, value), kinds as in the contact lists.
+_FOUND = f"""{_RICH}, raw_mails AS (
+  SELECT page_id, {_matches('content', V.EMAIL)} AS e FROM rich
+  UNION ALL SELECT page_id, split_part(trim({_matches('content', V.MAILTO, 1)}), '?', 1) FROM rich
+  UNION ALL SELECT page_id, split_part(trim({_matches('html', V.MAILTO, 1)}), '?', 1) FROM rich
+  UNION ALL SELECT page_id, 'LD' || page_id || '@acme.example' FROM rich WHERE page_id % 3 = 0),
+raw_telegram AS (
+  SELECT page_id, 'https://t.me/' || {_matches('content', V.TELEGRAM, 1)} AS u FROM rich
+  UNION ALL SELECT page_id, 'https://t.me/' || {_matches('content', V.TELEGRAM_NAME, 1)} FROM rich
+  UNION ALL SELECT page_id, 'https://join.chat/' || {_matches('content', V.TELEGRAM_INVITE, 1)} FROM rich
+  UNION ALL SELECT page_id, {_matches('html', V.TELEGRAM_HREF, 1)} FROM rich
+  UNION ALL SELECT page_id, 'https://telegram.me/ld' || page_id % 5 FROM rich WHERE page_id % 3 = 0),
+raw_linkedin AS (
+  SELECT page_id, 'https://linkedin.com/' || {_matches('content', V.LINKEDIN, 1)} AS u FROM rich
+  UNION ALL SELECT page_id, 'https://linkedin.com/' || {_matches('content', V.LINKEDIN_NAME, 1)} FROM rich
+  UNION ALL SELECT page_id, {_matches('html', V.LINKEDIN_HREF, 1)} FROM rich
+  UNION ALL SELECT page_id, 'www.linkedin.com/company/ld' || page_id % 5 || '#x' FROM rich WHERE page_id % 3 = 0),
+raw_social AS ({" UNION ALL ".join(f"SELECT page_id, '{name}' AS kind, {_matches('content || chr(10) || html', pattern)} AS u FROM rich" for name, pattern in V.SOCIAL.items())}),
+raw_phones AS (SELECT page_id, {_matches('content', V.PHONE)} AS p FROM rich),
+found AS (
+  SELECT page_id, 'emails' AS kind, lower(trim(e)) AS value FROM raw_mails WHERE {_business('e')}
+  UNION SELECT page_id, 'telegram', replace({_contact_url('u')}, 'telegram.me/', 't.me/') FROM raw_telegram WHERE {_contact_url('u')} <> ''
+  UNION SELECT page_id, 'linkedin', {_contact_url('u')} FROM raw_linkedin WHERE {_contact_url('u')} <> ''
+  UNION SELECT page_id, kind, {_contact_url('u')} FROM raw_social
+  UNION SELECT page_id, 'phones', p FROM raw_phones WHERE length(regexp_replace(p, '[^\\d+]', '', 'g')) >= 10)"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +188,7 @@ def u4_crawl_targets(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query(
-    "SELECT page_id, CASE WHEN trim(coalesce(u, '')) = '' THEN '' ELSE regexp_replace(replace(regexp_replace(regexp_replace(CASE WHEN starts_with(trim(u), '//') THEN 'https:' || trim(u) WHEN regexp_matches(trim(u), '^https?://', 'i') THEN trim(u) ELSE 'https://' || regexp_replace(trim(u), '^/+', '') END, '#.*$', ''), '(\\?|&)(utm_[^=&]+|fbclid|gclid)=[^&]*', '', 'gi'), '?&', '?'), '[?&]+$', '') END AS url FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?:', '') ELSE concat(regexp_replace(url, '^https?://', ''), '?utm_source=a&b=2&gclid=3') END AS u FROM pages)"
+    f"SELECT page_id, {_contact_url('u')} AS url FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?:', '') ELSE concat(regexp_replace(url, '^https?://', ''), '?utm_source=a&b=2&gclid=3') END AS u FROM pages)"
 )
 def u6_contact_url(spark, sf_dir):  # noqa: ANN001, ANN201
     """URLs as contacts keep them."""
@@ -167,17 +212,41 @@ def f10_not_blocked(spark, sf_dir):  # noqa: ANN001, ANN201
     return crawl.not_blocked(_Tables(spark, sf_dir).pages, "url", listed).select("page_id")
 
 
-@query(None)
-def u8_frontier(spark, sf_dir):  # noqa: ANN001, ANN201
-    """URLs to visit for every root."""
-    return crawl.frontier(_Tables(spark, sf_dir).pages.select(U.root(F.col("url")).alias("base")).distinct())
-
-
-_MORE_LINKS = "concat(html, '<a href=\"/contact\">c</a><a href=\"/services/', CAST(page_id % 3 AS STRING), '\">s</a><a href=\"/blog\">b</a>')"
-_BASE = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)"
+_ROOTS = f"SELECT DISTINCT {_root('url')} AS base FROM pages"
+_PLACES = ", ".join(f"('{p[1:]}', {w}, {i})" for i, (p, w) in enumerate([*[(p, 10) for p in V.PRIMARY_PATHS], *[(p, 7) for p in V.CONTACT_PATHS], ("/@map", 9), ("/", 7), *[(p, 5) for p in V.EXTRA_PATHS]]))
 
 
-@query(f"SELECT DISTINCT url, {_BASE} || link AS link, CAST(priority AS INTEGER) AS priority FROM (SELECT url, unnest(['/contact', '/services/' || CAST(page_id % 3 AS STRING)]) AS link, unnest([10, 4]) AS priority FROM pages)")
+@query(
+    f"""WITH roots AS ({_ROOTS}), places(p, w, i) AS (VALUES {_PLACES}),
+listed AS (SELECT base, CASE WHEN p = '@map' THEN base || 'about/legal' ELSE base || p END AS url, w, i FROM roots, places),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY base, url ORDER BY i) AS n FROM listed)
+SELECT base, url, CAST(w AS INTEGER) AS priority FROM firsts WHERE n = 1"""
+)
+def u8_frontier(spark, sf_dir):  # noqa: ANN001, ANN201
+    """URLs to visit for every root, with the contact pages of its sitemap."""
+    bases = _Tables(spark, sf_dir).pages.select(U.root(F.col("url")).alias("base")).distinct()
+    listed = bases.select("base", F.explode(F.array(F.concat("base", F.lit("about/legal")), F.concat("base", F.lit("item/7")))).alias("loc"))
+    return crawl.frontier(bases, listed)
+
+
+_MORE_LINKS = "concat(html, '<a href=\"/contact\">c</a><a class=\"x\" href=\"team.html?x=1\">s</a><a href=\"../about\">b</a><a href=\"/blog\">b</a><a href=\"#top\">t</a><A HREF=\"?/legal=', CAST(page_id % 3 AS STRING), '\">q</A><a href=\"//other.example/contact\">o</a><a href=\"mailto:a@acme.example\">m</a><a href=\"', url, '/./x/../privacy\">p</a>')"
+_LINK_PARTS = f"""SELECT page_id, url, html, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS top, {_path('url')} AS own FROM pages"""
+#: The anchors of the pages themselves are absolute paths; those that are added are resolved one by one.
+_LINKS_SQL = f"""WITH parts AS ({_LINK_PARTS}), dirs AS (SELECT *, regexp_replace(own, '[^/]*$', '') AS dir FROM parts),
+own_links AS (SELECT url, top || h AS link FROM (SELECT url, top, unnest(list_slice(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), 1, 50)) AS h FROM dirs)),
+added AS (
+  SELECT url, top || '/contact' AS link FROM dirs
+  UNION ALL SELECT url, top || CASE WHEN dir = '' THEN '/' ELSE dir END || 'team.html?x=1' FROM dirs
+  UNION ALL SELECT url, top || regexp_replace(regexp_replace(dir, '/$', ''), '[^/]*$', '') || CASE WHEN dir IN ('', '/') THEN '/' ELSE '' END || 'about' FROM dirs
+  UNION ALL SELECT url, top || own || '?/legal=' || page_id % 3 FROM dirs
+  UNION ALL SELECT url, regexp_replace(url, '#.*$', '') || '#top' FROM dirs
+  UNION ALL SELECT url, url || '/./x/../privacy' FROM dirs),
+every_link AS (SELECT DISTINCT * FROM (SELECT * FROM own_links UNION ALL SELECT * FROM added)),
+scored AS (SELECT url, link, CAST(CASE {' '.join(f'WHEN {_any("lower(link)", parts)} THEN {w}' for w, parts in V.LINK_PRIORITIES)} ELSE 1 END AS INTEGER) AS priority, {_path('link')} AS p FROM every_link)
+SELECT url, link, priority FROM scored WHERE priority >= 3 AND length(p) > 1 AND NOT {_ends('p', V.INTERNAL_LINK_ENDINGS)}"""
+
+
+@query(_LINKS_SQL)
 def u9_links(spark, sf_dir):  # noqa: ANN001, ANN201
     """Internal links worth following of pages with some more links."""
     pages = _Tables(spark, sf_dir).pages
@@ -193,9 +262,7 @@ def x19_html_text(spark, sf_dir):  # noqa: ANN001, ANN201
     return _Tables(spark, sf_dir).pages.select("page_id", C.html_text(F.col("html")).alias("content"))
 
 
-@query(
-    f"WITH {_RICH}, found AS (SELECT page_id, unnest(regexp_extract_all(content, '{V.EMAIL}')) AS e FROM rich UNION ALL SELECT page_id, split_part(trim(unnest(regexp_extract_all(html, '{V.MAILTO.replace(chr(39), chr(39) * 2)}', 1))), '?', 1) FROM rich) SELECT page_id, string_agg(DISTINCT trim(lower(e)), ' ' ORDER BY trim(lower(e))) AS emails FROM found WHERE {_business('e')} GROUP BY page_id"
-)
+@query(f"WITH {_FOUND} SELECT page_id, string_agg(value, ' ' ORDER BY value) AS emails FROM found WHERE kind = 'emails' GROUP BY page_id")
 def x1_emails(spark, sf_dir):  # noqa: ANN001, ANN201
     """Business addresses of every page that has one."""
     rows = crawl.page_contacts(_rich(_Tables(spark, sf_dir))).select("page_id", F.array_join("info.emails", " ").alias("emails"))
@@ -208,11 +275,30 @@ def x10_phones(spark, sf_dir):  # noqa: ANN001, ANN201
     return _Tables(spark, sf_dir).documents.select("doc_id", F.array_join(C.phones(F.col("text")), "|").alias("phones")).where("phones <> ''")
 
 
-@query(None)
+_HOST_LISTS = ", ".join(f"coalesce(string_agg(value, ' ' ORDER BY value) FILTER (k = '{k}'), '') AS {k}, count(*) FILTER (k = '{k}') AS n_{k}" for k in ("emails", "telegram", "linkedin", "phones", "social"))
+
+
+@query(
+    f"""WITH {_FOUND}, h AS (SELECT page_id, {_host('url')} AS host, CASE WHEN {_any('lower(url)', V.CONTACT_PAGE_PARTS)} THEN 1 ELSE 0 END AS contact_page FROM pages),
+hosts AS (SELECT host, count(*) AS pages, CAST(sum(contact_page) AS BIGINT) AS contact_pages FROM h GROUP BY host),
+each_value AS (SELECT DISTINCT host, CASE WHEN kind IN ({_in(tuple(V.SOCIAL))}) THEN 'social' ELSE kind END AS k, value FROM found JOIN h USING (page_id)),
+lists AS (SELECT host, {_HOST_LISTS} FROM each_value GROUP BY host)
+SELECT host, pages, contact_pages, emails, telegram, linkedin, phones, social,
+  CAST(least(100, CASE WHEN n_emails > 0 THEN 40 ELSE 0 END + CASE WHEN n_emails > 1 THEN 10 ELSE 0 END + CASE WHEN n_telegram > 0 THEN 25 ELSE 0 END + CASE WHEN n_linkedin > 0 THEN 25 ELSE 0 END + CASE WHEN n_phones > 0 THEN 10 ELSE 0 END) AS INTEGER) AS confidence
+FROM hosts JOIN lists USING (host)"""
+)
 def x16_host_contacts(spark, sf_dir):  # noqa: ANN001, ANN201
     """Contacts and confidence per host of the enriched pages."""
     found = crawl.host_contacts(_rich(_Tables(spark, sf_dir)))
-    return found.select("host", "pages", "contact_pages", *[F.array_join(k, " ").alias(k) for k in ("emails", "telegram", "linkedin", "phones")], "confidence")
+    return found.select("host", "pages", "contact_pages", *[F.array_join(k, " ").alias(k) for k in ("emails", "telegram", "linkedin", "phones", "social")], "confidence")
+
+
+@query(f"WITH {_FOUND} SELECT page_id, kind, value FROM found")
+def x3_page_contacts(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Every contact of every enriched page, of all kinds."""
+    rows = crawl.page_contacts(_rich(_Tables(spark, sf_dir)))
+    lists = F.map_concat(F.create_map(*[x for k in ("emails", "telegram", "linkedin", "phones") for x in (F.lit(k), F.col(f"info.{k}"))]), F.col("info.social"))
+    return rows.select("page_id", F.explode(lists).alias("kind", "values")).select("page_id", "kind", F.explode("values").alias("value"))
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(text, '\\[at\\]|\\(at\\)| at |\\[dot\\]|\\(dot\\)| dot |\\{@\\}', 'i'), false) AS obfuscated FROM documents")
@@ -221,17 +307,16 @@ def f25_obfuscated(spark, sf_dir):  # noqa: ANN001, ANN201
     return _Tables(spark, sf_dir).documents.select("doc_id", C.is_obfuscated(F.col("text")).alias("obfuscated"))
 
 
-@query(None)
+@query(f"WITH {_FOUND} SELECT page_id AS domain_contact_id, CASE kind WHEN 'emails' THEN 'email' ELSE kind END AS contact_type, value FROM found WHERE kind <> 'phones'")
 def k6_contact_rows(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Contact rows of the enriched pages."""
-    return sinks.contact_rows(crawl.page_contacts(_rich(_Tables(spark, sf_dir))).withColumnRenamed("page_id", "id"))
+    """Contact rows of the enriched pages that are stored."""
+    return sinks.contact_rows(sinks.saved(crawl.page_contacts(_rich(_Tables(spark, sf_dir))).withColumnRenamed("page_id", "id")))
 
 
 @query(f"SELECT page_id, url, substr(html, 1, {V.PAYLOAD_HTML}) AS html, substr(content, 1, {V.PAYLOAD_TEXT}) AS content FROM (SELECT page_id, url, html, {_text('html')} AS content, row_number() OVER (PARTITION BY {_host('url')} ORDER BY page_id) AS n FROM pages) WHERE n <= {V.PAYLOAD_PAGES}")
 def k12_payload(spark, sf_dir):  # noqa: ANN001, ANN201
     """The pages of each host that the queue carries."""
-    items = _Tables(spark, sf_dir).pages.withColumn("host", U.host(F.col("url"))).withColumn("content", C.html_text(F.col("html")))
-    return crawl.payload(items, "host", "page_id").select("page_id", "url", "html", "content")
+    return crawl.payload(_Tables(spark, sf_dir).pages.withColumn("host", U.host(F.col("url"))), "host", "page_id").select("page_id", "url", "html", "content")
 
 
 @query(
@@ -304,10 +389,10 @@ def o3_search_page(spark, sf_dir):  # noqa: ANN001, ANN201
     return reports.page(_flat(_Tables(spark, sf_dir)), 2, 50, F.desc("domain_at"), F.desc("contact_id")).select("contact_id", "value", "domain_at")
 
 
-@query(f"WITH {_FLAT} SELECT contact_id, keyword_id, domain, CAST(row_number() OVER (ORDER BY keyword_id, domain, contact_id) AS INTEGER) AS n FROM flat WHERE keyword_id = 3", *_ALL)
+@query(f"WITH {_FLAT} SELECT contact_id, keyword_id, domain, row_number() OVER (ORDER BY keyword_id, domain, contact_id) AS n FROM flat", *_ALL)
 def w2_row_number(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The running number of one keyword's export."""
-    return reports.numbered(reports.filtered(_flat(_Tables(spark, sf_dir)), keyword_id=3), "keyword_id", "domain", "contact_id").select("contact_id", "keyword_id", "domain", "n")
+    """The running number of the whole export."""
+    return reports.numbered(_flat(_Tables(spark, sf_dir)), "keyword_id", "domain", "contact_id").select("contact_id", "keyword_id", "domain", "n")
 
 
 @query("SELECT c.id, c.value, d.domain, d.created_at FROM contacts c JOIN domain_contacts d ON c.domain_contact_id = d.id ORDER BY d.created_at DESC, c.id DESC LIMIT 20", "contacts", "domain_contacts")
@@ -533,16 +618,21 @@ def t6_finished_keywords(spark, sf_dir):  # noqa: ANN001, ANN201
     return tasks.finished_keywords(_Tables(spark, sf_dir).task_queue)
 
 
-@query("SELECT id, task_type, 'pending' AS status, 0 AS retry_count FROM task_queue WHERE status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 100", "task_queue")
+@query("SELECT id, task_type, 'pending' AS status, retry_count FROM task_queue WHERE status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 100", "task_queue")
 def t7_requeued(spark, sf_dir):  # noqa: ANN001, ANN201
     """The newest failed tasks, queued again."""
     return tasks.requeued(_Tables(spark, sf_dir).task_queue, 100)
 
 
-@query(f"WITH {_PARENTS} SELECT id, task_type, depends_on_task_id FROM p WHERE status = 'pending' AND parent_status = 'failed' AND NOT satisfied", "task_queue")
+#: Searches that wait for the task before them, an extraction: its failure matters.
+_WAITING = "SELECT id, task_type, status, CASE WHEN id % 3 = 0 THEN id - 1 ELSE depends_on_task_id END AS depends_on_task_id FROM task_queue"
+
+
+@query(f"WITH tq AS ({_WAITING}) SELECT t.id, t.task_type, t.depends_on_task_id FROM tq t JOIN tq q ON t.depends_on_task_id = q.id WHERE t.status = 'pending' AND q.status = 'failed' AND NOT ((q.task_type = 'search_keyword' AND t.task_type IN ('crawl_domain', 'extract_contacts')) OR (q.task_type = 'crawl_domain' AND t.task_type = 'extract_contacts'))", "task_queue")
 def t8_unblocked(spark, sf_dir):  # noqa: ANN001, ANN201
     """Tasks that wait for a failed parent."""
-    return tasks.unblocked(_Tables(spark, sf_dir).task_queue)
+    waiting = F.expr("CASE WHEN id % 3 = 0 THEN id - 1 ELSE depends_on_task_id END")
+    return tasks.unblocked(_Tables(spark, sf_dir).task_queue.withColumn("depends_on_task_id", waiting))
 
 
 @query("SELECT id AS depends_on_task_id, keyword_id, CASE task_type WHEN 'search_keyword' THEN 'crawl_domain' ELSE 'extract_contacts' END AS task_type, CASE task_type WHEN 'search_keyword' THEN 5 ELSE 7 END AS priority, CASE task_type WHEN 'search_keyword' THEN 2 ELSE 1 END AS max_retries FROM task_queue WHERE status = 'completed' AND task_type IN ('search_keyword', 'crawl_domain')", "task_queue")
@@ -566,27 +656,64 @@ def k14_retained(spark, sf_dir):  # noqa: ANN001, ANN201
 # Sources and sinks
 
 
-@query(
-    "SELECT conv_id, url, title, snippet, CAST(position AS INTEGER) AS position FROM (SELECT conv_id, 'https://a' || conv_id || '.example/' AS url, 'A' AS title, 'x' AS snippet, 1 AS position FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT conv_id, 'https://b.example/', NULL, 'y', 2 FROM (SELECT DISTINCT conv_id FROM conversations))"
-)
+_SNIPPET = "concat('\"', title, '\" \\\\ ', url)"
+_LISTED_RESULTS = "SELECT keyword_id, url, title, snippet, CAST(n AS INTEGER) AS position FROM (SELECT keyword_id, url, title, '\"' || title || '\" \\ ' || url AS snippet, row_number() OVER (PARTITION BY keyword_id ORDER BY position) AS n FROM search_results) WHERE n <= 10"
+
+
+def _answers(t: _Tables, *names: str) -> DataFrame:
+    """The search results of each keyword as a list of (url, title, snippet) under other names."""
+    rows = t.search_results.withColumn("snippet", F.concat(F.lit('"'), "title", F.lit('" \\ '), "url"))
+    item = F.struct(*[F.col(c).alias(n) for c, n in zip(("url", "title", "snippet"), names, strict=True)])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))), lambda x: x["item"])
+    return rows.groupBy("keyword_id").agg(listed.alias("listed"))
+
+
+@query(_LISTED_RESULTS, "search_results")
 def s6_json_results(spark, sf_dir):  # noqa: ANN001, ANN201
     """Results of JSON answers."""
-    answer = F.expr("concat('{\"organic_results\": [{\"link\": \"https://a', CAST(conv_id AS STRING), '.example/\", \"title\": \"A\", \"snippet\": \"x\"}, {\"link\": \"https://b.example/\", \"snippet\": \"y\"}]}')")
-    return serp.json_results(_Tables(spark, sf_dir).conversations.select("conv_id").distinct().withColumn("answer", answer), "answer")
+    answers = _answers(_Tables(spark, sf_dir), "link", "title", "snippet")
+    return serp.json_results(answers.select("keyword_id", F.to_json(F.struct(F.col("listed").alias("organic_results"))).alias("answer")), "answer")
+
+
+@query(_LISTED_RESULTS, "search_results")
+def s7_list_results(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Results of JSON lists."""
+    answers = _answers(_Tables(spark, sf_dir), "href", "title", "body")
+    return serp.list_results(answers.select("keyword_id", F.to_json("listed").alias("answer")), "answer")
+
+
+#: XML answers of seven kinds: plain, by headline, without a url, base64, broken, with a long passage, with a declared entity.
+_CLEAN = "translate(title, '&<>', '')"
+_XML = f"""CASE id % 7
+ WHEN 0 THEN concat('<r xmlns="u"><doc><url>https://a.example/', CAST(id AS STRING), '</url><title>', {_CLEAN}, '</title><passages><passage>p</passage><passage> q </passage></passages></doc></r>')
+ WHEN 1 THEN concat('<r><g><doc><url>https://a.example/', CAST(id AS STRING), '</url><headline>', {_CLEAN}, '</headline><passages><passage>a</passage><passage>b</passage><passage>c</passage><passage>d</passage></passages></doc></g></r>')
+ WHEN 2 THEN '<r><doc><title>none</title></doc><doc><url>https://b.example/</url></doc></r>'
+ WHEN 3 THEN 'x'
+ WHEN 4 THEN '<r><doc><url>https://c.example/</url>'
+ WHEN 5 THEN concat('<r><doc><url>https://d.example/</url><title>T</title><passages><passage>', repeat('y', 600), '</passage></passages></doc></r>')
+ ELSE '<!DOCTYPE r [<!ENTITY e "x">]><r><doc><url>https://e.example/&e;</url></doc></r>' END"""
 
 
-@query("SELECT conv_id, 'https://a' || conv_id || '.example/' AS url, 'T' AS title, 'p q' AS snippet, 1 AS position FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query(
+    f"""SELECT id, 'https://a.example/' || id AS url, trim({_CLEAN}) AS title, CASE WHEN id % 7 = 1 THEN 'a b c' ELSE 'p q' END AS snippet, 1 AS position FROM search_results WHERE id % 7 < 2 OR id % 7 = 3
+UNION ALL SELECT id, 'https://b.example/', '', '', 1 FROM search_results WHERE id % 7 = 2
+UNION ALL SELECT id, 'https://d.example/', 'T', repeat('y', 500) || '…', 1 FROM search_results WHERE id % 7 = 5""",
+    "search_results",
+)
 def s10_xml_results(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Results of XML answers; a document without a url doesn't count."""
-    answer = F.expr("concat('<r xmlns=\"u\"><doc><title>none</title></doc><doc><url>https://a', CAST(conv_id AS STRING), '.example/</url><headline>T</headline><passages><passage>p</passage><passage>q</passage></passages></doc></r>')")
-    return serp.xml_results(_Tables(spark, sf_dir).conversations.select("conv_id").distinct().withColumn("answer", answer), "answer")
+    """Results of XML answers, plain and base64; a document without a url doesn't count."""
+    rows = _Tables(spark, sf_dir).search_results
+    coded = F.base64(F.encode(F.expr(_XML.replace("CASE id % 7", "CASE 0")), "UTF-8"))
+    answer = F.when(F.col("id") % 7 == 3, coded).otherwise(F.expr(_XML))
+    return serp.xml_results(rows.select("id", answer.alias("answer")), "answer")
 
 
-@query("SELECT s.id, s.url FROM search_results s WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM search_results k WHERE k.id % 2 = 0 AND k.keyword_id = s.keyword_id AND k.url = s.url)", "search_results")
+@query("SELECT s.id, s.url FROM (SELECT keyword_id, url, min(id) AS id FROM search_results GROUP BY ALL) s WHERE NOT EXISTS (SELECT 1 FROM search_results k JOIN domain_contacts d ON d.search_result_id = k.id WHERE k.keyword_id = s.keyword_id AND k.url = s.url)", "search_results", "domain_contacts")
 def k5_append_new(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Search results that aren't stored yet."""
-    r = _Tables(spark, sf_dir).search_results
-    return sinks.append_new(r.where("id % 3 = 0"), r.where("id % 2 = 0"), ["keyword_id", "url"]).select("id", "url")
+    """Search results that no stored domain belongs to yet."""
+    t = _Tables(spark, sf_dir)
+    stored = t.search_results.join(t.domain_contacts.select(F.col("search_result_id").alias("id")), "id", "left_semi")
+    return sinks.append_new(t.search_results, stored, ["keyword_id", "url"]).select("id", "url")
 
 
 # More of the inventory: each a short plan over the logical tables
@@ -600,41 +727,93 @@ def s3_new_keywords(spark, sf_dir):  # noqa: ANN001, ANN201
     return serp.new_keywords(forms, t.keywords)
 
 
-@query("SELECT page_id, page_id % 2 <> 0 AS allowed FROM pages")
+#: Robots texts of five kinds; the rules of each, and whether /private/x1.pdf is allowed.
+_ROBOTS = """CASE page_id % 5
+ WHEN 0 THEN concat('User-agent: *\n  Disallow: /private', CAST(page_id AS STRING), '\nDisallow:\nAllow: /x\ncrawl-delay: not_a_number')
+ WHEN 1 THEN concat('USER-AGENT: *\r\nDISALLOW: /PRIVATE/\r\nCrawl-Delay: 2\r\nAllow:\r\nallow:/y', CAST(page_id AS STRING))
+ WHEN 2 THEN 'Disallow: /*.pdf\n\tDisallow:   /b \nCrawl-delay: 0.05\nCrawl-delay: x'
+ WHEN 3 THEN 'nothing: here\nDisallow /a'
+ ELSE '' END"""
+
+
+@query(
+    """SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/x' WHEN 1 THEN '/y' || page_id ELSE '' END AS allow,
+ CASE page_id % 5 WHEN 0 THEN '/private' || page_id WHEN 1 THEN '/private/' WHEN 2 THEN '/*.pdf /b' ELSE '' END AS disallow,
+ CAST(CASE page_id % 5 WHEN 1 THEN 2 WHEN 2 THEN 0.1 ELSE 0.5 END AS DOUBLE) AS delay, page_id % 5 NOT IN (1, 2) AS allowed FROM pages"""
+)
 def s18_robots(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Whether a path is allowed by the rules of a robots text."""
-    text = F.concat(F.lit("User-agent: *\nDisallow: /private*\nDisallow:\nDisallow: /even"), (F.col("page_id") % 2).cast("string"))
-    rules = _Tables(spark, sf_dir).pages.select("page_id", serp.robots_rules(text).alias("r"))
-    return rules.select("page_id", serp.is_allowed(F.lit("/even0"), F.col("r.disallow")).alias("allowed"))
+    """Rules, delay and verdict of robots texts."""
+    r = F.col("r")
+    rules = _Tables(spark, sf_dir).pages.select("page_id", serp.robots_rules(F.expr(_ROBOTS.replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t").replace("\\n WHEN", " WHEN").replace("\\n ELSE", " ELSE"))).alias("r"))
+    return rules.select("page_id", F.array_join(r["allow"], " ").alias("allow"), F.array_join(r["disallow"], " ").alias("disallow"), U.crawl_delay(r["crawl_delay"]).alias("delay"), serp.is_allowed(F.lit("/private/x1.pdf"), r["disallow"]).alias("allowed"))
 
 
-@query("SELECT page_id, 'https://a.example/' || page_id AS loc FROM pages")
+@query("SELECT page_id, url || '/s' AS loc FROM pages UNION ALL SELECT page_id, 'https://a.example/y.PDF' FROM pages UNION ALL SELECT page_id, 'https://m.example/' FROM pages, generate_series(1, 98) WHERE page_id % 10 = 0")
 def s17_sitemaps(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Locations of sitemaps without media."""
-    xml = F.expr("concat('<urlset><url><loc> https://a.example/', CAST(page_id AS STRING), ' </loc></url><url><loc>https://a.example/x.pdf</loc></url></urlset>')")
+    """Locations of sitemaps without media, a hundred at most."""
+    xml = F.expr("concat('<urlset><url><loc>', url, '/s</loc></url><url><loc>', url, 'x.pdf</loc></url><loc>https://a.example/y.PDF</loc><loc>\\n</loc>', CASE WHEN page_id % 10 = 0 THEN repeat('<loc>https://m.example/</loc>', 120) ELSE '' END, '</urlset>')")
     return _Tables(spark, sf_dir).pages.select("page_id", F.explode(serp.sitemap_urls(xml)).alias("loc"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a' || conv_id || '@acme.example' ELSE '' END AS emails FROM conversations")
+#: Replies of a model: plain, with words around, two objects, a list, nested, broken, with one object inside, no JSON.
+_REPLY = """CASE (conv_id + turn) % 8
+ WHEN 0 THEN concat('{"emails": ["a', CAST(conv_id AS STRING), '@acme.example", "b@acme.example"], "telegram": []}')
+ WHEN 1 THEN concat('Sure: {"emails": ["a', CAST(conv_id AS STRING), '@acme.example"]} done')
+ WHEN 2 THEN '{"a": 1} then {"emails": ["x@acme.example"]}'
+ WHEN 3 THEN '[1]'
+ WHEN 4 THEN concat('{"meta": {"k": {"l": {}}}, "emails": ["n', CAST(conv_id AS STRING), '@acme.example"]}')
+ WHEN 5 THEN '{"emails": ["x@acme.example"'
+ WHEN 6 THEN concat('see {"m": {"a": 1}, "emails": ["m', CAST(conv_id AS STRING), '@acme.example"]} {"emails": []}')
+ ELSE text END"""
+
+
+@query(
+    """SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN 'a' || conv_id || '@acme.example b@acme.example' WHEN 1 THEN 'a' || conv_id || '@acme.example'
+ WHEN 4 THEN 'n' || conv_id || '@acme.example' WHEN 6 THEN 'm' || conv_id || '@acme.example' ELSE '' END AS emails FROM conversations"""
+)
 def x22_model_replies(spark, sf_dir):  # noqa: ANN001, ANN201
     """E-mails in replies of a model, some of them no JSON."""
-    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('Sure: {"emails": ["a'), F.col("conv_id").cast("string"), F.lit('@acme.example"]} done'))).otherwise("[1]")
-    return _Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.array_join(serp.llm_contacts(reply)["emails"], " ").alias("emails"))
+    return _Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.array_join(serp.llm_contacts(F.expr(_REPLY))["emails"], " ").alias("emails"))
+
+
+#: Linked data: deep, as a text, broken beside good, with an address of a free provider, in capitals.
+_LINKED = """CASE page_id % 6
+ WHEN 0 THEN concat(html, '<script type="application/ld+json">{"@graph": [[{"a": {"b": {"email": " LD', CAST(page_id AS STRING), '@acme.example"}}}], {"sameAs": ["telegram.me/x", 3, {"sameAs": "https://www.linkedin.com/in/q?gclid=1"}]}]}</script>')
+ WHEN 1 THEN concat(html, '<SCRIPT id="a" TYPE="application/ld+json" >{"sameAs": "https://t.me/telegram', CAST(page_id AS STRING), '#a"}</SCRIPT>')
+ WHEN 2 THEN concat(html, '<script type="application/ld+json">{"email": </script><script type="application/ld+json">[{"email": "ok@acme.example"}, {"email": "x@gmail.com"}, {"email": 5}]</script>')
+ WHEN 3 THEN concat(html, '<script>{"email": "no@acme.example"}</script>')
+ ELSE html END"""
 
 
-@query("SELECT page_id, 'email' AS contact_type, 'ld' || page_id || '@acme.example' AS value FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'telegram', 'https://t.me/x' FROM pages WHERE page_id % 3 = 0")
+@query(
+    """SELECT page_id, 'telegram' AS contact_type, 'https://t.me/x' AS value FROM pages WHERE page_id % 6 = 0
+ UNION ALL SELECT page_id, 'linkedin', 'https://www.linkedin.com/in/q' FROM pages WHERE page_id % 6 = 0
+ UNION ALL SELECT page_id, 'telegram', 'https://t.me/telegram' || page_id FROM pages WHERE page_id % 6 = 1
+ UNION ALL SELECT page_id, 'email', 'ok@acme.example' FROM pages WHERE page_id % 6 = 2"""
+)
 def x17_linked_data(spark, sf_dir):  # noqa: ANN001, ANN201
     """Contacts in linked-data scripts, at any depth."""
-    script = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"a": {"email": "LD'), F.col("page_id").cast("string"), F.lit('@acme.example"}}, {"sameAs": ["https://t.me/x"]}]}</script>'))
-    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", script)).otherwise(F.col("html"))
-    return crawl.linked_data_contacts(_Tables(spark, sf_dir).pages.select("page_id", html.alias("html")))
+    return crawl.linked_data_contacts(_Tables(spark, sf_dir).pages.select("page_id", F.expr(_LINKED).alias("html")))
+
 
+#: Stored texts: with a secret, a secret in a text inside, long plain text, a long text inside, a long list, a number as text.
+_STORED = """CASE event_id % 6
+ WHEN 0 THEN concat('{"k": ', CAST(event_id AS STRING), ', "API_KEY": {"x": 1}, "a": [{"password2": "p"}]}')
+ WHEN 1 THEN concat('{"a": "{\\"token\\": \\"x\\", \\"n\\": ', CAST(event_id AS STRING), '}"}')
+ WHEN 2 THEN concat(event_type, ' ', repeat('t', 600))
+ WHEN 3 THEN concat('{"long": "', event_type, repeat('z', 600), '"}')
+ WHEN 4 THEN concat('[', repeat('1,', 59), CAST(event_id AS STRING), ']')
+ ELSE CAST(event_id AS STRING) END"""
 
-@query("SELECT event_id, '{\"api_key\": \"***\", \"k\": ' || event_id || '}' AS clean FROM events")
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"API_KEY": "***REDACTED***", "a": [{"password2": "***REDACTED***"}], "k": ' || event_id || '}'
+ WHEN 1 THEN '{"a": {"n": ' || event_id || ', "token": "***REDACTED***"}}' WHEN 2 THEN substr(event_type || ' ' || repeat('t', 600), 1, 500)
+ WHEN 3 THEN '{"long": "' || substr(event_type || repeat('z', 600), 1, 500) || '"}' WHEN 4 THEN '[' || repeat('1, ', 49) || '1]' ELSE CAST(event_id AS VARCHAR) END AS clean FROM events"""
+)
 def p4_sanitised(spark, sf_dir):  # noqa: ANN001, ANN201
-    """JSON without secrets."""
-    text = F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit(', "api_key": "x"}'))
-    return _Tables(spark, sf_dir).events.select("event_id", D.sanitise(text).alias("clean"))
+    """Stored texts without secrets."""
+    return _Tables(spark, sf_dir).events.select("event_id", D.sanitise(F.expr(_STORED.replace("\\", "\\\\"))).alias("clean"))
 
 
 @query("SELECT keyword_id, count(*) AS results FROM search_results GROUP BY keyword_id", "search_results")
@@ -726,12 +905,12 @@ def t12_progress(spark, sf_dir):  # noqa: ANN001, ANN201
     return tasks.latest_per_key(_Tables(spark, sf_dir).pipeline_state, ("run_id", "keyword_id"), F.desc("id")).select("run_id", "keyword_id", "status", "websites_processed", "contacts_found")
 
 
-@query("SELECT run_id, with_contacts_pct, zero_page_pct, failures, CAST(CASE WHEN with_contacts_pct < 20 OR zero_page_pct > 60 OR failures > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code FROM (SELECT run_id, CAST(round(count(*) FILTER (contacts_found > 0) * 100.0 / count(*), 2) AS DOUBLE) AS with_contacts_pct, CAST(round(count(*) FILTER (websites_processed = 0) * 100.0 / count(*), 2) AS DOUBLE) AS zero_page_pct, count(*) FILTER (status = 'failed' AND keyword_id % 5 = 0) AS failures FROM pipeline_state GROUP BY run_id)", "pipeline_state")
+@query("SELECT run_id, with_contacts_pct, zero_page_pct, failures, CAST(CASE WHEN with_contacts_pct < 20 OR zero_page_pct > 60 OR failures > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code FROM (SELECT run_id, CAST(round(count(*) FILTER (contacts_found > 0) * 100.0 / count(*), 2) AS DOUBLE) AS with_contacts_pct, CAST(round(count(*) FILTER (websites_processed = 0) * 100.0 / count(*), 2) AS DOUBLE) AS zero_page_pct, count(*) FILTER (status = 'failed') AS failures FROM pipeline_state GROUP BY run_id)", "pipeline_state")
 def g3_weekly_gate(spark, sf_dir):  # noqa: ANN001, ANN201
     """The weekly gate of every run."""
     n = F.count("*")
     counts = [metrics.rate(F.count_if(F.expr(test)), n).alias(name) for name, test in (("with_contacts_pct", "contacts_found > 0"), ("zero_page_pct", "websites_processed = 0"))]
-    failures = F.count_if(F.expr("status = 'failed' AND keyword_id % 5 = 0")).alias("failures")
+    failures = F.count_if(F.col("status") == "failed").alias("failures")
     return metrics.weekly_gate(_Tables(spark, sf_dir).pipeline_state.groupBy("run_id").agg(*counts, failures))
 
 
@@ -751,10 +930,10 @@ def p8_subject_area(spark, sf_dir):  # noqa: ANN001, ANN201
     return _Tables(spark, sf_dir).documents.select("doc_id", C.subject_area(tags).alias("subject"))
 
 
-@query("SELECT id, domain, status_code, pages_crawled, CASE WHEN pages_crawled = 0 THEN error_message END AS error_message FROM crawl_logs", "crawl_logs")
+@query("SELECT domain, CASE WHEN pages_crawled > 0 THEN 200 ELSE 0 END AS status_code, CASE WHEN pages_crawled = 0 THEN error_message END AS error_message, pages_crawled, duration_seconds, crawled_at FROM crawl_logs", "crawl_logs")
 def k7_crawl_log_rows(spark, sf_dir):  # noqa: ANN001, ANN201
     """Log rows with the error only where no page came."""
-    return _Tables(spark, sf_dir).crawl_logs.select("id", "domain", "status_code", "pages_crawled", F.when(F.col("pages_crawled") == 0, F.col("error_message")).alias("error_message"))
+    return sinks.crawl_log_rows(_Tables(spark, sf_dir).crawl_logs.withColumnRenamed("error_message", "error"))
 
 
 @query("SELECT id FROM crawl_logs WHERE crawled_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY", "crawl_logs")

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import base64
 import xml.etree.ElementTree as ET
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webquarry import fixed_values as V
+
 # Search types by country and localisations by language.
-SEARCH_TYPES = {"RU": "SEARCH_TYPE_RU", "KZ": "SEARCH_TYPE_KK", "BY": "SEARCH_TYPE_BE", "UZ": "SEARCH_TYPE_UZ", "TR": "SEARCH_TYPE_TR", "US": "SEARCH_TYPE_COM", "GB": "SEARCH_TYPE_COM", "DE": "SEARCH_TYPE_COM"}
+SEARCH_TYPES = {"RU": "SEARCH_TYPE_RU", "KZ": "SEARCH_TYPE_KK", "UZ": "SEARCH_TYPE_UZ", "BY": "SEARCH_TYPE_BE", "TR": "SEARCH_TYPE_TR", "US": "SEARCH_TYPE_COM", "GB": "SEARCH_TYPE_COM", "DE": "SEARCH_TYPE_COM"}
 LOCALISATIONS = {"ru": "LOCALIZATION_RU", "uk": "LOCALIZATION_UK", "be": "LOCALIZATION_BE", "kk": "LOCALIZATION_KK", "tr": "LOCALIZATION_TR", "en": "LOCALIZATION_EN"}
+# Regions of list answers by country, and bounds of a search request.
+REGIONS = {"RU": "ru-ru", "KZ": "kz-en", "UZ": "uz-en", "KG": "kg-en", "AZ": "az-en", "BY": "by-en", "UA": "ua-uk", "GE": "ge-en", "US": "us-en", "GB": "uk-en", "DE": "de-de", "FR": "fr-fr"}
+MOST_RESULTS, QUERY_CHARS, MOST_PASSAGES = 20, 400, 3
+# The first object or list in a model's reply.
+REPLY_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+REPLY_LIST = r"\[[^\]]*\]"
 
 
 def json_results(answers: DataFrame, column: str, most: int = 10) -> DataFrame:
@@ -41,6 +51,9 @@ def xml_rows(text: str | None, most: int = 10) -> list[dict]:
             text = base64.b64decode(text).decode("utf-8")
         except ValueError:
             return []
+    # No answer declares entities; one that does could grow without bound.
+    if "<!DOCTYPE" in text or "<!ENTITY" in text:
+        return []
     try:
         tree = ET.fromstring(text)
     except ET.ParseError:
@@ -66,16 +79,35 @@ def xml_results(answers: DataFrame, column: str, most: int = 10) -> DataFrame:
     return answers.select(*keys, F.explode(parse(column)).alias("r")).select(*keys, "r.url", "r.title", "r.snippet", "r.position")
 
 
+def answer_error(answer: Column) -> Column:
+    """Why a JSON answer has no results: the message of its error where it carries no data; null if it carries some."""
+    kind = "struct<rawData: string, raw_data: string, error: struct<message: string>>"
+    found = F.from_json(answer, kind)
+    raw = F.coalesce(F.nullif(found["rawData"], F.lit("")), F.nullif(found["raw_data"], F.lit("")))
+    error = F.coalesce(found["error"]["message"], F.get_json_object(answer, "$.error"))
+    unread = F.when(F.try_parse_json(answer).isNull(), "unreadable answer")
+    return F.when(raw.isNull(), F.coalesce(unread, F.when(F.get_json_object(answer, "$.error").startswith("{"), error)))
+
+
+def search_request(keyword: Column, country: Column, language: Column, wanted: Column) -> Column:
+    """The bounded values of a search request: query text, search type, localisation, results and passages."""
+    n = F.greatest(F.lit(1), F.least(wanted, F.lit(MOST_RESULTS))).cast("int")
+    return F.struct(F.substring(keyword, 1, QUERY_CHARS).alias("query"), search_type(country).alias("search_type"), localisation(language).alias("l10n"), n.alias("results"), F.least(F.lit(MOST_PASSAGES), n).alias("passages"))
+
+
 def robots_rules(text: Column) -> Column:
-    """Allow and disallow paths and the delay of a robots text."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), F.trim)
+    """Allow and disallow paths, in lower case, and the last readable delay of a robots text; empty paths don't count."""
+    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
     def values(name: str) -> Column:
-        own = F.filter(lines, lambda x: F.lower(x).startswith(name + ":"))
-        return F.transform(own, lambda x: F.trim(F.substring(x, len(name) + 2, 10_000)))
+        own = F.filter(lines, lambda x: x.startswith(name + ":"))
+        return F.transform(own, lambda x: F.regexp_replace(x, rf"^{name}:\s*", ""))
+
+    def paths(name: str) -> Column:
+        return F.filter(values(name), lambda x: x != "").alias(name)
 
-    delay = F.element_at(F.concat(values("crawl-delay"), F.array(F.lit(None).cast("string"))), 1).try_cast("double")
-    return F.struct(values("allow").alias("allow"), values("disallow").alias("disallow"), delay.alias("crawl_delay"))
+    delays = F.filter(F.transform(values("crawl-delay"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    return F.struct(paths("allow"), paths("disallow"), F.try_element_at(delays, F.lit(-1)).alias("crawl_delay"))
 
 
 def is_allowed(path: Column, disallow: Column) -> Column:
@@ -85,8 +117,14 @@ def is_allowed(path: Column, disallow: Column) -> Column:
 
 def sitemap_urls(xml: Column) -> Column:
     """The first hundred locations of a sitemap that aren't media files."""
-    found = F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
-    return F.slice(F.filter(found, lambda u: ~F.lower(u).rlike(r"\.(pdf|jpg|jpeg|png|gif|mp4|zip)$")), 1, 100)
+    found = F.regexp_extract_all(xml, F.lit("<loc>(.*?)</loc>"), F.lit(1))
+    return F.slice(F.filter(found, lambda u: ~reduce(or_, [u.endswith(e) for e in V.SITEMAP_SKIPPED])), 1, 100)
+
+
+def region(country: Column) -> Column:
+    """Region of list answers for a country, the Russian one by default."""
+    known = F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair])
+    return F.coalesce(F.element_at(known, country), F.lit("ru-ru"))
 
 
 def search_type(country: Column) -> Column:
@@ -109,9 +147,52 @@ def new_keywords(lines: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("keyword"), "keyword", "left_anti").select("keyword", F.col("at.form_id").alias("form_id"), F.col("at.pos").alias("pos"))
 
 
+def single_forms(forms: DataFrame, known: DataFrame) -> DataFrame:
+    """(form_id, keyword, outcome) of single forms (form_id, text): added, exists, empty or too_long.
+
+    A keyword exists if it is stored or an earlier form has added it.
+    """
+    text = F.trim(F.coalesce("text", F.lit("")))
+    rows = forms.select("form_id", text.alias("text"), F.trim(F.translate(text, "<>\"'", "")).alias("keyword"))
+    bad = F.when(F.col("text") == "", "empty").when(F.length("text") > 500, "too_long")
+    rows = rows.select("form_id", F.when(bad.isNull(), F.col("keyword")).alias("keyword"), bad.alias("bad"))
+    first = rows.where("bad IS NULL").groupBy("keyword").agg(F.min("form_id").alias("first_form"))
+    stored = known.select("keyword", F.lit(True).alias("stored")).distinct()
+    rows = rows.join(first, "keyword", "left").join(stored, "keyword", "left")
+    added = F.when(F.col("stored").isNull() & (F.col("form_id") == F.col("first_form")), "added").otherwise("exists")
+    return rows.select("form_id", "keyword", F.coalesce("bad", added).alias("outcome"))
+
+
+def _in_reply(reply: Column, pattern: str) -> Column:
+    """The reply itself if it is JSON, else what the pattern finds in it."""
+    return F.when(F.try_parse_json(reply).isNotNull(), F.trim(reply)).otherwise(F.regexp_extract(reply, "(?s)" + pattern, 0))
+
+
 def llm_contacts(reply: Column) -> Column:
-    """Lists of e-mails, telegram and linkedin of a model's reply: the JSON, else the first braces in it, else empty lists."""
+    """Lists of e-mails, telegram and linkedin of a model's reply: the JSON, else the first object in it, else empty lists."""
     kind = "struct<emails: array<string>, telegram: array<string>, linkedin: array<string>>"
-    parsed = F.coalesce(F.from_json(F.when(F.trim(reply).startswith("{"), reply), kind), F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), kind))
+    found = _in_reply(reply, REPLY_OBJECT)
+    parsed = F.from_json(F.when(found.startswith("{"), found), kind)
     none = F.array().cast("array<string>")
     return F.struct(*[F.coalesce(parsed[k], none).alias(k) for k in ("emails", "telegram", "linkedin")])
+
+
+def llm_categories(reply: Column) -> Column:
+    """The first three categories of a model's reply: the JSON list, else the first list in it, else none."""
+    found = _in_reply(reply, REPLY_LIST)
+    return F.slice(F.coalesce(F.from_json(F.when(found.startswith("["), found), "array<string>"), F.array().cast("array<string>")), 1, 3)
+
+
+def env_hosts(text: Column, name: str = "SERP_BLOCKED_HOST_SUFFIXES") -> Column:
+    """The hosts of a setting in a text of settings: a JSON list or names between commas."""
+    raw = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(text, rf"(?m)^{name}=(.*)$", 1)), '^"+|"+$', ""), "^'+|'+$", "")
+    plain = F.filter(F.transform(F.split(raw, ","), lambda h: F.trim(h)), lambda h: h != "")
+    listed = F.when(raw.startswith("[") & F.try_parse_json(raw).isNotNull(), F.from_json(raw, "array<string>"))
+    return F.coalesce(listed, plain, F.array().cast("array<string>"))
+
+
+def unpacked(payload: Column) -> Column:
+    """The pages of a task's payload; what is no list has none."""
+    kind = "array<struct<url: string, content: string, html: string, type: string, priority: int>>"
+    pages = F.from_json(F.when(F.trim(payload).startswith("["), payload), kind)
+    return F.coalesce(pages, F.array().cast(kind))
