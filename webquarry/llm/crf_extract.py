@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,19 +47,59 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+@lru_cache(maxsize=100_000)
+def _feature(name: str) -> int:
+    value = 2166136261
+    for b in name.encode():
+        value = (value ^ b) * 16777619 & 0xFFFFFFFF
+    return (value ^ value >> 15) & ((1 << HASH_BITS) - 1)
+
+
+@lru_cache(maxsize=20_000)
+def _tag_features(name: str, words: tuple[str, ...]) -> frozenset[int]:
+    return frozenset(map(_feature, (f"tag={name}", *(f"word={w}" for w in words))))
+
+
+@lru_cache(maxsize=20_000)
+def _own_features(seen: frozenset[int], name: str, words: tuple[str, ...], above: str) -> tuple[int, ...]:
+    names = [f"own={name}", *(f"own-word={w}" for w in dict.fromkeys(words))] + ([f"parent={above}>{name}"] if above else [])
+    return (*sorted(seen), *map(_feature, names))
+
+
 class Block:
-    """A leaf block: its text, the share of its characters inside links, and its ancestors."""
+    """A leaf block: its text, the number of its characters inside links, and the features of its ancestors."""
+
+    __slots__ = ("linked", "path", "text")
+
+    def __init__(self, text: str, linked: int, path: tuple[int, ...]) -> None:
+        self.text, self.linked, self.path = text, linked, path
 
-    __slots__ = ("ancestors", "linked", "text")
 
-    def __init__(self, text: str, linked: int, ancestors: tuple[tuple[str, tuple[str, ...]], ...]) -> None:
-        self.text, self.linked, self.ancestors = text, linked, ancestors
+class Node:
+    """An open element. ``seen`` has the features of its and its ancestors' tags and words.
+
+    There are at most 2**HASH_BITS features, and an element that adds none shares its parent's
+    set, so the work for a block doesn't grow with the depth of the page.
+    """
+
+    __slots__ = ("name", "path", "seen")
+
+    def __init__(self, name: str, words: tuple[str, ...], parent: Node | None, above: str) -> None:
+        self.name = name
+        names = _tag_features(name, words)
+        known = parent.seen if parent else frozenset()
+        self.seen = known if names <= known else known | names
+        self.path = _own_features(self.seen, name, words, above)
+
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Open elements by name and, but for inline ones, by their node; how many of each name are open.
+    stack: list[tuple[str, Node | None]] = []
+    nodes: list[Node] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     links, linked, hidden, at = 0, 0, 0, 0
 
@@ -67,7 +108,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, linked, tuple(s for s in stack if s[0] not in INLINE)))
+                out.append(Block(whole, linked, nodes[-1].path if nodes else ()))
             text.clear()
         linked = 0
 
@@ -80,7 +121,10 @@ def blocks(page: str) -> list[Block]:
 
     def pop() -> None:
         nonlocal links, hidden
-        name = stack.pop()[0]
+        name, node = stack.pop()
+        opened[name] -= 1
+        if node is not None:
+            nodes.pop()
         links -= name == "a"
         hidden -= name in NO_TEXT
 
@@ -99,12 +143,13 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE and not hidden:
             close()
         if token.group(1):
-            if any(s[0] == name for s in stack):
+            if opened[name]:
                 # An inline end tag doesn't close blocks around it.
                 if name in INLINE:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == name:
                             links -= name == "a"
+                            opened[name] -= 1
                             del stack[k]
                             break
                         if stack[k][0] not in INLINE:
@@ -114,7 +159,7 @@ def blocks(page: str) -> list[Block]:
                         pop()
                     pop()
             continue
-        if name in _ENDS_P and any(s[0] == "p" for s in stack):
+        if name in _ENDS_P and opened["p"]:
             while stack[-1][0] != "p":
                 pop()
             pop()
@@ -132,32 +177,18 @@ def blocks(page: str) -> list[Block]:
         words: list[str] = []
         for m in _ATTRIBUTE.finditer(token.group(3) or ""):
             words += _WORD.findall((m.group(2) or m.group(3) or m.group(4) or "").lower())
-        stack.append((name, tuple(words)))
+        node = None
+        if name not in INLINE:
+            node = Node(name, tuple(words), nodes[-1] if nodes else None, nodes[-1].name if nodes else "")
+            nodes.append(node)
+        stack.append((name, node))
+        opened[name] += 1
         links += name == "a"
         hidden += name in NO_TEXT
     close()
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _feature(name: str) -> int:
-    value = 2166136261
-    for b in name.encode():
-        value = (value ^ b) * 16777619 & 0xFFFFFFFF
-    return (value ^ value >> 15) & ((1 << HASH_BITS) - 1)
-
-
-@lru_cache(maxsize=20_000)
-def _path_features(ancestors: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[int, ...]:
-    names = {f"tag={t}" for t, _ in ancestors} | {f"word={w}" for _, words in ancestors for w in words}
-    if ancestors:
-        names.add(f"own={ancestors[-1][0]}")
-        names |= {f"own-word={w}" for w in ancestors[-1][1]}
-    if len(ancestors) > 1:
-        names.add(f"parent={ancestors[-2][0]}>{ancestors[-1][0]}")
-    return tuple(map(_feature, sorted(names)))
-
-
 def features(page: list[Block]) -> list[tuple[int, ...]]:
     """Hashed binary features of each block."""
     out = []
@@ -172,7 +203,7 @@ def features(page: list[Block]) -> list[tuple[int, ...]]:
             names.append("last")
         if "©" in b.text:
             names.append("copyright")
-        out.append((*_path_features(b.ancestors), *map(_feature, names)))
+        out.append((*b.path, *map(_feature, names)))
     return out
 
 
