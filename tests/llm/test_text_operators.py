@@ -81,6 +81,68 @@ def test_shards_are_even_and_gapless(spark, odd, chunk):
     assert [r.hilbert for r in order] == sorted(r.hilbert for r in rows)
 
 
+def curve_index(x, bits):
+    """The published transpose algorithm, for one point."""
+    x, n = list(x), len(x)
+    q = 1 << bits - 1
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << bits - 1
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    return sum(((v ^ t) >> b & 1) << b * n + n - 1 - i for i, v in enumerate(x) for b in range(bits))
+
+
+def test_shards_equal_brute_force(spark):
+    r = random.Random(12)
+    ids = [None, -(2**63), 2**63 - 1, 0, 0, 5, *(r.randint(-(2**63), 2**63 - 1) for _ in range(150))]
+    langs, sources = [None, "en", "en", "fr"], [None, *(f"s{i}" for i in range(20))]
+    rows = [(i, r.choice([None, "", "tex t", sentence(r, 9)]), r.choice(langs), r.choice(sources), r.choice([None, 0, -3, 7, 900, 2**40])) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = [x for x in ids if x is not None]
+    low, width = min(known), float((max(known) - min(known)) // 15 + 1)
+
+    def code(values):
+        order = sorted(Counter(v for v in values if v is not None).items(), key=lambda x: (-x[1], x[0]))
+        places = {v: i + 1 for i, (v, _) in enumerate(order[:14])}
+        return lambda v: 0 if v is None else places.get(v, 15)
+
+    lang_code, source_code = code([x[2] for x in rows]), code([x[3] for x in rows])
+
+    def point(row):
+        size = 0 if row[4] is None else min(15, len(f"{max(row[4], 0):b}"))
+        return lang_code(row[2]), source_code(row[3]), size, 0 if row[0] is None else min(15, int((float(row[0]) - float(low)) // width) + 1)
+
+    want = Counter((x[0], len((x[1] or "").encode()) + 8, zlib.crc32((x[1] or "").encode()), *point(x), curve_index(point(x), 4)) for x in rows)
+    got = hilbert_shards.shard(docs, chunk_rows=7).collect()
+    assert Counter((x.doc_id, x.size, x.text_crc32, x.q_lang, x.q_source, x.q_size, x.q_id, x.hilbert) for x in got) == want
+    base, more = divmod(len(rows), 24)
+    sizes = Counter(x.shard for x in got)
+    assert [sizes[i] for i in range(24)] == [base + (i < more) for i in range(24)]
+    order = [x.hilbert for x in sorted(got, key=lambda x: (x.shard, x.slot))]
+    assert order == sorted(order)
+
+
+def test_written_shards_are_whole_and_prunable(spark, odd, tmp_path):
+    docs = odd.withColumn("shard", F.lit("mine")).union(odd.withColumn("shard", F.lit("again")))
+    hilbert_shards.write(docs, str(tmp_path / "out"), shards=4, file_rows=3)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert {x.shard_ for x in got.select("shard_").collect()} == set(range(4))
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) >= docs.count() // 3
+
+
 def test_empty_tables(spark, none):
     assert hilbert_shards.shard(none).count() == 0
     assert licence_digests.scan(none, licence_digests.known_digests(spark)).count() == 0

@@ -11,9 +11,10 @@ each cell is split by a hash of the row into chunks of about ``chunk_rows`` rows
 global position is: rows in earlier cells + rows in earlier chunks of its cell + its rank in
 its chunk. A source that holds a third of all rows is thus only more chunks.
 
-Defined results: null ids, languages, sources and sizes have codes of their own; a null text
-has size 8 and the checksum of no bytes; repeated rows each get a slot; an empty table gives
-an empty result; other columns of the input are ignored.
+Defined results: null ids, languages, sources and sizes have the code 0 of their own; ids are any
+64-bit numbers; a null text has size 8 and the checksum of no bytes; repeated rows each get a
+slot, rows of one id are ordered by their texts' checksum and size; an empty table gives an
+empty result; other columns of the input are ignored, and kept by ``write``.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 BITS = 4
 SHARDS = 24
 CHUNK_ROWS = 20_000
+FILE_ROWS = 1_000_000
 DIMS = ("q_lang", "q_source", "q_size", "q_id")
 
 
@@ -49,14 +51,16 @@ def quantised(docs: DataFrame, bits: int = BITS) -> DataFrame:
     sources = _frequent_values(docs, "source", codes - 2)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (0, 0) if low is None else (int(low), int(high))
-    width = (high - low) // codes + 1
-    size_class = F.length(F.bin(F.greatest(F.coalesce(F.col("n_chars"), F.lit(0)), F.lit(0)).cast("long")))
+    # As floating-point numbers, whose difference can't overflow; ranges are in order all the same.
+    width = float((high - low) // (codes - 1) + 1)
+    id_range = F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(width)).cast("int") + 1, F.lit(codes - 1))
+    size_class = F.length(F.bin(F.greatest(F.col("n_chars"), F.lit(0)).cast("long")))
     return docs.select(
         "*",
         _category_code("lang", langs, codes).alias("q_lang"),
         _category_code("source", sources, codes).alias("q_source"),
-        F.least(size_class, F.lit(codes - 1)).cast("int").alias("q_size"),
-        F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int").alias("q_id"),
+        F.when(F.col("n_chars").isNull(), 0).otherwise(F.least(size_class, F.lit(codes - 1))).cast("int").alias("q_size"),
+        F.when(F.col("doc_id").isNull(), 0).otherwise(id_range).cast("int").alias("q_id"),
     )
 
 
@@ -83,8 +87,8 @@ def hilbert_index(dims: list[str], bits: int) -> Column:
 
 
 def positions(docs: DataFrame, bits: int = BITS, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
-    """The quantised documents with ``h`` and the gapless global position ``pos``, and the row count."""
-    rows = quantised(docs, bits).withColumn("_hash", F.xxhash64("doc_id", "source", "lang", "n_chars"))
+    """The quantised documents (with text_crc32 and _bytes) with ``h`` and the gapless global position ``pos``, and the row count."""
+    rows = quantised(docs, bits).withColumn("_hash", F.xxhash64("doc_id", "source", "lang", "n_chars", "text_crc32", "_bytes"))
     cells = rows.groupBy(*DIMS).agg(F.count("*").alias("cell_rows")).withColumn("h", hilbert_index(list(DIMS), bits))
     # At most 2**(4*bits) rows, whatever the input.
     cells = cells.withColumn("cell_start", F.sum("cell_rows").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
@@ -94,43 +98,52 @@ def positions(docs: DataFrame, bits: int = BITS, chunk_rows: int = CHUNK_ROWS) -
     chunks = rows.groupBy("h", "chunk").agg(F.count("*").alias("chunk_rows"))
     before = Window.partitionBy("h").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("h", "chunk", F.coalesce(F.sum("chunk_rows").over(before), F.lit(0)).alias("chunk_start"))
-    rank = F.row_number().over(Window.partitionBy("h", "chunk").orderBy("_hash", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("h", "chunk").orderBy("_hash", "doc_id", "text_crc32", "_bytes"))
     rows = rows.withColumn("_rank", rank).join(chunks, ["h", "chunk"])
     return rows.withColumn("pos", F.col("cell_start") + F.col("chunk_start") + F.col("_rank") - 1), int(total)
 
 
+def _placed(docs: DataFrame, shards: int, bits: int, chunk_rows: int, whole: bool) -> tuple[DataFrame, int]:
+    """The rows of ``positions`` with ``shard`` and ``slot``, ``whole`` with all columns as ``_row``; and the row count."""
+    own = [F.col(c) for c in ("doc_id", "lang", "source", "n_chars")]
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    wanted = docs.select(*own, F.octet_length("text").alias("_bytes"), crc, *([F.struct("*").alias("_row")] if whole else []))
+    rows, total = positions(wanted, bits, chunk_rows)
+    base, larger = divmod(total, shards)
+    edge = larger * (base + 1)
+    pos = F.col("pos")
+    number = F.when(pos < edge, F.floor(pos / (base + 1))).otherwise(larger + F.floor((pos - edge) / max(base, 1)))
+    slot = F.when(pos < edge, pos % (base + 1)).otherwise((pos - edge) % max(base, 1))
+    return rows.withColumn("shard", number.cast("int")).withColumn("slot", slot.cast("long")), total
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Runs of the Hilbert order as shards 0 .. shards-1 with counts at most one apart.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard, the four codes and the
     curve index ``hilbert``.
     """
-    wanted = docs.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").alias("_bytes"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
-    rows, total = positions(wanted, bits, chunk_rows)
-    base, larger = divmod(total, shards)
-    edge = larger * (base + 1)
-    pos = F.col("pos")
-    late = F.floor((pos - edge) / max(base, 1))
-    number = F.when(pos < edge, F.floor(pos / (base + 1))).otherwise(larger + late)
-    slot = F.when(pos < edge, pos % (base + 1)).otherwise((pos - edge) % max(base, 1))
-    return rows.select(
-        "doc_id",
-        (F.coalesce("_bytes", F.lit(0)).cast("long") + 8).alias("size"),
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        number.cast("int").alias("shard"),
-        slot.cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        *DIMS,
-        F.col("h").alias("hilbert"),
-    )
+    rows, _ = _placed(docs, shards, bits, chunk_rows, whole=False)
+    size = (F.coalesce("_bytes", F.lit(0)).cast("long") + 8).alias("size")
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return rows.select("doc_id", size, "text_crc32", F.lit("rows").alias("law"), "shard", "slot", grown, *DIMS, F.col("h").alias("hilbert"))
+
 
+def write(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS, chunk_rows: int = CHUNK_ROWS, file_rows: int = FILE_ROWS) -> None:
+    """Writes ``docs`` in curve order, a folder for each shard with files of about ``file_rows`` rows.
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS, **options: int) -> None:
-    """Writes ``docs`` with its shard numbers, one folder per shard, rows in curve order."""
-    placed = shard(docs, shards, **options).select("doc_id", "shard", "slot")
-    out = docs.join(placed, "doc_id").repartitionByRange(shards, "shard")
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    Every file is a run of the curve, so the least and greatest values in its footer prune it. The
+    folders are named after a new column ``shard``, with underlines behind it if the table has
+    one of that name.
+    """
+    rows, total = _placed(docs, shards, bits, chunk_rows, whole=True)
+    name = "shard"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    files = max(shards, -(-total // file_rows))
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    runs = rows.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    runs.select(*own, F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
