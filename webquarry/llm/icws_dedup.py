@@ -21,8 +21,9 @@ bucket, and a link that joins two components isn't lost.
 
 Defined results: null texts and texts without a word are classes of their own, never linked;
 rows with the same doc_id and text count once in a class; rows of one id with two texts are two
-texts of which the id is in both classes; an empty table gives an empty result; further
-columns are ignored.
+texts of which the id is in both classes; rows without an id take part under a number of 2**62 or
+more that their text's hash gives, which is their rep if no row with an id has the text; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.llm import textkit
@@ -44,6 +45,9 @@ ROUNDS, BINS = 16, 32
 BANDS, ROWS = 64, 8
 IDF_BITS = 16
 CROWD = 12
+#: Pairs of one text in a task; the text of a centre of more pairs is sent to several tasks.
+PART_PAIRS = 1000
+BROADCAST_CENTRES = 1_000_000
 
 _POOL_BITS = 16
 _RNG = np.random.default_rng(5)
@@ -165,6 +169,11 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+def _node() -> Column:
+    """The id of a row, or for rows without one a number of 2**62 or more by the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+
+
 def _signed_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """doc_id, h1, h2, weight of the whole set, and the band keys; texts without a word are left out."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
@@ -184,7 +193,7 @@ def _signed_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 take = pa.array(i + at)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").take(take), "h1": batch.column("h1").take(take), "h2": batch.column("h2").take(take), "weight": pa.array(total[at]), "keys": lists})
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *text_key()).mapInArrow(textkit.lean(sign), "doc_id long, h1 long, h2 long, weight double, keys array<long>")
+    return docs.select(_node().alias("doc_id"), "text", *text_key()).mapInArrow(textkit.lean(sign), "doc_id long, h1 long, h2 long, weight double, keys array<long>")
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -214,8 +223,15 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
                     take = pa.array(i + at)
                     yield pa.record_batch({"a": batch.column("a").take(take), "b": batch.column("b").take(take), "sim": pa.array(sim[at])})
 
-    a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(textkit.lean(verify), "a long, b long, sim double")
+    # A row for each PART_PAIRS pairs at most.
+    centres = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias("parts")).where("parts > 1"))
+    centres = F.broadcast(centres) if centres.limit(BROADCAST_CENTRES + 1).count() <= BROADCAST_CENTRES else centres
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    split = pairs.join(centres, "a", "left").select("a", "b", part)
+    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    a = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).join(centres, "a", "left")
+    a = a.select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return split.join(b, "b").join(a, ["a", "part"]).select("a", "b", "ta", "tb").mapInArrow(textkit.lean(verify), "a long, b long, sim double")
 
 
 def rare_first_prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -271,7 +287,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``n_links`` the number of verified links of the text to other texts that the search made.
     """
     idf = idf_table(docs)
-    ids = docs.select(F.col("doc_id").cast("long"), *text_key(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    ids = docs.select(F.col("doc_id").cast("long"), _node().alias("node"), *text_key(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
     signed = _signed_rows(docs, idf)
     reps = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys")))
     rows = reps.select("rep", "weight", F.explode("keys").alias("key"))
@@ -279,7 +295,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(rows.join(buckets, "key"))
     pairs = cut(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", *text_key())
+    texts = docs.select(_node().alias("rep"), "text", *text_key())
     texts = texts.join(reps.select("rep", "h1", "h2").join(wanted, "rep"), ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep"])
     texts = cut(texts.select("rep", "text"))
     links = cut(verified(pairs, texts, idf, threshold))
@@ -312,7 +328,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = first if more.isEmpty() else components(all_links)
     counted = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     member = ids.where("worded").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
-    alone = ids.where("NOT worded").select("doc_id", F.col("doc_id").alias("rep"))
+    alone = ids.where("NOT worded").select("doc_id", F.col("node").alias("rep"))
     out = member.union(alone).distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(counted, "rep", "left")
     return out.select("doc_id", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
