@@ -19,7 +19,8 @@ longest suffix known from smaller ids at each word) and marks the windows where
 
 Defined results: null texts and texts of fewer than 13 words lose nothing; repeated windows
 inside one document are kept; rows with one doc_id are one document for the comparison, and
-each such row gets its own result; rows without an id are one document before all others; an empty table gives an empty result; further columns are
+each such row gets its own result; rows without an id are documents by their texts, before all
+others and in the order of a hash; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -40,6 +41,8 @@ WINDOW = 13
 GRAM = 5
 HOT = 500
 NO_ID = -(1 << 63)
+#: Tasks that a large group of whole copies is dealt to.
+SALTS = 16
 SPAN_WINDOWS = 48
 SHARD_WORDS = 20_000
 
@@ -326,20 +329,25 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carried: tuple[
                 text.append(whole)
                 total.append(len(words))
                 gone.append(lost)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(text, pa.string()), **{c: batch.column(c) for c in carried}})
+            yield pa.record_batch({"doc_id": batch.column("own_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(text, pa.string()), **{c: batch.column(c) for c in carried}})
 
     key = text_key()
+    given = F.col("doc_id").cast("long")
     # Never null, so that no join adds a filter and the exchange of the texts is the same in all of them.
-    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
-    keyed = docs.select(own_id, "text", key[0], *carried)
+    own_id = F.coalesce(given, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("doc_id")
+    keyed = docs.select(own_id, given.alias("own_id"), "text", key[0], *carried)
     hashed = docs.select(own_id, *key)
     # Whole copies of a text with a smaller id lose every window; only the first of them is looked into.
     first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = hashed.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("copies"))
+    # A third of all rows may be one group, so each group's number is sent to several tasks.
+    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    first = first.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    copies = salted.join(first, ["h1", "h2", "salt"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("copies"))
     rows = keyed.join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("h1")), F.lit(False))).drop("copies")
     found = removed_windows(rows.where("NOT copy"), window, hot)
     kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return rows.join(found, "doc_id", "left").select("doc_id", "h1", "text", "copy", "spans", *carried).mapInArrow(textkit.lean(keep), f"doc_id long, n_words long, n_removed long, kept_text string{kind}").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    kept = rows.join(found, "doc_id", "left").select("own_id", "h1", "text", "copy", "spans", *carried)
+    return kept.mapInArrow(textkit.lean(keep), f"doc_id long, n_words long, n_removed long, kept_text string{kind}")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
