@@ -164,6 +164,26 @@ def test_licences(spark):
     assert got[3].licence is None and got[4].digest is None and got[5].digest is None
 
 
+def test_published_licence_files(spark):
+    import textwrap
+
+    files = []
+    for name, title in licence_digests.TITLES:
+        text = next(t for n, t in licence_digests.TEXTS if n == name)
+        for width in (40, 60, 72, 79, 100):
+            body = "\n\n".join(textwrap.fill(part, width, break_long_words=False) for part in text.split("\n\n"))
+            files += [(name, f"{title}\n\nCopyright (c) 2024 Acme Inc.\nCopyright Jane Doe <j@acme.example>\n© 2020-2024, Others. All rights reserved.\n\n{body}\n"), (name, f"Copyright 2001 Acme\r\n\r\n{body}"), (name, body)]
+    docs = table(spark, [t for _, t in files])
+    got = {r.doc_id: r.licence for r in licence_digests.scan(docs, licence_digests.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(files))] == [n for n, _ in files]
+
+
+def test_notices_of_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "x\nReleased under the MIT License."), (1, "y"), (None, "z")], "doc_id long, text string")
+    got = licence_digests.scan(docs, licence_digests.known_digests(spark)).collect()
+    assert sorted((str(r.doc_id), r.n_notices) for r in got) == [("1", 0), ("None", 1), ("None", 1)]
+
+
 def base_rules(text):
     w = words(text)
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
