@@ -93,12 +93,22 @@ def brute(url, rules, listed):
 @pytest.mark.parametrize("most", [url_digests.FILE_BYTES, 100])
 def test_url_verdicts_equal_brute_force(spark, most):
     urls = [None, "", "x", "http://", "http://a.org", "http://a.org/", "HTTP://EXAMPLE.ORG/es/x?y#z", "http://example.org/en/12", "http://b.example.org/es", "http://c.com/fr/a", "http://c.com/de/", "http://c.com:80/de/", "http://www.spam-farm.example.net/", "http://notspam-farm.example.net/", "http://spam-farm.example.org/es/", "http://É.com/fr/é", "://org/", "http:///de/", "http://..com/de/"]
-    rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*urls, *urls])], "page_id long, url string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_digests.judged(rows, RULES, list(url_digests.BLOCKED_HOSTS), most).collect()}
-    assert got == {i: brute(u, RULES, url_digests.BLOCKED_HOSTS) for i, u in enumerate([*urls, *urls])}
+    rows = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate([*urls, *urls])], "page_id long, url string, host string, rest string, verdict string")
+    listed = spark.createDataFrame([(h, None) for h in url_digests.BLOCKED_HOSTS] + [("", None), (None, None)], "host string, path string")
+    for blocked in (list(url_digests.BLOCKED_HOSTS), listed):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_digests.judged(rows, RULES, blocked, most).collect()}
+        assert got == {i: brute(u, RULES, url_digests.BLOCKED_HOSTS) for i, u in enumerate([*urls, *urls])}
+    assert url_digests.judged(rows, RULES, listed.limit(0)).count() == rows.count()
     assert url_digests.judged(rows.limit(0), RULES, []).count() == 0
 
 
+def test_rules_of_equal_length_and_of_one_key(spark):
+    rules = [("b.org", "/xy", "allow"), ("a.b.org", "/", "block"), ("c.org", "/", "allow"), ("c.org", "/", "block"), ("c.org", "/", "allow")]
+    rows = spark.createDataFrame([(1, "http://a.b.org/xyz"), (2, "http://c.org/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_digests.judged(rows, rules, []).collect()}
+    assert got == {1: ("a.b.org/", "block"), 2: ("c.org/", "block")}
+
+
 def test_collisions_are_confirmed(monkeypatch):
     import numpy as np
 
@@ -149,6 +159,22 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    items = spark.createDataFrame([], "item_id long, text string")
+    for name, docs in (("none", []), ("blank", [(1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (None, "12", "en", "s", 2, "x")])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        items.write.parquet(f"{at}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, at).count() == 0
+
+
+def test_pipeline_keeps_clean_documents_without_a_benchmark(spark, tmp_path, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text_", F.lit(1))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.contamination(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_stages_on_null_repeated_and_shared_ids(spark, sf_dir):
     r = random.Random(4)
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))

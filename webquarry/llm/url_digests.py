@@ -11,12 +11,14 @@ A key fits its host and all subdomains if the URL's path starts with the key's p
 probed with each of its host's suffixes joined with each prefix of its path that is as long as
 some key's path. The longest rule wins; where no rule fits, a listed key blocks.
 
-A file holds at most ``most`` bytes; a longer list is cut into several files by digest range,
-each with all digests of its range, and a URL is probed against each in turn.
+A file holds at most about ``most`` bytes; a longer list is cut into several files by digest
+range, each with all digests of its range, and a URL is probed against each in turn. A long list
+is a DataFrame: tasks sort and pack its ranges, and the driver passes one after the other on.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits nothing and
-is allowed; empty hosts fit nothing; repeated rows are judged each; an empty table gives an
-empty result; further columns are ignored.
+is allowed; empty hosts fit nothing; of rules of equal length that of the longer host wins, and
+of two rules with one key the blocking one; repeated rows are judged each; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.shared import hand_out
+from webquarry.llm.shared import cut, hand_out
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Hosts that are blocked unless a rule says otherwise; with them all their subdomains.
@@ -94,6 +96,32 @@ def share(spark: SparkSession, keys: list[tuple[str, str, str]], most: int = FIL
     return [hand_out(spark, digest_array(group), "digests") for group in groups]
 
 
+def share_list(listed: DataFrame, most: int = FILE_BYTES) -> list[str]:
+    """Hands out a DataFrame of listed hosts or URLs (host, path) as digest arrays, packed by tasks; their names."""
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, paths = (batch.column(c).to_pylist() for c in ("host", "path"))
+            top = [xxhash.xxh64_intdigest((h + p).encode()) >> 33 for h, p in zip(hosts, paths, strict=True)]
+            yield pa.record_batch({"host": batch.column("host"), "path": batch.column("path"), "top": pa.array(top, pa.int64())})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[tuple[str, str, str]]] = {}
+        for batch in batches:
+            for part, h, p in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path")), strict=True):
+                kept.setdefault(part, []).append((h, p, "listed"))
+        for part, keys in kept.items():
+            yield pa.record_batch({"part": pa.array([part], pa.int64()), "data": pa.array([digest_array(keys)], pa.binary())})
+
+    keys = listed.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("host <> ''").distinct()
+    keys = cut(keys.mapInArrow(digested, "host string, path string, top long"))
+    size = keys.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 40), F.lit(0))).first()[0]
+    parts = max(1, -(-int(size) // most))
+    ranges = keys.withColumn("part", F.floor(F.col("top") / ((1 << 31) / parts)).cast("long"))
+    packed = cut(ranges.repartition(parts, "part").select("part", "host", "path").mapInArrow(pack, "part long, data binary"))
+    return [hand_out(listed.sparkSession, bytes(row["data"]), "digests") for row in packed.toLocalIterator()]
+
+
 def _probes(host: str, path: bytes, lengths: list[int]) -> Iterator[bytes]:
     prefixes = [path[:n] for n in lengths if n <= len(path)]
     while host:
@@ -105,15 +133,21 @@ def _probes(host: str, path: bytes, lengths: list[int]) -> Iterator[bytes]:
             return
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[str], most: int = FILE_BYTES) -> DataFrame:
-    """Every row of ``pages`` (page_id, url): page_id, host, path, rule, verdict."""
-    keys = [(h.lower(), p, kind) for h, p, kind in rules] + [(h.lower(), "", "listed") for h in blocked]
-    names = share(pages.sparkSession, keys, most)
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[str] | DataFrame, most: int = FILE_BYTES) -> DataFrame:
+    """Every row of ``pages`` (page_id, url): page_id, host, path, rule, verdict.
+
+    ``blocked``: some hosts, or a DataFrame of hosts and URLs (host, path).
+    """
+    keys = [(h.lower(), p, kind) for h, p, kind in rules]
+    if isinstance(blocked, DataFrame):
+        names = share(pages.sparkSession, keys, most) + share_list(blocked, most)
+    else:
+        names = share(pages.sparkSession, keys + [(h.lower(), "", "listed") for h in blocked], most)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            best: list[tuple[int, bytes, str] | None] = [None] * len(hosts)
+            best: list[tuple[tuple[int, int, bool], bytes, str] | None] = [None] * len(hosts)
             listed = [False] * len(hosts)
             for name in names:
                 array = open_array(name)
@@ -128,8 +162,10 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[st
                         kind, key = _KINDS[int(array.kinds[j])], array.key(j)
                         if kind == "listed":
                             listed[i] = True
-                        elif best[i] is None or len(key) > best[i][0]:
-                            best[i] = (len(key), key, kind)
+                        else:
+                            rank = (len(key), int(array.hosts[j]), kind == "block")
+                            if best[i] is None or rank > best[i][0]:
+                                best[i] = (rank, key, kind)
             rule = [b and b[1].decode() for b in best]
             verdict = [b[2] if b else "block" if bad else "allow" for b, bad in zip(best, listed, strict=True)]
             yield pa.record_batch({"page_id": batch.column("page_id"), "host": batch.column("host"), "path": batch.column("path"), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())})
