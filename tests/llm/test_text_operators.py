@@ -234,6 +234,34 @@ def test_quality_equals_brute_force(spark, odd, model_rows):
             assert math.isclose(r.log_ppl, -sum(scores) / len(scores), rel_tol=1e-4)
 
 
+def test_bands_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = ngram_quality.quality(docs, across=True).collect()
+    assert len(rows) == docs.count()
+    scores: dict[str, list[float]] = {}
+    for r in rows:
+        if not r.base_failed:
+            scores.setdefault(r.lang, []).append(r.log_ppl)
+    for r in rows:
+        mine = sorted(scores.get(r.lang, []))
+        if r.base_failed or not mine:
+            assert not r.kept
+            continue
+        q1, q3 = (mine[math.ceil(q * len(mine)) - 1] for q in (0.25, 0.75))
+        reach = max(3.0 * (q3 - q1), 0.15) * (0.5 + math.sqrt(50 / r.n_words))
+        assert math.isclose(r.low, q1 - reach, rel_tol=1e-9) and math.isclose(r.high, q3 + reach, rel_tol=1e-9)
+        assert r.kept == (q1 - reach <= r.log_ppl <= q3 + reach)
+
+
+def test_unknown_grams_are_unlikely(spark):
+    docs = table(spark, [sentence(random.Random(1), 200)])
+    own = docs.select("doc_id", "lang", "text")
+    names = ngram_quality.shard_files(ngram_quality.kneser_ney(ngram_quality.counted_grams(own, True)), 1000)
+    other = table(spark, ["QXZ JKW " * 30]).select("doc_id", "lang", "text")
+    known, unknown = (ngram_quality.scored(x, names, True).first().log_ppl for x in (own, other))
+    assert unknown > known + 0.5
+
+
 def test_probabilities_sum_to_one():
     model = kneser_ney(["abc abd abe xyz xya"] * 2)
     for context in {g[:-1] for g in model}:
