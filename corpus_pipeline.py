@@ -95,10 +95,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents of ``sf_dir``; each stage's table goes when the next is written."""
+    at, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            old = jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(conf).delete(old, True)
+        before = f"{at}/{name}"
     return docs
