@@ -56,6 +56,7 @@ GENERIC_TAGS = ("b2b", "company", "business", "website")
 PAYLOAD_PAGES, PAYLOAD_TEXT, PAYLOAD_HTML = 3, 15000, 50000
 ERROR_STATUS, MIN_HTML, MIN_TEXT = 400, 80, 200
 LOCK_SECONDS = 300
+KEYWORDS_A_RUN = 50
 HINT_RUNNING, HINT_FAILED = 15, 20
 ALERT_ZERO_PAGES, ALERT_TIMEOUT_RATE, ALERT_CONTACTS_RATE, ALERT_AVERAGE = 5, 35.0, 20.0, 0.5
 DENYLIST_DAYS, DENYLIST_ZERO_CRAWLS, DENYLIST_LIMIT = 7, 3, 25

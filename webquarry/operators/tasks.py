@@ -100,6 +100,17 @@ def retained(tasks: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return tasks.where(~F.coalesce(old, F.lit(False)))
 
 
+def first_tasks(keywords: DataFrame, n: int = V.KEYWORDS_A_RUN) -> DataFrame:
+    """The searches that a run starts with: the oldest keywords that aren't processed."""
+    rows = keywords.where("NOT is_processed").orderBy("created_at", "id").limit(n)
+    return rows.select(F.concat(F.lit("search_"), F.col("id").cast("string")).alias("task_name"), F.lit("search_keyword").alias("task_type"), F.col("id").alias("keyword_id"), F.lit(10).alias("priority"), F.lit(None).cast("int").alias("max_retries"))
+
+
+def snippet_tasks(snippets: DataFrame) -> DataFrame:
+    """The extractions that search results (id, keyword_id) with a contact in their text start, before any crawl's."""
+    return snippets.select(F.concat(F.lit("extract_snippet_"), F.col("id").cast("string")).alias("task_name"), F.lit("extract_contacts").alias("task_type"), "keyword_id", F.lit(8).alias("priority"), F.lit(None).cast("int").alias("max_retries"))
+
+
 def children(tasks: DataFrame) -> DataFrame:
     """Tasks that a completed task starts: a search starts crawls, a crawl an extraction; with priority and retries."""
     kind = F.when(F.col("task_type") == "search_keyword", "crawl_domain").when(F.col("task_type") == "crawl_domain", "extract_contacts")

@@ -224,7 +224,7 @@ _SNIPPET_TEXT = "CASE id % 4 WHEN 0 THEN concat('write to a', CAST(id AS STRING)
 
 
 def _snippets(t: _Tables) -> DataFrame:
-    rows = t.search_results.select("id", "url", "title", F.col("id").alias("seq"), F.expr(_SNIPPET_TEXT).alias("snippet"))
+    rows = t.search_results.select("id", "keyword_id", "url", "title", F.col("id").alias("seq"), F.expr(_SNIPPET_TEXT).alias("snippet"))
     return rows.withColumn("host", U.host(F.col("url")))
 
 
@@ -580,6 +580,17 @@ def o14_latest_locks(spark, sf_dir):  # noqa: ANN001, ANN201
     return tasks.longest_locked(_Tables(spark, sf_dir).task_queue).select("id", "locked_at")
 
 
+@query(
+    f"SELECT 'search_' || id AS task_name, 'search_keyword' AS task_type, id AS keyword_id, 10 AS priority, 3 AS max_retries, 'pending' AS status, 0 AS retry_count FROM (SELECT * FROM keywords WHERE NOT is_processed ORDER BY created_at, id LIMIT 50) UNION ALL SELECT 'extract_snippet_' || id, 'extract_contacts', keyword_id, 8, 1, 'pending', 0 FROM ({_SNIPPETS}) WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY {_host('url')} ORDER BY id) = 1",
+    "keywords",
+    "search_results",
+)
+def t11_first_tasks(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The searches of a run, and the extractions that need no crawl, as they are inserted."""
+    t = _Tables(spark, sf_dir)
+    return sinks.new_tasks(tasks.first_tasks(t.keywords).union(tasks.snippet_tasks(crawl.best_snippets(_snippets(t)))))
+
+
 _SCHEDULED = "CASE id % 4 WHEN 0 THEN created_at + INTERVAL '400' DAY WHEN 1 THEN created_at END"
 
 
