@@ -78,10 +78,14 @@ def host_contacts(pages: DataFrame) -> DataFrame:
 
 
 def early_stop(items: DataFrame, host: str, order: str, hit: str, most: int) -> DataFrame:
-    """Per host, pages in order up to the first hit, ``most`` at most."""
+    """Per host, pages in order up to the first hit, ``most`` at most.
+
+    Pages are ranked first: a limit by rank leaves few rows of each host in every task.
+    """
     w = Window.partitionBy(host).orderBy(order)
+    first = items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     before = F.coalesce(F.max(F.col(hit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("_n", F.row_number().over(w)).withColumn("_hit", before).where(f"_hit = 0 AND _n <= {most}").drop("_n", "_hit")
+    return first.withColumn("_hit", before).where("_hit = 0").drop("_n", "_hit")
 
 
 def payload(pages: DataFrame, host: str, order: str) -> DataFrame:
