@@ -592,3 +592,66 @@ def test_rare_and_long_languages_have_a_class(spark):
     got = {r.id: r for r in language_fusion.identify(many.union(rare)).where("id > 9000").collect()}
     assert got[9001].lang == "fi" and got[9002].lang == "fr" and got[9001].kept and got[9002].kept
     assert language_fusion.identify(rare.where("id = 9002")).first().kept
+
+
+def rows_of(df, *columns):
+    return Counter(tuple(x) for x in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize(
+    ("module", "switches", "query", "columns"),
+    [
+        (licence_digests, {"KNOWN_MOST": 0}, lambda s, d, i: licence_digests.scan(d, licence_digests.known_digests(s)), ("doc_id", "digest", "licence", "n_notices", "notices")),
+        (language_fusion, {"BROADCAST_HOSTS": 0}, lambda s, d, i: language_fusion.identify(language_fusion.from_documents(d)), ("id", "lang", "kept")),
+        (icws_dedup, {"CROWD": 2, "PART_PAIRS": 1, "BROADCAST_CENTRES": 0}, lambda s, d, i: icws_dedup.classes(d), ("doc_id", "rep", "class_id")),
+        (ngram_quality, {"BANDS_MOST": 0}, lambda s, d, i: ngram_quality.quality(d, across=True), ("doc_id", "kept", "n_words")),
+        (decontaminate, {"SKETCH_MOST": 0}, lambda s, d, i: decontaminate.contained(d, i, sketch_most=decontaminate.SKETCH_MOST), ("doc_id", "item_id", "n_shared")),
+        (decontaminate, {"SKETCH_MOST": 0, "BROADCAST_HASHES": 0}, lambda s, d, i: decontaminate.contained(d, i, sketch_most=decontaminate.SKETCH_MOST), ("doc_id", "item_id", "n_shared")),
+    ],
+)
+def test_other_plans_give_the_same_rows(spark, sf_dir, monkeypatch, module, switches, query, columns):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    usual = rows_of(query(spark, docs, items), *columns)
+    for name, value in switches.items():
+        monkeypatch.setattr(module, name, value)
+    assert rows_of(query(spark, docs, items), *columns) == usual
+
+
+def test_crowded_buckets_are_reached(spark, monkeypatch):
+    r = random.Random(21)
+    base = sentence(r, 200).split()
+    texts = []
+    for _ in range(60):
+        x = list(base)
+        for _ in range(7):
+            x[r.randrange(len(x))] = sentence(r, 1)
+        texts.append(" ".join(x))
+    docs = table(spark, texts)
+    called = []
+    prefixes = icws_dedup.rare_first_prefixes
+    monkeypatch.setattr(icws_dedup, "rare_first_prefixes", lambda *a: called.append(a[0].count()) or prefixes(*a))
+    got = {x.doc_id: x.class_id for x in icws_dedup.classes(docs).collect()}
+    assert called and called[0] > icws_dedup.CROWD
+    idf = icws_dedup.idf_table(docs)
+    sets = [weighted(t, idf) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                a, b = min(label[i], label[j]), max(label[i], label[j])
+                label = [a if x == b else x for x in label]
+    assert got == dict(enumerate(label))
+
+
+def test_rows_without_an_id(spark):
+    r = random.Random(22)
+    one, two = sentence(r, 80), sentence(r, 80)
+    near = one + " " + sentence(r, 2)
+    docs = spark.createDataFrame([(None, one), (None, one), (7, near), (None, two), (9, two), (None, None), (None, " ")], "doc_id long, text string")
+    got = icws_dedup.classes(docs).collect()
+    classes = {}
+    for x in got:
+        classes.setdefault(x.class_id, set()).add(x.doc_id)
+    assert classes[7] == {7, None} and classes[9] == {9, None} and all(x.rep is not None for x in got)
+    kept = substring_dedup.dedup(docs).collect()
+    assert sorted((str(x.doc_id), x.n_removed) for x in kept) == sorted([("None", 0), ("None", 0), ("7", 80), ("None", 0), ("9", 80), ("None", 0), ("None", 0)])

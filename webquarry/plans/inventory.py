@@ -6,15 +6,14 @@ several forms; the oracle SQL computes the result from the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
-from webquarry.bridge import oracle
 from webquarry.functions import contacts as C
 from webquarry.functions import urls as U
 from webquarry.operators import crawl, metrics, reports, tasks
-from webquarry.plans.catalog import _ALL, _FLAT, _LISTS_SQL, _R, AS_OF, _any, _flat, _host, _in, _path, _score, _stats, _stats_sql, _STAT_TABLES, _Tables, _text, _blocked, _root, query
+from webquarry.plans.catalog import _ALL, _FLAT, _LISTS_SQL, _R, _STAT_TABLES, AS_OF, _any, _blocked, _flat, _host, _path, _root, _score, _stats, _stats_sql, _Tables, _text, query
 from webquarry.sources import serp, sinks
 
 # Keywords
