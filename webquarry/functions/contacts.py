@@ -28,8 +28,9 @@ def _character(ref: Column) -> Column:
     number = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)).when(ref.startswith("&#"), F.regexp_extract(ref, "^&#([0-9]+)", 1)).cast("long")
     wrong = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
     code = F.when(wrong, F.lit(0xFFFD)).otherwise(number)
-    names = F.create_map(*[F.lit(x) for name, n in {**name2codepoint, "apos": 39}.items() for x in (name, chr(n))])
-    named = F.element_at(names, F.regexp_extract(ref, "^&([A-Za-z0-9]+);", 1))
+    # One literal, which the optimizer turns into a map.
+    names = "\n".join(f"{name}\t{chr(n)}" for name, n in {**name2codepoint, "apos": 39}.items())
+    named = F.element_at(F.str_to_map(F.lit(names), F.lit("\n"), F.lit("\t")), F.regexp_extract(ref, "^&([A-Za-z0-9]+);", 1))
     return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), named, ref)
 
 
