@@ -64,6 +64,11 @@ def _anchors(w: textkit.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, low[at]
 
 
+def _mark(anchor: np.ndarray) -> np.ndarray:
+    """The 48 bits of an anchor by which it is counted; two anchors of one mark only cost a comparison of their spans."""
+    return textkit.signed(anchor.view(np.uint64) >> np.uint64(16))
+
+
 class SuffixAutomaton:
     """Suffix automaton of several word sequences; a sequence never continues another."""
 
@@ -170,8 +175,9 @@ def _spans(docs: DataFrame, window: int, most: int = 100_000) -> tuple[DataFrame
                     here, its = at[edges[d] : edges[d + 1]], anchor[edges[d] : edges[d + 1]]
                     if not len(here):
                         continue
-                    known = np.isin(its, shared[i + d].values.to_numpy())
-                    frequent = np.isin(its, common[i + d].values.to_numpy())
+                    mark = _mark(its)
+                    known = np.isin(mark, shared[i + d].values.to_numpy())
+                    frequent = np.isin(mark, common[i + d].values.to_numpy())
                     turn = its[1:] != its[:-1]
                     run = np.flatnonzero(known & np.concatenate([[True], turn]))
                     stop = np.flatnonzero(known & np.concatenate([turn, [True]])) + 1
@@ -259,7 +265,7 @@ def _marked(references: DataFrame, window: int) -> DataFrame:
 
 
 def _seen_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc_id), each anchor of a document once."""
+    """(anchor, doc_id), the mark of each anchor of a document once."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,10 +275,10 @@ def _seen_anchors(docs: DataFrame, window: int) -> DataFrame:
                 at, anchor = _anchors(w, window)
                 if not len(at):
                     continue
-                doc = w.doc[at]
+                doc, anchor = w.doc[at], _mark(anchor).view(np.uint64)
                 turn = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
                 doc, anchor = doc[turn], anchor[turn]
-                _, once = np.unique(textkit.mix(anchor + doc.astype(np.uint64)), return_index=True)
+                _, once = np.unique(textkit.mix(textkit.mix(anchor) + doc.astype(np.uint64)), return_index=True)
                 yield pa.record_batch({"anchor": textkit.signed(anchor[once]), "doc_id": ids[i:j][doc[once]]})
 
     return docs.select("doc_id", "text").mapInArrow(textkit.lean(anchors), "anchor long, doc_id long")
