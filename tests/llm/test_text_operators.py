@@ -623,7 +623,7 @@ def test_crowded_buckets_are_reached(spark, monkeypatch):
     texts = []
     for _ in range(60):
         x = list(base)
-        for _ in range(7):
+        for _ in range(3):
             x[r.randrange(len(x))] = sentence(r, 1)
         texts.append(" ".join(x))
     docs = table(spark, texts)
