@@ -153,7 +153,7 @@ def _digests(words: str) -> tuple[int, int]:
     return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
-def _spans(docs: DataFrame, window: int, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def _spans(docs: DataFrame, window: int, also: tuple[str, ...] = (), most: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Occurrences of spans in ``docs`` (doc_id, h1, text, shared, common), and each task's distinct ones.
 
     The occurrences are (key, th, doc_id, h1, start, count), the distinct spans (key, th, first_doc,
@@ -215,7 +215,7 @@ def _spans(docs: DataFrame, window: int, most: int = 100_000) -> tuple[DataFrame
         for batch in spans(batches):
             yield batch.drop_columns(["span"])
 
-    rows = docs.select("doc_id", "h1", "text", "shared", "common")
+    rows = docs.select("doc_id", "h1", "text", "shared", "common", *also)
     distinct = rows.mapInArrow(textkit.lean(combine), "key long, th long, first_doc long, span string")
     return rows.mapInArrow(textkit.lean(places), "key long, th long, doc_id long, h1 long, start int, count int"), distinct
 
@@ -264,7 +264,7 @@ def _marked(references: DataFrame, window: int) -> DataFrame:
     return references.repartition("key").sortWithinPartitions("key").mapInArrow(textkit.lean(match), "key long, th long, first_doc long, mask long")
 
 
-def _seen_anchors(docs: DataFrame, window: int) -> DataFrame:
+def _seen_anchors(docs: DataFrame, window: int, also: tuple[str, ...] = ()) -> DataFrame:
     """(anchor, doc_id), the mark of each anchor of a document once."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,19 +281,20 @@ def _seen_anchors(docs: DataFrame, window: int) -> DataFrame:
                 _, once = np.unique(textkit.mix(textkit.mix(anchor) + doc.astype(np.uint64)), return_index=True)
                 yield pa.record_batch({"anchor": textkit.signed(anchor[once]), "doc_id": ids[i:j][doc[once]]})
 
-    return docs.select("doc_id", "text").mapInArrow(textkit.lean(anchors), "anchor long, doc_id long")
+    return docs.select("doc_id", "h1", "text", *also).mapInArrow(textkit.lean(anchors), "anchor long, doc_id long")
 
 
-def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT, also: tuple[str, ...] = ()) -> DataFrame:
     """Per id of ``docs`` (doc_id, h1, text) with windows to remove: spans array<struct<h1, start, mask>>.
 
-    All joins with the texts are by doc_id alone, so that one exchange of them serves all.
+    All joins with the texts are by doc_id alone, so that one exchange of them serves all; ``also``
+    are columns that the caller's join needs, read here too, as else the exchanges would differ.
     """
-    seen = _seen_anchors(docs, window)
+    seen = _seen_anchors(docs, window, also)
     shared = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
     # As many anchors as the document has runs of windows at most.
     by_doc = seen.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("common"))
-    occurrences, spans = _spans(docs.join(by_doc, "doc_id"), window)
+    occurrences, spans = _spans(docs.join(by_doc, "doc_id"), window, also)
     marked = _marked(spans, window)
     every = F.expr("shiftleft(1L, count) - 1")
     found = occurrences.join(marked, ["key", "th"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first_doc"), every).otherwise(F.col("mask")))
@@ -350,7 +351,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carried: tuple[
     first = first.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     copies = salted.join(first, ["h1", "h2", "salt"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("copies"))
     rows = keyed.join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("h1")), F.lit(False))).drop("copies")
-    found = removed_windows(rows.where("NOT copy"), window, hot)
+    found = removed_windows(rows.where("NOT copy"), window, hot, ("own_id", *carried))
     kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
     kept = rows.join(found, "doc_id", "left").select("own_id", "h1", "text", "copy", "spans", *carried)
     return kept.mapInArrow(textkit.lean(keep), f"doc_id long, n_words long, n_removed long, kept_text string{kind}")
