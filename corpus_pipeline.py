@@ -21,6 +21,8 @@ from webquarry.llm.shared import cut, shared_folder, text_key
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Up to so many ids to drop are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Tasks that a large class of near duplicates is dealt to.
+SALTS = 16
 
 
 def without(docs: DataFrame, gone: DataFrame, *key: Column) -> DataFrame:
@@ -52,8 +54,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = icws_dedup.classes(docs.where(worded).withColumn("doc_id", F.xxhash64("text"))).select(F.col("doc_id").alias("h1"), "class_id")
     rows = cut(rows.join(found, "h1", "left"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
-    first = rows.where("worded").groupBy("class_id").agg(F.min(rank).alias("first"))
-    gone = rows.where("worded").join(first, "class_id").where(rank != F.col("first")).select("doc_id", "h1", "h2")
+    first = rows.where("worded").groupBy("class_id").agg(F.min(rank).alias("first"), F.count("*").alias("members")).where("members > 1")
+    # A class may have a third of all rows, so the first of each is sent to several tasks.
+    first = first.select("class_id", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = rows.where("worded").withColumn("salt", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(SALTS)))
+    gone = salted.join(first, ["class_id", "salt"]).where(rank != F.col("first")).select("doc_id", "h1", "h2")
     # Only rows that stand there several times are brought together with their texts.
     several = rows.where("n > 1").select("doc_id", "h1", "h2")
     key = [F.col("doc_id"), *text_key()]
