@@ -53,6 +53,9 @@ def test_word_hashes_agree_with_words():
     flat = [x for t in texts for x in words(t)]
     assert len(set(zip(flat, w.hash.tolist(), strict=True))) == len(set(flat)) == len(set(w.hash.tolist()))
     assert w.text(0, 3) == "a b a"
+    spaced = textkit.words(pa.array(["é b  c\td e", "f g\n", "h"]))
+    flat = ["é", "b", "c", "d", "e", "f", "g", "h"]
+    assert all(spaced.text(i, j) == " ".join(flat[i:j]) for i in range(8) for j in range(i, 9))
     sliced = textkit.words(pa.array(["zz", *texts]).slice(1))
     assert (sliced.hash == w.hash).all()
 

@@ -75,9 +75,17 @@ class Words:
     first: np.ndarray
     count: np.ndarray
 
+    @functools.cached_property
+    def odd_gaps(self) -> np.ndarray:
+        """For each word, how many gaps before it aren't just one space."""
+        plain = (self.start[1:] - self.end[:-1] == 1) & (self.data[self.end[:-1]] == 0x20)
+        return np.concatenate([[0], np.cumsum(~plain)])
+
     def text(self, i: int, j: int) -> str:
         """Words i .. j-1, joined by one space."""
         data = self.data
+        if i < j and self.odd_gaps[i] == self.odd_gaps[j - 1]:
+            return data[self.start[i] : self.end[j - 1]].tobytes().decode("utf-8")
         return b" ".join(data[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j], strict=True)).decode("utf-8")
 
 
