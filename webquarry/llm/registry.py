@@ -16,14 +16,17 @@ from webquarry.llm import (
     language_fusion,
     licence_digests,
     ngram_quality,
+    periodic_runs,
+    source_mixture,
     substring_dedup,
     url_digests,
+    vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (hilbert_shards, licence_digests, ngram_quality, language_fusion, icws_dedup, substring_dedup, crf_extract, bpe_prefix, url_digests, decontaminate):
+for module in (hilbert_shards, licence_digests, ngram_quality, language_fusion, icws_dedup, substring_dedup, crf_extract, bpe_prefix, url_digests, decontaminate, periodic_runs, source_mixture, vector_codes):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
