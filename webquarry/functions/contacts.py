@@ -36,10 +36,15 @@ def _character(ref: Column) -> Column:
 
 def decoded_references(text: Column) -> Column:
     """A text with its character references decoded, each once."""
-    pieces = F.split(text, _REFERENCE, -1)
-    found = F.transform(_all(text, _REFERENCE), _character)
-    whole = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(text.contains("&"), whole).otherwise(text)
+
+    def decoded(t: Column) -> Column:
+        pieces = F.split(t, _REFERENCE, -1)
+        found = F.transform(_all(t, _REFERENCE), _character)
+        whole = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(t.contains("&"), whole).otherwise(t)
+
+    # As a bound variable the text is computed once, however often it is named.
+    return F.transform(F.array(text), decoded)[0]
 
 
 def html_text(html: Column) -> Column:
