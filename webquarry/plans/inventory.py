@@ -541,15 +541,6 @@ def g7_metrics_bundle(spark, sf_dir):  # noqa: ANN001, ANN201
     return out.select("run_run_id", "run_total", "run_completed", "run_failed", "total", "crawls", "timeout_rate", "domains_with_contacts_rate")
 
 
-_SETTINGS = {"domain_crawl_timeout": 50.0, "request_timeout": 12.0, "max_pages_per_domain": 3.0, "search_results_per_keyword": 5.0, "concurrent_browsers": 3.0, "delay_between_requests": 0.5}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in _SETTINGS.items()) + ") v(name, value)")
-def p11_crawler_settings(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The crawler's settings."""
-    return spark.createDataFrame(list(_SETTINGS.items()), "name string, value double")
-
-
 # Tasks
 
 _TASK_ERRORS = "CASE id % 3 WHEN 0 THEN repeat(task_type, 8) WHEN 1 THEN concat('timeout of ', CAST(id % 2 AS STRING)) END"

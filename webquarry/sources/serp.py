@@ -43,21 +43,24 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def xml_rows(text: str | None, most: int = 10) -> list[dict]:
-    """url, title, snippet and position of the documents of one XML answer, plain or base64; [] if it can't be read."""
+def _tree(text: str | None) -> ET.Element | None:
+    """The root of an XML answer, plain or base64; None if it can't be read."""
     text = (text or "").strip()
     if text and not text.startswith("<"):
         try:
             text = base64.b64decode(text).decode("utf-8")
         except ValueError:
-            return []
+            return None
     # No answer declares entities; one that does could grow without bound.
     if "<!DOCTYPE" in text or "<!ENTITY" in text:
-        return []
+        return None
     try:
-        tree = ET.fromstring(text)
+        return ET.fromstring(text)
     except ET.ParseError:
-        return []
+        return None
+
+
+def _documents(tree: ET.Element, most: int) -> list[dict]:
     rows: list[dict] = []
     for doc in (e for e in tree.iter() if _local(e.tag) == "doc"):
         found = {name: next(((e.text or "").strip() for e in doc if _local(e.tag) == name and e.text), "") for name in ("url", "title", "headline")}
@@ -68,6 +71,17 @@ def xml_rows(text: str | None, most: int = 10) -> list[dict]:
     return rows
 
 
+def xml_documents(text: str | None, most: int = 10) -> list[dict] | None:
+    """url, title, snippet and position of the documents of one XML answer, plain or base64; None if it can't be read."""
+    tree = _tree(text)
+    return None if tree is None else _documents(tree, most)
+
+
+def xml_rows(text: str | None, most: int = 10) -> list[dict]:
+    """The same; [] if it can't be read."""
+    return xml_documents(text, most) or []
+
+
 def xml_results(answers: DataFrame, column: str, most: int = 10) -> DataFrame:
     """Documents of XML answers, whatever their namespace; unreadable answers have none."""
 
