@@ -597,6 +597,75 @@ def test_rare_and_long_languages_have_a_class(spark):
     assert language_fusion.identify(rare.where("id = 9002")).first().kept
 
 
+def test_two_hundred_languages(spark):
+    """Plans don't grow with the languages; tags beyond the largest classes say nothing."""
+    import time
+
+    r, letters = random.Random(11), "abcdefghijklmnopqrstuvwxyz"
+    tags = [a + b for a in letters[:8] for b in letters[:25]]
+    own = {t: ["".join(r.choice(letters) for _ in range(r.randint(3, 7))) for _ in range(25)] for t in tags}
+    rows = [(i, " ".join(r.choice(own[t]) for _ in range(25)), t, f"{t}.example.org", None) for i, t in enumerate(tags * 4)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    start = time.time()
+    found = language_fusion.identify(df)
+    found._jdf.queryExecution().executedPlan()
+    assert len(tags) == 200 and time.time() - start < 60
+    start = time.time()
+    assert found.select("lang")._jdf.queryExecution().executedPlan() is not None and time.time() - start < 2
+    got = found.collect()
+    assert sum(x.lang == x.declared for x in got) >= 0.99 * len(rows) and all(x.kept for x in got)
+
+
+def test_classes_are_the_largest_tags(spark, monkeypatch):
+    monkeypatch.setattr(language_fusion, "MOST_LANGS", 2)
+    kind = "id long, text string, declared string, host string, suffix string"
+    rows = [(i, "the town and the country", "en", "a", None) for i in range(4)] + [(10 + i, "la ville et le pays", "fr", "a", None) for i in range(3)] + [(20 + i, "kaupunki ja talo", "fi", "a", None) for i in range(2)]
+    langs, _ = language_fusion.fit(spark.createDataFrame(rows, kind))
+    assert langs == ["en", "fr"]
+    got = {x.id: x for x in language_fusion.identify(spark.createDataFrame(rows, kind)).collect()}
+    assert all(got[i].lang == "en" for i in range(4)) and all(got[10 + i].lang == "fr" for i in range(3)) and got[20].declared == "fi" and got[20].lang in langs
+
+
+def fused(rows):
+    """Languages and posteriors by plain loops, given the text evidence (id, declared, host, suffix, lettered, evidence)."""
+    seen, langs = rows
+    n = len(langs)
+    norm = lambda s: [math.exp(x - max(s)) / sum(math.exp(y - max(s)) for y in s) for x in s]
+    domain = lambda h: re.search(r"[^.]*\.?[^.]*$", h).group(0)
+    own, above, whole = {}, {}, [0.0] * n
+    for x in seen:
+        if x.lettered:
+            for k, m in enumerate(norm(x.evidence)):
+                own.setdefault(x.host, [0.0] * n)[k] += m
+                above.setdefault(domain(x.host), [0.0] * n)[k] += m
+                whole[k] += m
+    corpus = [(m + 1) / (sum(whole) + n) for m in whole]
+    out = []
+    for x in seen:
+        prior = [1 / n] * n
+        if x.host in own:
+            a, h = above[domain(x.host)], own[x.host]
+            over = [(a[k] + 10 * corpus[k]) / (sum(a) + 10) for k in range(n)]
+            prior = [(h[k] + 10 * over[k]) / (sum(h) + 10) for k in range(n)]
+        score = [x.evidence[k] + math.log(prior[k]) for k in range(n)]
+        for tag, sure in ((x.declared, 0.9), (x.suffix, 0.8)):
+            if tag in langs:
+                score = [s + math.log(sure if lang == tag else (1 - sure) / max(1, n - 1)) for s, lang in zip(score, langs, strict=True)]
+        best = max(norm(score))
+        out.append((x.id, langs[norm(score).index(best)] if x.lettered else None, round(best, 9) if x.lettered else None, x.lettered and best >= 0.5))
+    return out
+
+
+def test_fusion_is_that_of_plain_loops(spark, sf_dir, odd):
+    docs, pages = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "pages"))
+    mixed = language_fusion.from_documents(docs).where("id % 3 = 0").withColumn("declared", F.when(F.col("id") % 2 == 0, F.col("declared")).otherwise("xx"))
+    for rows in (mixed.union(language_fusion.from_documents(odd)), language_fusion.from_pages(pages)):
+        langs, model = language_fusion.fit(rows)
+        want = fused((language_fusion.text_evidence(rows, langs, model).collect(), langs))
+        got = [(x.id, x.lang, None if x.posterior is None else round(x.posterior, 9), x.kept) for x in language_fusion.identify(rows).collect()]
+        assert Counter(got) == Counter(want)
+
+
 def rows_of(df, *columns):
     return Counter(tuple(x) for x in df.select(*columns).collect())
 

@@ -7,11 +7,15 @@ suffix x the prior of the host. Host priors are sums of text-only posteriors ove
 the host, smoothed towards those of its domain, and these towards the whole corpus's, all by
 grouped aggregation.
 
-The languages are all that are declared in any row with a text, by their primary subtag of two or
-three letters. The text model is fitted on TRAIN_ROWS labelled rows of each language on average (all of a
-rare one), those whose hash is below a share of all hashes, each text once, and on the first
-TRAIN_CHARS characters of each, so the training bytes of a language are bounded, not the length of
-its rows. Only chosen texts leave their tasks. Everything else covers all rows and whole texts.
+The languages are the MOST_LANGS tags that most rows with a text declare (ties by name), by their
+primary subtag of two or three letters; a tag beyond these has too few rows to be a class, and
+says nothing as a declaration. Crawls declare some two hundred languages besides mistyped tags, so
+the model has a bounded size. It is fitted on whole texts of about TRAIN_CHARS characters a
+language (all of a rare one): the rows whose hash is below a share of all hashes, each text
+once. Only chosen texts leave their tasks. Everything else covers all rows and whole texts.
+
+Evidence, posteriors and priors are arrays over the languages, so the plan is the same for
+four languages and for all. Masses of a host's language below LEAST_MASS a row count as none.
 
 A row is rejected if its text has no letter in any word, or if no language reaches MIN_POSTERIOR.
 
@@ -24,7 +28,6 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +39,19 @@ from webquarry.llm import textkit
 from webquarry.llm.ngram_quality import vocabulary
 from webquarry.llm.shared import cut
 
-#: Rows of each language, on average.
-TRAIN_ROWS = 1000
-TRAIN_CHARS = 4000
+#: Classes at most.
+MOST_LANGS = 256
+#: Characters of each language that the model is fitted on, about.
+TRAIN_CHARS = 2_000_000
+LEAST_MASS = 2.0**-60
 BUCKET_BITS = 15
 TEMPER = 0.1
 P_DECLARED = 0.9
 P_SUFFIX = 0.8
 HOST_STRENGTH = 10.0
 MIN_POSTERIOR = 0.5
-BROADCAST_HOSTS = 100_000
+#: Numbers of priors that are sent to all tasks at most, one for each host and language.
+BROADCAST_HOSTS = 1_000_000
 #: Languages of address suffixes.
 SUFFIXES = {"at": "de", "au": "en", "de": "de", "es": "es", "fr": "fr", "mx": "es", "uk": "en", "us": "en"}
 
@@ -61,14 +67,15 @@ def _buckets(texts: pa.Array) -> tuple[textkit.Words, object, np.ndarray]:
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (bucket, language) of the bounded samples of (id, text, declared)."""
-    head = F.substring("text", 1, TRAIN_CHARS)
-    labelled = rows.where((F.length("text") > 0) & (F.col("declared") != "")).select("declared", head.alias("text"), F.xxhash64("id", head).alias("h"))
-    sizes = {r["declared"]: r["n"] for r in labelled.groupBy("declared").agg(F.count("*").alias("n")).collect()}
+    labelled = rows.where((F.length("text") > 0) & (F.col("declared") != "")).select("declared", "text")
+    sizes = labelled.groupBy("declared").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    sizes = {r["declared"]: r["chars"] for r in sizes.orderBy(F.desc("n"), "declared").limit(MOST_LANGS).collect()}
     langs = sorted(sizes)
-    # Rows whose hash is at most this: TRAIN_ROWS of a language on average, all of a rare one.
-    limits = [(lang, min((1 << 63) - 1, round((1 << 64) * min(1.0, TRAIN_ROWS / n)) - (1 << 63))) for lang, n in sizes.items()]
+    # Rows whose hash is at most this: about TRAIN_CHARS of each language, all of a rare one.
+    limits = [(lang, min((1 << 63) - 1, round((1 << 64) * min(1.0, TRAIN_CHARS / chars)) - (1 << 63))) for lang, chars in sizes.items()]
     limits = F.broadcast(rows.sparkSession.createDataFrame(limits, "declared string, limit long"))
-    sample = labelled.join(limits, "declared").where("h <= limit").groupBy("declared", "h").agg(F.first("text").alias("text"))
+    chosen = labelled.withColumn("h", F.xxhash64("text")).join(limits, "declared").where("h <= limit")
+    sample = chosen.select("declared", "text", "h", F.xxhash64(F.lit(1), "text").alias("h2")).groupBy("declared", "h", "h2").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,13 +87,13 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                     _, v, bucket = _buckets(texts.slice(i, j - i))
                     total += np.bincount(bucket, np.repeat(v.times, v.size), minlength=1 << BUCKET_BITS)
                 at = np.flatnonzero(total)
-                yield pa.record_batch({"declared": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "c": pa.array(total[at])})
+                yield pa.record_batch({"lang": pa.array(np.full(len(at), langs.index(lang), np.int32)), "bucket": pa.array(at.astype(np.int32)), "c": pa.array(total[at])})
 
-    found = sample.select("declared", "text").mapInArrow(textkit.lean(count), "declared string, bucket long, c double").groupBy("declared", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    # Of bounded size: at most a row for each bucket and class.
+    found = sample.select("declared", "text").mapInArrow(textkit.lean(count), "lang int, bucket int, c double").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
     counts = np.full((1 << BUCKET_BITS, max(1, len(langs))), 0.1)
     if langs:
-        column = pc.index_in(found.column("declared"), pa.array(langs)).to_numpy()
-        counts[found.column("bucket").to_numpy(), column] += found.column("c").to_numpy()
+        counts[found.column("bucket").to_numpy(), found.column("lang").to_numpy()] += found.column("c").to_numpy()
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
@@ -113,58 +120,71 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(langs)), pa.array(total.reshape(-1)))
                 yield pa.record_batch({**{c: part.column(c) for c in ("id", "declared", "host", "suffix")}, "lettered": pa.array(lettered), "evidence": lists})
 
-    return rows.select("id", "declared", "host", "suffix", "text").mapInArrow(textkit.lean(score), "id long, declared string, host string, suffix string, lettered boolean, evidence array<double>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "declared", "host", "suffix", "text").mapInArrow(textkit.lean(score), f"id {kind}, declared string, host string, suffix string, lettered boolean, evidence array<double>")
+
+
+def host_priors(masses: DataFrame, n: int) -> DataFrame:
+    """(host, prior array<double>): smoothed over host, domain and corpus; ``masses`` are (host, k, m), sums of posteriors by language number."""
+    hosts = masses.groupBy("host", "k").agg(F.sum("m").alias("m"))
+    hosts = cut(hosts.withColumn("domain", F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0)))
+    domains = hosts.groupBy("domain", "k").agg(F.sum("m").alias("m"))
+    # A row a language.
+    whole = {r["k"]: r["m"] for r in domains.groupBy("k").agg(F.sum("m").alias("m")).collect()}
+    corpus = [(whole.get(k, 0.0) + 1) / (sum(whole.values()) + n) for k in range(n)]
+
+    def dense(rows: DataFrame, key: str, name: str) -> DataFrame:
+        """The masses of each key as an array, and their sum."""
+        listed = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("_m"), F.sum("m").alias(f"{name}_mass"))
+        return listed.select(key, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("_m", k), F.lit(0.0))).alias(name), f"{name}_mass")
 
+    both = dense(hosts, "host", "own").withColumn("domain", F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0)).join(dense(domains, "domain", "above"), "domain")
+    smoothed = F.transform(F.array(*map(F.lit, corpus)), lambda c, k: (F.col("above")[k] + F.lit(HOST_STRENGTH) * c) / (F.col("above_mass") + HOST_STRENGTH))
+    both = both.select("host", "own", "own_mass", smoothed.alias("domain_prior"))
+    return both.select("host", F.zip_with("own", "domain_prior", lambda m, d: (m + F.lit(HOST_STRENGTH) * d) / (F.col("own_mass") + HOST_STRENGTH)).alias("prior"))
 
-def _normalised(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    each = [F.exp(s - top) for s in scores]
-    total = reduce(lambda a, b: a + b, each)
-    return [e / total for e in each]
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-def host_priors(rows: DataFrame, n: int) -> DataFrame:
-    """(host, prior array<double>): smoothed over host, domain and corpus; ``rows`` with (host, p0 .. pn-1)."""
-    names = [f"p{k}" for k in range(n)]
-    domain = F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0)
-    hosts = rows.groupBy("host").agg(*[F.sum(p).alias(p) for p in names]).withColumn("domain", domain)
-    domains = hosts.groupBy("domain").agg(*[F.sum(p).alias(f"d{p}") for p in names])
-    whole = domains.agg(*[F.coalesce(F.sum(f"d{p}"), F.lit(0.0)) for p in names]).first()
-    corpus = [(x + 1) / (sum(whole) + n) for x in whole]
-    mass = reduce(lambda a, b: a + b, [F.col(p) for p in names])
-    d_mass = reduce(lambda a, b: a + b, [F.col(f"d{p}") for p in names])
-    prior = []
-    for p, c in zip(names, corpus, strict=True):
-        above = (F.col(f"d{p}") + HOST_STRENGTH * c) / (d_mass + HOST_STRENGTH)
-        prior.append((F.col(p) + HOST_STRENGTH * above) / (mass + HOST_STRENGTH))
-    return hosts.join(domains, "domain").select("host", F.array(*prior).alias("prior"))
+
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def identify(rows: DataFrame) -> DataFrame:
-    """Every row of ``rows`` (id, text, declared, host, suffix): id, declared, lang, posterior, kept."""
+    """Every row of ``rows`` (id, text, declared, host, suffix): id, declared, lang, posterior, kept.
+
+    The id may be of any type.
+    """
     langs, table = fit(rows)
     if not langs:
         none = F.lit(None)
         return rows.select("id", "declared", none.cast("string").alias("lang"), none.cast("double").alias("posterior"), F.lit(False).alias("kept"))
     n = len(langs)
     seen = cut(text_evidence(rows, langs, table))
-    alone = _normalised([F.col("evidence")[k] for k in range(n)])
-    priors = host_priors(seen.where("lettered").select("host", *[p.alias(f"p{k}") for k, p in enumerate(alone)]), n)
+    # The best evidence is 0.
+    alone = _bound(F.transform("evidence", F.exp), lambda e: _bound(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
+    masses = seen.where("lettered").select("host", F.posexplode(alone).alias("k", "m")).where(F.col("m") >= LEAST_MASS)
+    priors = host_priors(masses, n)
+
+    number = F.create_map(*[x for k, lang in enumerate(langs) for x in (F.lit(lang), F.lit(k))])
 
-    def told(name: str, lang: str, sure: float) -> Column:
-        right = F.when(F.col(name) == lang, F.log(F.lit(sure))).otherwise(F.log(F.lit((1 - sure) / max(1, n - 1))))
-        return F.when(F.col(name).isin(langs), right).otherwise(F.lit(0.0))
+    def told(known: Column, k: Column, sure: float) -> Column:
+        return F.when(known.isNull(), F.lit(0.0)).when(known == k, F.lit(float(np.log(sure)))).otherwise(F.lit(float(np.log((1 - sure) / max(1, n - 1)))))
 
-    flat = F.array(*[F.lit(1 / n)] * n)
+    flat = F.array_repeat(F.lit(1 / n), n)
     # Few hosts are sent to all tasks; many are joined by a shuffle, in which Spark splits hot hosts.
     priors = cut(priors)
-    small = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = seen.join(F.broadcast(priors) if small else priors, "host", "left").withColumn("prior", F.coalesce("prior", flat))
-    scores = [F.col("evidence")[k] + told("declared", lang, P_DECLARED) + told("suffix", lang, P_SUFFIX) + F.log(F.col("prior")[k]) for k, lang in enumerate(langs)]
-    joined = joined.select("id", "declared", "lettered", F.array(*scores).alias("s"))
-    posterior = _normalised([F.col("s")[k] for k in range(n)])
-    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("s", F.array_max("s")).cast("int"))
-    out = joined.select("id", "declared", F.when(F.col("lettered"), best).alias("lang"), F.when(F.col("lettered"), F.greatest(*posterior) if n > 1 else posterior[0]).alias("posterior"))
+    small = priors.limit(BROADCAST_HOSTS // n + 1).count() <= BROADCAST_HOSTS // n
+    joined = seen.join(F.broadcast(priors) if small else priors, "host", "left")
+    given = F.struct(F.element_at(number, F.col("declared")).alias("d"), F.element_at(number, F.col("suffix")).alias("s"), F.coalesce("prior", flat).alias("p"))
+    scores = _bound(given, lambda g: F.transform("evidence", lambda e, k: e + told(g["d"], k, P_DECLARED) + told(g["s"], k, P_SUFFIX) + F.log(g["p"][k])))
+    best = _bound(scores, lambda s: _bound(F.array_max(s), lambda top: F.struct(F.array_position(s, top).cast("int").alias("at"), (F.lit(1.0) / _sum(F.transform(s, lambda x: F.exp(x - top)))).alias("posterior"))))
+    found = joined.select("id", "declared", "lettered", best.alias("b"))
+    lang = F.element_at(F.array(*map(F.lit, langs)), F.col("b.at"))
+    out = found.select("id", "declared", F.when(F.col("lettered"), lang).alias("lang"), F.when(F.col("lettered"), F.col("b.posterior")).alias("posterior"))
     return out.withColumn("kept", F.coalesce(F.col("posterior") >= MIN_POSTERIOR, F.lit(False)))
 
 
@@ -173,10 +193,11 @@ def primary_subtag(tag: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.trim(tag)), r"^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    """Documents as rows to identify: the column lang is the declaration, the source the host."""
+def from_documents(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """Documents as rows to identify: the column lang is the declaration, the source the host; the id is ``key``, by default doc_id."""
     host = F.lower(F.coalesce("source", F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", primary_subtag(F.col("lang")).alias("declared"), host.alias("host"), _suffix(host).alias("suffix"))
+    own = F.col("doc_id").cast("long") if key is None else key
+    return docs.select(own.alias("id"), "text", primary_subtag(F.col("lang")).alias("declared"), host.alias("host"), _suffix(host).alias("suffix"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
