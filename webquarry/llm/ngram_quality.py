@@ -211,7 +211,8 @@ def shard_files(model: DataFrame, most: int) -> list[str]:
         for shard in pc.unique(got.column("shard")).to_pylist():
             own = got.filter(pc.equal(got.column("shard"), shard))
             places, parts, at = {}, [], 0
-            for lang in sorted(pc.unique(own.column("lang")).to_pylist()):
+            # Every head has all languages, as any file may be asked for a 5-gram that it hasn't.
+            for lang in sorted(least):
                 rows = own.filter(pc.equal(own.column("lang"), lang))
                 h = textkit.mix(rows.column("gram").to_numpy().view(np.uint64))
                 order = np.argsort(h)
@@ -245,9 +246,9 @@ def _opened(name: str) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
 
 
 def _lookup(names: list[str], lang: str, grams: np.ndarray) -> np.ndarray:
-    """Log probabilities of packed 5-grams."""
+    """Log probabilities of packed 5-grams: the language's least for those that the model hasn't, NaN for languages that it hasn't."""
     keys, back = np.unique(grams, return_inverse=True)
-    out = np.zeros(len(keys))
+    out = np.full(len(keys), next((_opened(name)[lang][2] for name in names if name and lang in _opened(name)), np.nan))
     rest = (keys % np.uint64(max(1, len(names)))).astype(np.int64)
     order = np.argsort(rest, kind="stable")
     edges = np.searchsorted(rest[order], np.arange(len(names) + 1))
@@ -255,8 +256,8 @@ def _lookup(names: list[str], lang: str, grams: np.ndarray) -> np.ndarray:
         mine = order[edges[shard] : edges[shard + 1]]
         if not len(mine):
             continue
-        h, logp, least = _opened(name).get(lang, (np.zeros(0, np.uint64), np.zeros(0), 0.0)) if name else (np.zeros(0, np.uint64), np.zeros(0), 0.0)
-        if not len(h):
+        h, logp, least = _opened(name).get(lang, (None, None, 0.0)) if name else (None, None, 0.0)
+        if h is None or not len(h):
             continue
         wanted = textkit.mix(keys[mine])
         at = np.minimum(np.searchsorted(h, wanted), len(h) - 1)
@@ -295,7 +296,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def scored(docs: DataFrame, names: list[str], across: bool = False) -> DataFrame:
-    """Every document (doc_id, lang, text) with the base counts and its log perplexity a byte (null: no word)."""
+    """Every document (doc_id, lang, text) with the base counts and its log perplexity a byte (null: no word, or a language that the model hasn't)."""
     split = running if across else vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +317,7 @@ def scored(docs: DataFrame, names: list[str], across: bool = False) -> DataFrame
                     total = np.bincount(w.doc, (edges[ends] - edges[ends - v.size])[v.inverse], minlength=j - i)
                     size = np.bincount(w.doc, w.end - w.start + 1, minlength=j - i)
                 counts = {k: pa.array(x.astype(np.int64)) for k, x in base_counts(own, w).items()}
-                log_ppl = pa.array(-total / np.maximum(size, 1), mask=size == 0)
+                log_ppl = pa.array(-total / np.maximum(size, 1), mask=(size == 0) | np.isnan(total))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": part.column("lang"), **counts, "log_ppl": log_ppl})
 
     kind = "doc_id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", log_ppl double"
