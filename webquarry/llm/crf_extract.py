@@ -128,14 +128,18 @@ def blocks(page: str) -> list[Block]:
         links -= name == "a"
         hidden -= name in NO_TEXT
 
-    end = len(page)
+    # No tag ends behind the last bracket, so none is looked for there; only a comment can begin, and is open.
+    end, last = len(page), page.rfind(">") + 1
     while at < end:
-        token = _TOKEN.search(page, at)
+        token = _TOKEN.search(page, at, last)
         if token is None:
-            add(page[at:])
+            open_comment = page.find("<!--", at)
+            add(page[at : open_comment if open_comment >= 0 else end])
             break
         add(page[at : token.start()])
         at = token.end()
+        if page.startswith("<!--", token.start()) and page.find("-->", token.start() + 4, at) != at - 3:
+            at = end
         name = token.group(2)
         if name is None:
             continue
