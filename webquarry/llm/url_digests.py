@@ -40,6 +40,10 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
 FILE_BYTES = 256 << 20
+#: Probes that are looked up together, about.
+PROBES = 1 << 16
+#: Hosts are the same whatever the case of these letters, and no others.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _KINDS = ("allow", "block", "listed")
 
@@ -63,8 +67,10 @@ class DigestArray:
         self.digests, self.offsets, self.hosts, self.kinds = (data[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:], strict=True))
         self.keys = data[at[-1] :]
         lengths = self.offsets[1:] - self.offsets[:-1] - self.hosts
-        #: The lengths in bytes that paths of keys have.
-        self.path_lengths = np.unique(lengths).astype(int).tolist()
+        #: The lengths in bytes that keys have: of hosts, and of the paths behind hosts of each length.
+        self.lengths: dict[int, list[int]] = {}
+        for h, p in np.unique(np.stack([self.hosts, lengths], axis=1), axis=0).astype(int).tolist():
+            self.lengths.setdefault(h, []).append(p)
 
     def key(self, i: int) -> bytes:
         """The full key at i."""
@@ -113,7 +119,7 @@ def share_list(listed: DataFrame, most: int = FILE_BYTES) -> list[str]:
         for part, keys in kept.items():
             yield pa.record_batch({"part": pa.array([part], pa.int64()), "data": pa.array([digest_array(keys)], pa.binary())})
 
-    keys = listed.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("host <> ''").distinct()
+    keys = listed.select(F.translate("host", _UPPER, _UPPER.lower()).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("host <> ''").distinct()
     keys = cut(keys.mapInArrow(digested, "host string, path string, top long"))
     size = keys.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 40), F.lit(0))).first()[0]
     parts = max(1, -(-int(size) // most))
@@ -122,15 +128,18 @@ def share_list(listed: DataFrame, most: int = FILE_BYTES) -> list[str]:
     return [hand_out(listed.sparkSession, bytes(row["data"]), "digests") for row in packed.toLocalIterator()]
 
 
-def _probes(host: str, path: bytes, lengths: list[int]) -> Iterator[bytes]:
-    prefixes = [path[:n] for n in lengths if n <= len(path)]
-    while host:
-        name = host.encode()
-        for prefix in prefixes:
-            yield name + prefix
-        _, dot, host = host.partition(".")
-        if not dot:
-            return
+def _probes(host: bytes, path: bytes, lengths: dict[int, list[int]]) -> Iterator[bytes]:
+    """What could be a key of these lengths: ends of the host at its dots with starts of the path. Long hosts have no more than short ones."""
+    for h, paths in lengths.items():
+        if h == len(host) or (h < len(host) and host[-h - 1] == 0x2E):
+            for p in paths:
+                if p <= len(path):
+                    yield host[-h:] + path[:p]
+
+
+def _low(host: str) -> str:
+    """A-Z in lower case, nothing else."""
+    return host.encode().lower().decode()
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[str] | DataFrame, most: int = FILE_BYTES) -> DataFrame:
@@ -138,25 +147,19 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[st
 
     ``blocked``: some hosts, or a DataFrame of hosts and URLs (host, path).
     """
-    keys = [(h.lower(), p, kind) for h, p, kind in rules]
+    keys = [(_low(h), p, kind) for h, p, kind in rules]
     if isinstance(blocked, DataFrame):
         names = share(pages.sparkSession, keys, most) + share_list(blocked, most)
     else:
-        names = share(pages.sparkSession, keys + [(h.lower(), "", "listed") for h in blocked], most)
+        names = share(pages.sparkSession, keys + [(_low(h), "", "listed") for h in blocked], most)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             best: list[tuple[tuple[int, int, bool], bytes, str] | None] = [None] * len(hosts)
             listed = [False] * len(hosts)
-            for name in names:
-                array = open_array(name)
-                row, probes = [], []
-                for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                    if host:
-                        for p in _probes(host, path.encode(), array.path_lengths):
-                            row.append(i)
-                            probes.append(p)
+
+            def decide(array: DigestArray, row: list[int], probes: list[bytes]) -> None:
                 for i, found in zip(row, array.find(probes), strict=True):
                     for j in found:
                         kind, key = _KINDS[int(array.kinds[j])], array.key(j)
@@ -166,13 +169,25 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[st
                             rank = (len(key), int(array.hosts[j]), kind == "block")
                             if best[i] is None or rank > best[i][0]:
                                 best[i] = (rank, key, kind)
+
+            for name in names:
+                array = open_array(name)
+                row, probes = [], []
+                for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
+                    own = list(_probes(host.encode(), path.encode(), array.lengths)) if host else []
+                    row += [i] * len(own)
+                    probes += own
+                    if len(probes) >= PROBES:
+                        decide(array, row, probes)
+                        row, probes = [], []
+                decide(array, row, probes)
             rule = [b and b[1].decode() for b in best]
             verdict = [b[2] if b else "block" if bad else "allow" for b, bad in zip(best, listed, strict=True)]
             yield pa.record_batch({"page_id": batch.column("page_id"), "host": batch.column("host"), "path": batch.column("path"), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())})
 
     rest = F.expr("IF(instr(url, '://') > 0, substring(url, instr(url, '://') + 3), '')")
     after = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract("rest", r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract("rest", r"^[^/?#]*", 0), _UPPER, _UPPER.lower())
     path = F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1)
     split = pages.select(F.col("page_id").cast("long"), after.alias("rest")).select("page_id", host.alias("host"), path.alias("path"))
     return split.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
