@@ -36,23 +36,23 @@ def without(docs: DataFrame, gone: DataFrame, *key: Column) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or no language likely enough.
 
-    Rows are told apart by a hash of what the verdict depends on, not by their ids.
+    Rows are told apart by 128 bits of hash of what the verdict depends on, not by their ids.
     """
-    key = F.xxhash64("text", "lang", "source")
-    found = language_fusion.identify(language_fusion.from_documents(docs.withColumn("doc_id", key)))
-    return without(docs, found.where("NOT kept").select("id"), key)
+    key = [F.xxhash64("text", "lang", "source").alias("h1"), F.xxhash64(F.lit(1), "text", "lang", "source").alias("h2")]
+    found = language_fusion.identify(language_fusion.from_documents(docs, F.struct(*key)))
+    return without(docs, found.where("NOT kept").select("id.h1", "id.h2"), *key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate class, of the document with the least id (null ids last).
 
-    Classes are of texts (by 64 bits of hash), whatever their ids. Texts without a word are
+    Classes are of texts (by 128 bits of hash), whatever their ids. Texts without a word are
     alike only with the same id and text.
     """
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.select("doc_id", *text_key(), worded.alias("worded")).groupBy("doc_id", "h1", "h2", "worded").agg(F.count("*").alias("n"))
-    found = icws_dedup.classes(docs.where(worded).withColumn("doc_id", F.xxhash64("text"))).select(F.col("doc_id").alias("h1"), "class_id")
-    rows = cut(rows.join(found, "h1", "left"))
+    found = icws_dedup.text_classes(docs.where(worded)).select("h1", "h2", F.col("class_no").alias("class_id"))
+    rows = cut(rows.join(found, ["h1", "h2"], "left"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     first = rows.where("worded").groupBy("class_id").agg(F.min(rank).alias("first"), F.count("*").alias("members")).where("members > 1")
     # A class may have a third of all rows, so the first of each is sent to several tasks.
@@ -78,8 +78,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    key = F.xxhash64("text")
-    return without(docs, decontaminate.contained(docs.withColumn("doc_id", key), items).select("doc_id"), key)
+    held = decontaminate.contained(docs.withColumn("doc_id", F.struct(*text_key())), items)
+    return without(docs, held.select("doc_id.h1", "doc_id.h2"), *text_key())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

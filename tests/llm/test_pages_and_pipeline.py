@@ -38,6 +38,30 @@ def test_deep_pages_take_time_by_their_length():
     assert took[1] < 30 * took[0] + 1
 
 
+OPEN_ENDS = ["<!" * 9, "a<!b<!-- c", "<p>a<!b", "<p>x<!-- y > z", "<!-->a", "<!--->a<p>b", "<!-- a --><p>b<!-- c --", "<?x<?y", "a<b <!--c<p>d", "<p>a</p><!", "<p>t<x"]
+
+
+@pytest.mark.parametrize("page", OPEN_ENDS)
+def test_open_ends_are_read_as_by_one_pattern(page):
+    """Tokens are those that the pattern finds from left to right in the whole page."""
+    want, at = [], 0
+    for token in crf_extract._TOKEN.finditer(page):
+        want.append(page[at : token.start()])
+        at = token.end()
+    want.append(page[at:])
+    assert "".join("".join(b.text for b in crf_extract.blocks(page)).split()) == "".join("".join(want).split())
+
+
+def test_open_brackets_take_time_by_their_number():
+    import time
+
+    for piece in ("<!", "<?", "<", "<!-", "<a "):
+        for page in (piece * 1_000_000, "<p>x</p>" + piece * 1_000_000):
+            start = time.process_time()
+            crf_extract.blocks(page)
+            assert time.process_time() - start < 10
+
+
 def test_held_out_pages():
     r, crf = random.Random(12345), crf_extract.trained()
     right = total = exact = 0
@@ -142,6 +166,26 @@ def test_primary_subtags(spark, tag, want):
     assert row.p == want
 
 
+def test_long_hosts_and_paths_have_few_probes(spark, monkeypatch):
+    import tracemalloc
+
+    host, path = "a." * 200_000 + "example.org", "/es/" + "x/" * 200_000
+    lengths = {11: [1, 4, 5], 3: [1], 4: [1, 300_000]}
+    tracemalloc.start()
+    found = sorted(url_digests._probes(host.encode(), path.encode(), lengths), key=len)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [p for p in found if len(p) < 99] == [b"org/", b"example.org/", b"example.org/es/", b"example.org/es/x"] and len(found) == 4 and peak < 5_000_000
+    monkeypatch.setattr(url_digests, "PROBES", 3)
+    urls = [f"http://{host}{path}", "http://" + "." * 100_000 + "org/es/", "http://ÀB.example.org/es/q", "http://org/", None]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_digests.judged(rows, RULES, ["Àb.EXAMPLE.org", "àb.example.org"]).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("org/", "allow"), 2: ("example.org/es/", "block"), 3: ("org/", "allow"), 4: (None, "allow")}
+    plain = [(0, "http://ÀB.x.org"), (1, "http://àb.x.org"), (2, "http://ÀB.X.ORG")]
+    got = {r.page_id: r.verdict for r in url_digests.judged(spark.createDataFrame(plain, "page_id long, url string"), [], spark.createDataFrame([("ÀB.x.ORG", None)], "host string, path string")).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block"}
+
+
 def test_pipeline(spark, sf_dir):
     from webquarry.llm import decontaminate, icws_dedup
 

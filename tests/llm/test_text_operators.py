@@ -265,6 +265,21 @@ def test_unknown_grams_are_unlikely(spark):
     assert unknown > known + 0.5
 
 
+@pytest.mark.parametrize("most", [1_000_000, 300, 40])
+def test_unknown_grams_in_any_shard_and_language(spark, most):
+    """A language of few 5-grams has none in some of the files; an unknown one has no score."""
+    docs = table(spark, [sentence(random.Random(1), 200)]).union(table(spark, ["abcabcab"], lang="fi"))
+    own = docs.select("doc_id", "lang", "text")
+    model = ngram_quality.kneser_ney(ngram_quality.counted_grams(own, True))
+    least = {r["lang"]: r["least"] for r in model.groupBy("lang").agg(F.min("logp").alias("least")).collect()}
+    names = ngram_quality.shard_files(model, most)
+    assert most > 40 or len(names) > 3
+    for lang, floor in least.items():
+        junk = table(spark, ["QXZJKW" * 9], lang=lang).select("doc_id", "lang", "text")
+        assert ngram_quality.scored(junk, names, True).first().log_ppl > -floor * 0.8
+    assert ngram_quality.scored(table(spark, ["QXZ JKW"], lang="xx").select("doc_id", "lang", "text"), names, True).first().log_ppl is None
+
+
 def test_probabilities_sum_to_one():
     model = kneser_ney(["abc abd abe xyz xya"] * 2)
     for context in {g[:-1] for g in model}:
@@ -715,6 +730,20 @@ def test_crowded_buckets_are_reached(spark, monkeypatch):
     assert got == dict(enumerate(label))
 
 
+def test_texts_and_ids_never_meet(spark):
+    """Ids over the whole range of a long, rows without one and texts whose hashes agree in 64 bits stay apart."""
+    r = random.Random(31)
+    texts = [sentence(r, 60) for _ in range(5)]
+    hashes = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t)").collect()]
+    rows = [(-(2**63), texts[0]), (2**63 - 1, texts[1]), (None, texts[2]), ((1 << 62) + ((hashes[2] % 2**64) >> 2), texts[3]), (None, texts[4]), (5, texts[4] + " x"), (6, texts[0])]
+    got = icws_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_no = {}
+    for x in got:
+        by_no.setdefault(x.class_no, set()).add(x.doc_id)
+    assert sorted(map(str, by_no.values())) == sorted(map(str, [{-(2**63), 6}, {2**63 - 1}, {None}, {rows[3][0]}, {None, 5}]))
+    assert {x.doc_id: x.class_id for x in got if x.doc_id is not None} == {-(2**63): -(2**63), 6: -(2**63), 2**63 - 1: 2**63 - 1, rows[3][0]: rows[3][0], 5: 5}
+
+
 def test_rows_without_an_id(spark):
     r = random.Random(22)
     one, two = sentence(r, 80), sentence(r, 80)

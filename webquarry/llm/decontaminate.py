@@ -29,6 +29,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from webquarry.llm.shared import cut
 
@@ -44,8 +45,9 @@ def _words(text: str) -> Column:
 
 
 def shingled(table: DataFrame, key: str, *more: str) -> DataFrame:
-    """(key, more, shingles array<long>): hashes of the runs of five words, in text order; null texts have none."""
-    words = table.select(F.col(key).cast("long").alias(key), *more, _words("text").alias("w"))
+    """(key, more, shingles array<long>): hashes of the runs of five words, in text order; null texts have none. Keys are structs or longs."""
+    own = F.col(key) if isinstance(table.schema[key].dataType, StructType) else F.col(key).cast("long")
+    words = table.select(own.alias(key), *more, _words("text").alias("w"))
     runs = f"transform(sequence(1, size(w) - {SHINGLE - 1}), i -> xxhash64(slice(w, i, {SHINGLE})))"
     return words.select(key, *more, F.expr(f"IF(size(w) >= {SHINGLE}, {runs}, CAST(array() AS ARRAY<BIGINT>))").alias("shingles"))
 

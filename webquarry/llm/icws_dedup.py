@@ -21,9 +21,10 @@ bucket, and a link that joins two components isn't lost.
 
 Defined results: null texts and texts without a word are classes of their own, never linked;
 rows with the same doc_id and text count once in a class; rows of one id with two texts are two
-texts of which the id is in both classes; rows without an id take part under a number of 2**62 or
-more that their text's hash gives, which is their rep if no row with an id has the text; an empty
-table gives an empty result; further columns are ignored.
+texts of which the id is in both classes; an empty table gives an empty result; further columns are
+ignored. Rows without an id take part: texts are told apart by 128 bits of hash and numbered
+densely, whatever their ids, and ``class_no``, the class's least number, is exact. Where no row
+of a text (or a class) has an id, ``rep`` (``class_id``) is a number of 2**62 or more by the text's hash.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from webquarry.llm import textkit
 from webquarry.llm.shared import components, cut, text_key
+from webquarry.llm.source_mixture import running
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -169,9 +171,9 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def _node() -> Column:
-    """The id of a row, or for rows without one a number of 2**62 or more by the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+def _shown(own: str, h1: Column) -> Column:
+    """An id, or where there is none a number of 2**62 or more by the text's hash."""
+    return F.coalesce(own, F.shiftrightunsigned(h1, 2) + F.lit(1 << 62))
 
 
 def _signed_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -193,7 +195,7 @@ def _signed_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 take = pa.array(i + at)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").take(take), "h1": batch.column("h1").take(take), "h2": batch.column("h2").take(take), "weight": pa.array(total[at]), "keys": lists})
 
-    return docs.select(_node().alias("doc_id"), "text", *text_key()).mapInArrow(textkit.lean(sign), "doc_id long, h1 long, h2 long, weight double, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", *text_key()).mapInArrow(textkit.lean(sign), "doc_id long, h1 long, h2 long, weight double, keys array<long>")
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -280,24 +282,26 @@ def rare_first_prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) ->
     return texts.select("rep", "text").mapInArrow(textkit.lean(prefix), "rep long, h long, before double")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Near-duplicate classes: (doc_id, rep, class_id, n_links), one row per id and distinct text.
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Near-duplicate classes of the distinct texts with words of ``docs`` (doc_id, text): (h1, h2, least, no, class_no, n_links).
 
-    ``rep`` is the least id with exactly this text, ``class_id`` the least id of the class,
-    ``n_links`` the number of verified links of the text to other texts that the search made.
+    h1 and h2 are ``text_key()``, ``least`` is the least id of the text (null if no row has one). Texts
+    are numbered by ``least``, those without one last; ``class_no`` is the least number of the class.
     """
     idf = idf_table(docs)
-    ids = docs.select(F.col("doc_id").cast("long"), _node().alias("node"), *text_key(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
     signed = _signed_rows(docs, idf)
-    reps = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys")))
+    texts_of = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("weight").alias("weight"), F.first("keys").alias("keys")))
+    numbers = running(texts_of.select("h1", "h2", "least"), [F.asc_nulls_last("least"), F.col("h1"), F.col("h2")], rep=F.lit(1).cast("long"))
+    reps = cut(texts_of.join(numbers.select("h1", "h2", "rep"), ["h1", "h2"]))
     rows = reps.select("rep", "weight", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = cut(rows.join(buckets, "key"))
     pairs = cut(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    wanted = members.select("rep").distinct()
-    texts = docs.select(_node().alias("rep"), "text", *text_key())
-    texts = texts.join(reps.select("rep", "h1", "h2").join(wanted, "rep"), ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep"])
-    texts = cut(texts.select("rep", "text"))
+    # The row of the least id has the text; copies under other ids don't move far.
+    wanted = reps.select("rep", F.col("least").alias("_least"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).join(members.select("rep").distinct(), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("own"), "text", *text_key())
+    texts = texts.join(wanted, F.col("own").eqNullSafe(F.col("_least")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    texts = cut(texts.select("rep", "text").dropDuplicates(["rep"]))
     links = cut(verified(pairs, texts, idf, threshold))
     first = components(links.select("a", "b"))
 
@@ -327,10 +331,29 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     all_links = links.select("a", "b").union(more.select("a", "b"))
     labels = first if more.isEmpty() else components(all_links)
     counted = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    member = ids.where("worded").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
-    alone = ids.where("NOT worded").select("doc_id", F.col("node").alias("rep"))
-    out = member.union(alone).distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(counted, "rep", "left")
-    return out.select("doc_id", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = reps.select("h1", "h2", "least", F.col("rep").alias("no")).join(labels.withColumnRenamed("id", "no"), "no", "left").join(counted.withColumnRenamed("rep", "no"), "no", "left")
+    return out.select("h1", "h2", "least", "no", F.coalesce("label", "no").alias("class_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Near-duplicate classes: (doc_id, rep, class_id, n_links, class_no), one row per id and distinct text.
+
+    ``rep`` is the least id with exactly this text, ``class_id`` the least id of the class,
+    ``n_links`` the number of verified links of the text to other texts that the search made;
+    texts without a word have no ``class_no``.
+    """
+    ids = docs.select(F.col("doc_id").cast("long"), *text_key(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    found = cut(text_classes(docs, threshold))
+    # Only classes of several texts are named after another text.
+    firsts = found.join(found.where("no <> class_no").select("class_no").distinct(), "class_no", "left_semi").where("no = class_no")
+    firsts = cut(firsts.select("class_no", _shown("least", F.col("h1")).alias("first_id")))
+    firsts = F.broadcast(firsts) if firsts.limit(BROADCAST_CENTRES + 1).count() <= BROADCAST_CENTRES else firsts
+    named = found.join(firsts, "class_no", "left").withColumn("rep", _shown("least", F.col("h1")))
+    named = named.select("h1", "h2", "rep", F.coalesce("first_id", "rep").alias("class_id"), "n_links", "class_no")
+    member = ids.where("worded").join(named, ["h1", "h2"]).select("doc_id", "rep", "class_id", "n_links", "class_no")
+    alone = ids.where("NOT worded").withColumn("rep", _shown("doc_id", F.col("h1")))
+    alone = alone.select("doc_id", "rep", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_no"))
+    return member.union(alone).distinct()
 
 
 def op5_icws_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
