@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
@@ -48,11 +48,16 @@ def page_contacts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def linked_data_contacts(pages: DataFrame) -> DataFrame:
     """(page_id, contact_type, value) of linked-data scripts, normalised, each once; only pages with one reach Python."""
-    rows = pages.where(C.has_linked_data(F.col("html"))).select("page_id", F.explode(C.linked_contacts(F.col("html"))).alias("c")).select("page_id", "c.contact_type", "c.value")
+    rows = pages.where(C.has_linked_data(F.col("html"))).select("page_id", F.explode(C.linked_contacts(F.col("html"))).alias("c"))
+    return normal_contacts(rows.select("page_id", "c.contact_type", "c.value"))
+
+
+def normal_contacts(rows: DataFrame) -> DataFrame:
+    """Contacts (contact_type, value and others) as they are stored, each once, without those that aren't."""
     kind, value = F.col("contact_type"), F.col("value")
     normal = F.when(kind == "email", C.normal_email(value)).when(kind == "telegram", U.telegram_url(value)).otherwise(U.contact_url(value))
-    rows = rows.where((kind != "email") | C.is_business_email(value)).select("page_id", kind, normal.alias("value"))
-    return rows.where("value <> ''").distinct()
+    kept = rows.where((kind != "email") | C.is_business_email(value)).withColumn("value", normal)
+    return kept.where("value <> ''").distinct()
 
 
 def host_contacts(pages: DataFrame) -> DataFrame:
@@ -151,8 +156,20 @@ def snippet_items(rows: DataFrame) -> DataFrame:
     return rows.withColumn("item", F.struct(url.alias("url"), F.col("blob").alias("content"), F.lit("").alias("html"), F.lit("serp_snippet").alias("type"), F.lit(10).alias("priority")))
 
 
+def _snippet_text() -> Column:
+    return F.array_join(F.filter(F.array(F.trim("title"), F.trim("snippet")), lambda x: x != ""), "\n")
+
+
+def _has_contacts(blob: Column) -> Column:
+    return F.size(C.emails(blob, F.lit(""))) + F.size(C.telegrams(blob, F.lit(""))) > 0
+
+
+def has_snippet_contacts() -> Column:
+    """Whether the text of a search result (title, snippet) has a contact."""
+    return F.coalesce(_has_contacts(_snippet_text()), F.lit(False))
+
+
 def best_snippets(rows: DataFrame) -> DataFrame:
     """Search results (host, seq, title, snippet) whose text has a contact: the first of each host."""
-    blob = F.array_join(F.filter(F.array(F.trim("title"), F.trim("snippet")), lambda x: x != ""), "\n")
-    hits = rows.withColumn("blob", blob).where(F.size(C.emails(F.col("blob"), F.lit(""))) + F.size(C.telegrams(F.col("blob"), F.lit(""))) > 0)
+    hits = rows.withColumn("blob", _snippet_text()).where(_has_contacts(F.col("blob")))
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy("host").orderBy("seq"))).where("_n = 1").drop("_n")

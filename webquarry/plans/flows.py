@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
 from webquarry.functions import tables
-from webquarry.operators import crawl, linkgraph, progress, runs
-from webquarry.plans.catalog import _FOUND, _any, _host, _rich, _Tables, query
+from webquarry.functions import urls as U
+from webquarry.lineage import shared_folder
+from webquarry.operators import crawl, linked, linkgraph, progress, runs, search_index
+from webquarry.plans.catalog import _ALL, _FLAT, _FOUND, _LINKED, _any, _flat, _host, _rich, _Tables, query
 from webquarry.sources import answers, paired
-from webquarry.streaming import leases
+from webquarry.streaming import choices, leases
 
 # Links
 
@@ -208,3 +212,38 @@ FROM search_results WHERE id % 12 IN (4, 5, 6, 7, 8, 10, 11)""",
 def s11_quarantine(spark, sf_dir):  # noqa: ANN001, ANN201
     """Why answers are kept apart."""
     return answers.quarantined(answers.read(_answer_files(spark, sf_dir))).select("path", "reason")
+
+
+@query(
+    """SELECT page_id, 'telegram' AS contact_type, 'https://t.me/x' AS value FROM pages WHERE page_id % 6 = 0
+ UNION ALL SELECT page_id, 'linkedin', 'https://www.linkedin.com/in/q' FROM pages WHERE page_id % 6 = 0
+ UNION ALL SELECT page_id, 'telegram', 'https://t.me/telegram' || page_id FROM pages WHERE page_id % 6 = 1
+ UNION ALL SELECT page_id, 'email', 'ok@acme.example' FROM pages WHERE page_id % 6 = 2"""
+)
+def x17_linked_levels(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Contacts in linked-data scripts, walked level by level without Python."""
+    pages = _Tables(spark, sf_dir).pages.select("page_id", F.expr(_LINKED).alias("html"))
+    return crawl.normal_contacts(linked.linked_contacts(pages))
+
+
+_SNIPPETS = "CASE WHEN id % 3 = 0 THEN concat('write to a', CAST(id AS STRING), '@acme.example') WHEN id % 3 = 1 THEN 'see t.me/' ELSE 'nothing' END"
+
+
+@query(
+    f"""WITH r AS (SELECT {_host('url')} AS host, id, url, id % 3 = 0 AS hit FROM search_results), n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY hit DESC, -id) AS n FROM r WHERE host <> '')
+SELECT host, CASE WHEN hit THEN 'extract' ELSE 'crawl' END AS action, -id AS seq, url FROM n WHERE n = 1""",
+    "search_results",
+)
+def w10_choices(spark, sf_dir):  # noqa: ANN001, ANN201
+    """One choice a host: extract from a text with contacts, or crawl."""
+    rows = _Tables(spark, sf_dir).search_results
+    made = rows.select(U.host(F.col("url")).alias("host"), (-F.col("id")).alias("seq"), "url", F.lit("t").alias("title"), F.expr(_SNIPPETS).alias("snippet"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    return choices.chosen(made)
+
+
+@query(f"WITH {_FLAT} SELECT contact_id, contact_type, value, domain, keyword FROM flat WHERE value ILIKE '%c1_@ACME%' OR domain ILIKE '%c1_@ACME%' OR keyword ILIKE '%c1_@ACME%' OR value ILIKE '%src1%mple%' OR domain ILIKE '%src1%mple%' OR keyword ILIKE '%src1%mple%'", *_ALL)
+def f3_search_by_index(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Contacts with either of two texts, found by the lists of their trigrams."""
+    index = search_index.SearchIndex(spark, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", folders=32)
+    index.build(_flat(_Tables(spark, sf_dir)).select("contact_id", "contact_type", "value", "domain", "keyword"))
+    return index.search("c1_@ACME").union(index.search("src1%mple")).distinct()
