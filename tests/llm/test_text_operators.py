@@ -137,6 +137,20 @@ def test_shards_equal_brute_force(spark):
     assert order == sorted(order)
 
 
+def test_equal_rows_are_one_until_they_have_slots(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_shards, "COPIES", 100)
+    docs = table(spark, ["x"] * 3).where("doc_id = 0").withColumn("doc_id", F.lit(7).cast("long"))
+    hot = docs.crossJoin(spark.range(3000).select(F.lit(1).alias("one"))).drop("one")
+    rows, total = hilbert_shards.positions(hot.select("doc_id", "source", "lang", "n_chars", F.crc32(F.lit("x")).alias("text_crc32"), F.lit(1).alias("_bytes")), chunk_rows=50, once=True)
+    assert total == 3000 and [r["_n"] for r in rows.collect()] == [3000]
+    got = hilbert_shards.shard(hot.union(table(spark, ["y", None])), chunk_rows=50).collect()
+    assert Counter(r.doc_id for r in got) == {7: 3000, 0: 1, 1: 1}
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sorted(map(len, slots.values())) == [125] * 22 + [126] * 2
+
+
 def test_written_shards_are_whole_and_prunable(spark, odd, tmp_path):
     docs = odd.withColumn("shard", F.lit("mine")).union(odd.withColumn("shard", F.lit("again")))
     hilbert_shards.write(docs, str(tmp_path / "out"), shards=4, file_rows=3)

@@ -9,7 +9,10 @@ The curve is never sorted in one place. A curve cell is one of at most 2**(4*bit
 whatever the input; the cells are counted, ordered and cumulated (a table of bounded size),
 each cell is split by a hash of the row into chunks of about ``chunk_rows`` rows, and a row's
 global position is: rows in earlier cells + rows in earlier chunks of its cell + its rank in
-its chunk. A source that holds a third of all rows is thus only more chunks.
+its chunk. A source that holds a third of all rows is thus only more chunks. Rows that are equal in
+all that ``shard`` returns are one row with a number until they have their positions, and large
+numbers of them are listed by several tasks. (``write``, which moves whole rows, chunks by
+their contents only.)
 
 Defined results: null ids, languages, sources and sizes have the code 0 of their own; ids are any
 64-bit numbers; a null text has size 8 and the checksum of no bytes; repeated rows each get a
@@ -22,11 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webquarry.llm.shared import cut
+
 BITS = 4
 SHARDS = 24
 CHUNK_ROWS = 20_000
 FILE_ROWS = 1_000_000
+#: Equal rows that one task lists.
+COPIES = 10_000
 DIMS = ("q_lang", "q_source", "q_size", "q_id")
+KEYS = ("doc_id", "source", "lang", "n_chars", "text_crc32", "_bytes")
 
 
 def _frequent_values(docs: DataFrame, name: str, codes: int) -> list[str]:
@@ -86,21 +94,36 @@ def hilbert_index(dims: list[str], bits: int) -> Column:
     return F.expr(f"transform(array({flipped}), x -> aggregate(sequence(0, {bits * n - 1}), 0L, (h, d) -> h + {digit}))[0]")
 
 
-def positions(docs: DataFrame, bits: int = BITS, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
-    """The quantised documents (with text_crc32 and _bytes) with ``h`` and the gapless global position ``pos``, and the row count."""
-    rows = quantised(docs, bits).withColumn("_hash", F.xxhash64("doc_id", "source", "lang", "n_chars", "text_crc32", "_bytes"))
-    cells = rows.groupBy(*DIMS).agg(F.count("*").alias("cell_rows")).withColumn("h", hilbert_index(list(DIMS), bits))
+def positions(docs: DataFrame, bits: int = BITS, chunk_rows: int = CHUNK_ROWS, once: bool = False) -> tuple[DataFrame, int]:
+    """The quantised documents (with text_crc32 and _bytes) with ``h`` and the gapless global position ``pos``, and the row count.
+
+    ``once``: equal rows are one row, with their number ``_n`` and the position of the first.
+    """
+    rows = quantised(docs, bits).withColumn("_hash", F.xxhash64(*KEYS))
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))) if once else rows.withColumn("_n", F.lit(1).cast("long"))
+    chunks = F.ceil(F.count("*") / chunk_rows).alias("chunks")
+    cells = rows.groupBy(*DIMS).agg(F.sum("_n").alias("cell_rows"), chunks).withColumn("h", hilbert_index(list(DIMS), bits))
     # At most 2**(4*bits) rows, whatever the input.
     cells = cells.withColumn("cell_start", F.sum("cell_rows").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
-    cells = cells.select(*DIMS, "h", "cell_rows", F.coalesce("cell_start", F.lit(0)).alias("cell_start"), F.ceil(F.col("cell_rows") / chunk_rows).alias("chunks"))
+    cells = cells.select(*DIMS, "h", "cell_rows", F.coalesce("cell_start", F.lit(0)).alias("cell_start"), "chunks")
     total = cells.agg(F.coalesce(F.sum("cell_rows"), F.lit(0))).first()[0]
     rows = rows.join(F.broadcast(cells.drop("cell_rows")), list(DIMS)).withColumn("chunk", F.pmod("_hash", F.col("chunks")))
-    chunks = rows.groupBy("h", "chunk").agg(F.count("*").alias("chunk_rows"))
+    chunks = rows.groupBy("h", "chunk").agg(F.sum("_n").alias("chunk_rows"))
     before = Window.partitionBy("h").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("h", "chunk", F.coalesce(F.sum("chunk_rows").over(before), F.lit(0)).alias("chunk_start"))
-    rank = F.row_number().over(Window.partitionBy("h", "chunk").orderBy("_hash", "doc_id", "text_crc32", "_bytes"))
-    rows = rows.withColumn("_rank", rank).join(chunks, ["h", "chunk"])
-    return rows.withColumn("pos", F.col("cell_start") + F.col("chunk_start") + F.col("_rank") - 1), int(total)
+    earlier = Window.partitionBy("h", "chunk").orderBy("_hash", *KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(chunks, ["h", "chunk"])
+    return rows.withColumn("pos", F.col("cell_start") + F.col("chunk_start") + F.col("_before")), int(total)
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Each of ``_n`` equal rows, with positions from ``pos`` on."""
+    zero = F.lit(0).cast("long")
+    few = rows.where(F.col("_n") <= COPIES).withColumn("_k", F.explode(F.sequence(zero, F.col("_n") - 1)))
+    ranges = rows.where(F.col("_n") > COPIES).withColumn("_from", F.explode(F.sequence(zero, F.col("_n") - 1, F.lit(COPIES).cast("long"))))
+    ranges = ranges.repartition(F.xxhash64("_hash", "_from"))
+    many = ranges.withColumn("_k", F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_n")) - 1))).drop("_from")
+    return few.union(many).withColumn("pos", F.col("pos") + F.col("_k"))
 
 
 def _placed(docs: DataFrame, shards: int, bits: int, chunk_rows: int, whole: bool) -> tuple[DataFrame, int]:
@@ -108,7 +131,8 @@ def _placed(docs: DataFrame, shards: int, bits: int, chunk_rows: int, whole: boo
     own = [F.col(c) for c in ("doc_id", "lang", "source", "n_chars")]
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
     wanted = docs.select(*own, F.octet_length("text").alias("_bytes"), crc, *([F.struct("*").alias("_row")] if whole else []))
-    rows, total = positions(wanted, bits, chunk_rows)
+    rows, total = positions(wanted, bits, chunk_rows, once=not whole)
+    rows = rows if whole else _listed(rows)
     base, larger = divmod(total, shards)
     edge = larger * (base + 1)
     pos = F.col("pos")
