@@ -501,6 +501,21 @@ def test_automaton_matching_statistics():
             assert got == want
 
 
+@pytest.mark.parametrize("most", [decontaminate.SKETCH_MOST, 0])
+def test_a_template_of_many_items_names_no_candidates(spark, most):
+    r = random.Random(17)
+    template = "which of the following is the best answer to the question about "
+    items = [template + sentence(r, 9) for _ in range(500)] + [template]
+    docs = [template + sentence(r, 30) for _ in range(40)] + ["x " + items[k] + " y" for k in (3, 77)]
+    table_of_items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    sketches = decontaminate.item_sketches(table_of_items).collect()
+    seen = Counter(h for x in sketches for h in x.sketch)
+    assert all(n == 1 for h, n in seen.items()) or max(seen.values()) <= decontaminate.COMMON
+    assert all(len(x.sketch) == x.q - x.needed + 1 for x in sketches)
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contained(table(spark, docs), table_of_items, sketch_most=most).collect()}
+    assert got == {(40, 3), (41, 77)} | {(k, 500) for k in range(42)}
+
+
 @pytest.mark.parametrize("most", [decontaminate.SKETCH_MOST, 0])
 def test_containment_equals_brute_force(spark, odd, most):
     r = random.Random(10)

@@ -7,7 +7,9 @@ Items are partitioned by the size class of their shingle sets (powers of two). A
 shingles needs ceil(0.8 q) of them, so one of its q - ceil(0.8 q) + 1 shingles of least hash, its
 bottom-k MinHash sketch, is in every document that holds it: however long the document is, the
 search has no false negative, which a fixed-length signature of a long document could not
-promise. A document's shingles that are not above the highest sketch hash of a size class, and
+promise. Any one order of the shingles keeps that; shingles of more than COMMON items come behind all
+others, as a template that many items share would make each document with it a candidate for
+all of them. A document's shingles that are not above the highest sketch hash of a size class, and
 are in a sketch, name the candidates, and the exact containment decides. Everything per
 document stays in one row: the texts are never shuffled and shingles never exploded.
 
@@ -36,6 +38,8 @@ from webquarry.llm.shared import cut
 SHINGLE = 5
 CONTAINMENT = 0.8
 SKETCH_MOST = 20_000
+#: Shingles of more items are the last to be in a sketch.
+COMMON = 16
 #: Rows of two longs each.
 BROADCAST_HASHES = 4_000_000
 
@@ -57,8 +61,12 @@ def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFra
     own = shingled(items, "item_id").select("item_id", F.array_sort(F.array_distinct("shingles")).alias("own")).where("size(own) > 0").distinct()
     q = F.size("own").alias("q")
     needed = F.ceil(F.size("own") * F.lit(containment) - 1e-9).cast("int").alias("needed")
-    own = own.select("item_id", "own", q, needed)
-    return own.select("*", F.floor(F.log2("q")).cast("int").alias("size_class"), F.expr("slice(own, 1, q - needed + 1)").alias("sketch"))
+    each = own.select("item_id", "own", F.explode("own").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("h", F.lit(1).alias("common"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("common", F.lit(0)).alias("common"), "h"))).alias("order")
+    own = each.join(common, "h", "left").groupBy("item_id", "own").agg(order).select("item_id", "own", q, needed, "order")
+    sketch = F.transform(F.expr("slice(order, 1, q - needed + 1)"), lambda x: x["h"]).alias("sketch")
+    return own.select("item_id", "own", "q", "needed", F.floor(F.log2("q")).cast("int").alias("size_class"), sketch)
 
 
 def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, sketch_most: int = SKETCH_MOST) -> DataFrame:
