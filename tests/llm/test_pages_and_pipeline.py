@@ -75,6 +75,18 @@ def test_held_out_pages():
     assert right / total > 0.98 and exact / 150 > 0.85
 
 
+def test_given_pages_are_read_as_by_their_rule(sf_dir):
+    import duckdb
+
+    for at in (sf_dir, "/root/testdata/sf0.01"):
+        db = duckdb.connect()
+        db.sql(f"CREATE VIEW pages AS SELECT * FROM '{at}/pages.parquet'")
+        want = {r[0]: r[2:] for r in db.sql(crf_extract.ORACLES["op7_crf_extract"]).fetchall()}
+        pages = db.sql("SELECT page_id, html FROM pages").fetchall()
+        got = {i: crf_extract.main_text(html, crf_extract.trained()) for i, html in pages}
+        assert {i: (t, len(t)) for i, t in got.items()} == want
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     r, crf = random.Random(1), crf_extract.trained()
     page, _ = crf_extract.labelled_page(r)
