@@ -81,3 +81,11 @@ def test_host_contacts_and_rows(spark):
     assert got["b.example"].pages == 1 and got["b.example"].confidence == 0
     rows = sinks.contact_rows(crawl.page_contacts(pages)).collect()
     assert sorted((r.domain_contact_id, r.value) for r in rows) == [(1, "a@acme.example"), (1, "b@acme.example"), (2, "a@acme.example")]
+
+
+def test_text_of_a_page_is_computed_once(spark):
+    """The optimizer turns the names of references into one map, and no step of the text is repeated."""
+    rows = spark.createDataFrame([("<p>a &amp; b&copy;</p><NOSCRIPT>x</noscript>",), (None,)], "html string").select(C.html_text(F.col("html")).alias("t"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "str_to_map" not in plan and plan.lower().count("noscript") <= 2
+    assert [r.t for r in rows.collect()] == ["a & b©", ""]

@@ -131,3 +131,11 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM quality").collect())) == sorted(map(tuple, rolling.rolling_quality(stored).collect()))
+
+
+def test_the_least_row_of_a_new_key_is_added(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("a", 1, "y"), ("b", 5, "z")], "k string, n int, v string")
+    known = spark.createDataFrame([("b",)], "k string")
+    assert [tuple(r) for r in sinks.append_new(rows, known, ["k"]).collect()] == [("a", 1, None)]
+    assert [tuple(r) for r in sinks.append_new(rows, known, ["k"], ["v", "n"]).collect()] == [("a", 1, None)]
+    assert [tuple(r) for r in sinks.append_new(rows.select("k"), known, ["k"]).collect()] == [("a",)]

@@ -18,9 +18,16 @@ def write_csv(rows: DataFrame, path: str, delimiter: str = ";") -> None:
     rows.withColumnRenamed(first, "﻿" + first).write.option("sep", delimiter).option("header", True).mode("overwrite").csv(path)
 
 
-def append_new(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key isn't known yet, each key once: what an insert-if-absent adds."""
-    return rows.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
+def append_new(rows: DataFrame, known: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows whose key isn't known yet, each key once: what an insert-if-absent adds.
+
+    Of several rows of a key the least by ``order``, by default by all other columns, is added, so
+    that a repeated run adds the same.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    least = F.min_by(F.struct(*rest), F.struct(*(order or rest))) if rest else F.lit(None)
+    first = rows.groupBy(*keys).agg(least.alias("_rest")) if rest else rows.select(*keys).distinct()
+    return first.join(known.select(*keys), keys, "left_anti").select(*[F.col(c) if c in keys else F.col(f"_rest.{c}").alias(c) for c in rows.columns])
 
 
 def saved(found: DataFrame, keep_empty: bool = False) -> DataFrame:
