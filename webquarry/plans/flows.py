@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webquarry import fixed_values as V
+from webquarry.functions import contacts as C
 from webquarry.functions import tables
 from webquarry.functions import urls as U
 from webquarry.lineage import shared_folder
 from webquarry.operators import crawl, linked, linkgraph, progress, runs, search_index
 from webquarry.plans.catalog import _ALL, _FLAT, _FOUND, _LINKED, _any, _flat, _host, _rich, _Tables, query
-from webquarry.sources import answers, paired
+from webquarry.sources import answers, paired, serp
 from webquarry.streaming import choices, leases
 
 # Links
@@ -247,3 +248,52 @@ def f3_search_by_index(spark, sf_dir):  # noqa: ANN001, ANN201
     index = search_index.SearchIndex(spark, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", folders=32)
     index.build(_flat(_Tables(spark, sf_dir)).select("contact_id", "contact_type", "value", "domain", "keyword"))
     return index.search("c1_@ACME").union(index.search("src1%mple")).distinct()
+
+
+# Stored texts, settings and replies made of the tables' own values
+
+
+@query(
+    """WITH c AS (SELECT domain_contact_id AS id, bool_or(contact_type = 'email') AS e, bool_or(contact_type = 'telegram') AS t, bool_or(contact_type = 'linkedin') AS l, bool_or(contact_type IN ('x', 'facebook', 'instagram', 'youtube')) AS s FROM contacts WHERE is_verified GROUP BY 1)
+SELECT d.id, coalesce(e OR t OR l OR s, false) AS has_data, coalesce(e OR t, false) AS has_mail, coalesce(s, false) AS has_social, e IS NOT NULL AS stored FROM domain_contacts d LEFT JOIN c USING (id)""",
+    "domain_contacts",
+    "contacts",
+)
+def f21_stored_contacts(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Whether the stored form of each domain's verified contacts holds anything."""
+    t = _Tables(spark, sf_dir)
+    of = lambda kind: F.collect_list(F.when(F.col("contact_type") == kind, F.col("value")))
+    social = F.create_map(*[x for kind in ("x", "facebook", "instagram", "youtube") for x in (F.lit(kind), of(kind))]).alias("social")
+    stored = t.contacts.where("is_verified").groupBy(F.col("domain_contact_id").alias("id")).agg(F.to_json(F.struct(of("email").alias("emails"), of("telegram").alias("telegram"), of("linkedin").alias("linkedin"), of("phone").alias("phones"), social)).alias("j"))
+    j = F.col("j")
+    rows = t.domain_contacts.select("id").join(stored, "id", "left")
+    return rows.select("id", C.stored_has_data(j).alias("has_data"), C.stored_has_data(j, ("emails", "telegram"), social=False).alias("has_mail"), C.stored_has_data(j, (), social=True).alias("has_social"), j.isNotNull().alias("stored"))
+
+
+@query("SELECT id, url, title AS content, position AS priority FROM search_results", "search_results")
+def k13_payload_results(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Search results packed as payloads and unpacked again."""
+    item = F.struct("url", F.col("title").alias("content"), F.col("position").alias("priority"))
+    rows = _Tables(spark, sf_dir).search_results.select("id", F.to_json(F.array(item)).alias("packed"))
+    return rows.select("id", F.explode(serp.unpacked(F.col("packed"))).alias("p")).select("id", "p.url", "p.content", "p.priority")
+
+
+@query(f"SELECT keyword_id, string_agg(host, ' ' ORDER BY host) AS hosts FROM (SELECT DISTINCT keyword_id, {_host('url')} AS host FROM search_results) WHERE host <> '' GROUP BY keyword_id", "search_results")
+def s19_hosts_of_settings(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The hosts of each keyword's results through a line of settings, as JSON or between commas."""
+    rows = _Tables(spark, sf_dir).search_results.select("keyword_id", U.host(F.col("url")).alias("host")).where("host <> ''")
+    listed = rows.groupBy("keyword_id").agg(F.array_sort(F.collect_set("host")).alias("h"))
+    value = F.when(F.col("keyword_id") % 2 == 0, F.to_json("h")).otherwise(F.array_join("h", " , "))
+    env = F.concat(F.lit("A=1\nSERP_BLOCKED_HOST_SUFFIXES="), value, F.lit("\nB=2"))
+    return listed.select("keyword_id", F.array_join(serp.env_hosts(env), " ").alias("hosts"))
+
+
+_TITLE_WORDS = "regexp_extract_all(title, '[A-Za-z]{4,}')"
+
+
+@query(f"SELECT id, array_to_string(list_slice({_TITLE_WORDS}, 1, 3), '|') AS categories FROM search_results", "search_results")
+def x23_categories_of_titles(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Categories in replies that list words of the results' titles among other text."""
+    words = F.regexp_extract_all("title", F.lit("[A-Za-z]{4,}"), F.lit(0))
+    rows = _Tables(spark, sf_dir).search_results.select("id", F.concat(F.lit("The site is about "), F.coalesce(F.translate("title", "[]", ""), F.lit("")), F.lit(": "), F.to_json(F.slice(F.coalesce(words, F.array()), 1, 5)), F.lit(' or ["x"].')).alias("reply"))
+    return rows.select("id", F.array_join(serp.llm_categories(F.col("reply")), "|").alias("categories"))

@@ -22,9 +22,10 @@ from webquarry.lineage import cut
 from webquarry.sources import sinks
 
 
-def with_ids(rows: DataFrame, start: int, *order: Column, tasks: int = 64, name: str = "id") -> DataFrame:
-    """``rows`` with the numbers start + 1, start + 2, ... in a total order."""
-    parts = cut(rows.repartitionByRange(tasks, *order).withColumn("_range", F.spark_partition_id()))
+def with_ids(rows: DataFrame, start: int, *order: Column, tasks: int | None = None, name: str = "id") -> DataFrame:
+    """``rows`` with the numbers start + 1, start + 2, ... in a total order; in as many ranges as the session shuffles to, or as told."""
+    ranges = rows.repartitionByRange(tasks, *order) if tasks else rows.repartitionByRange(*order)
+    parts = cut(ranges.withColumn("_range", F.spark_partition_id()))
     # A row a range.
     counts = parts.groupBy("_range").agg(F.count("*").alias("_c"))
     before = F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
