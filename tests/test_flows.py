@@ -146,6 +146,25 @@ def test_a_batch_that_died_is_repeated(spark, tmp_path, monkeypatch, step):
     assert not list((tmp_path / "t/aside").iterdir())
 
 
+def test_traces_go_to_the_newest_log_of_a_host(spark, tmp_path):
+    schema = "id long, domain string, crawled_at timestamp, llm_request string, llm_response string, llm_model string"
+    at = lambda d: datetime(2024, 1, d)
+    logs = keyed.KeyedTable(spark, str(tmp_path / "t"), schema, ("domain",), folders=16)
+    first = [(1, "a", at(1), None, None, None), (2, "a", at(3), None, None, None), (3, "a", at(3), "old", "old", "m0"), (4, "b", at(2), "q", "r", "m0"), (5, "b", at(1), None, None, None), (6, "c", at(1), None, None, None)]
+    logs.apply("logs", spark.createDataFrame(first, schema), keyed.appended)
+    before = times(tmp_path / "t" / "rows")
+    traces = spark.createDataFrame([("a", "Q", "R", "m1"), ("x", "Q", "R", "m1")], "domain string, llm_request string, llm_response string, llm_model string")
+    touched = {r[0] for r in traces.select(logs.folder()).distinct().collect()}
+    assert logs.apply("traces", traces, keyed.traced("domain")) and not logs.apply("traces", traces, keyed.traced("domain"))
+    got = {r.id: (r.llm_request, r.llm_response, r.llm_model) for r in logs.read().collect()}
+    none = (None, None, None)
+    assert got == {1: none, 2: none, 3: ("Q", "R", "m1"), 4: ("q", "r", "m0"), 5: none, 6: none}
+    of = lambda p: int(p.split(f"{keyed.FOLDER}=")[1].split("/")[0])
+    assert {p: t for p, t in before.items() if of(p) not in touched}.items() <= times(tmp_path / "t" / "rows").items()
+    logs.apply("more", spark.createDataFrame([(7, "a", at(9), None, None, None)], schema), keyed.appended)
+    assert {r.id: r.llm_model for r in logs.read().collect()} == {1: None, 2: None, 3: "m1", 4: "m0", 5: None, 6: None, 7: None}
+
+
 INFO = "struct<emails: array<string>, telegram: array<string>, linkedin: array<string>, phones: array<string>, social: map<string, array<string>>>"
 FOUND = f"search_result_id long, domain string, tags array<string>, confidence_score int, extraction_method string, info {INFO}"
 

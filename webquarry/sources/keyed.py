@@ -1,4 +1,6 @@
-"""A table of one row a key in files, changed batch by batch.
+"""A table in files whose rows are found by their key, changed batch by batch.
+
+A key has one row, or several, as logs of a host have; what a batch does with them is its change.
 
 Rows lie in folders by a hash of their key. A batch reads and writes only the folders of its own
 keys (dynamic partition overwrite); the others' files stay as they are. It can be repeated after a
@@ -19,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webquarry.sources import sinks
+
 FOLDER = "key_folder"
 
 
@@ -92,3 +96,22 @@ def newest(keys: tuple[str, ...], *order: str) -> Callable[[DataFrame, DataFrame
         return both.groupBy(*keys).agg(F.max_by("_row", "_rank").alias("_row")).select("_row.*")
 
     return change
+
+
+def appended(old: DataFrame, rows: DataFrame) -> DataFrame:
+    """A change for ``KeyedTable.apply``: the rows are added."""
+    return old.unionByName(rows)
+
+
+def traced(*keys: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A change of logs (id, keys, crawled_at, ...): traces of a model go to the newest log of their key, and stay there."""
+
+    def change(old: DataFrame, traces: DataFrame) -> DataFrame:
+        own = ("llm_request", "llm_response", "llm_model")
+        new = sinks.with_model_trace(old, traces, *keys)
+        # A log without a new trace keeps its own.
+        marked = new.where("llm_model IS NOT NULL").select("id", *[F.col(c).alias(f"_{c}") for c in own])
+        kept = [F.when(F.col("_llm_model").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in old.columns]
+        return old.join(marked, "id", "left").select(*kept)
+
+    return change
