@@ -45,10 +45,14 @@ def matches(pattern: str) -> Column:
 
 
 class SearchIndex:
-    """An index of contact rows (contact_id and ``FIELDS`` at least) at a path."""
+    """An index of contact rows (contact_id and ``FIELDS`` at least) at a path.
 
-    def __init__(self, spark: SparkSession, path: str, folders: int = FOLDERS) -> None:
-        self.spark, self.path, self.folders = spark, path.rstrip("/"), folders
+    ``folders`` and ``files``, the files of a folder of rows, set how much a search reads and a
+    task writes; a large table wants more of both.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, folders: int = FOLDERS, files: int = 1) -> None:
+        self.spark, self.path, self.folders, self.files = spark, path.rstrip("/"), folders, files
 
     def _folder(self, column: str) -> Column:
         kind = "long" if column == "contact_id" else "string"
@@ -56,15 +60,16 @@ class SearchIndex:
 
     def build(self, rows: DataFrame) -> None:
         """Writes rows, lists and counts. A trigram that many rows have is written by several tasks."""
-        rows.select("*", self._folder("contact_id")).repartition(self.folders, "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/rows")
+        own = F.pmod(F.xxhash64(F.lit(1), "contact_id"), F.lit(self.files))
+        rows.select("*", self._folder("contact_id")).repartition("folder", own).write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/rows")
         fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lower(f).alias("t")) for k, f in enumerate(FIELDS)])
         each = rows.select("contact_id", F.explode(fields).alias("f")).select("contact_id", "f.field", "f.t").where("length(t) >= 3")
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3))))
         lists = each.select(F.explode(grams).alias("gram"), "field", "contact_id").select("*", self._folder("gram"))
         salt = F.pmod(F.xxhash64("contact_id"), F.lit(16))
-        lists.repartition(self.folders, "folder", salt).sortWithinPartitions("gram", "contact_id").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/lists")
+        lists.repartition("folder", salt).sortWithinPartitions("gram", "contact_id").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/lists")
         counts = self.spark.read.parquet(f"{self.path}/lists").groupBy("gram").agg(F.count("*").alias("n"))
-        counts.select("*", self._folder("gram")).repartition(self.folders, "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/counts")
+        counts.select("*", self._folder("gram")).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/counts")
 
     def _of(self, table: str, grams: list[str]) -> DataFrame:
         """Rows of a table of some trigrams, of their folders only."""
