@@ -75,7 +75,7 @@ class KeyedTable:
             new.repartition(max(1, len(touched)), FOLDER).write.mode("overwrite").partitionBy(FOLDER).parquet(f"{self.path}/{aside}")
         if any(s.isDirectory() for s in self._listed(aside)):
             copied = self.spark.read.schema(f"{self.schema}, {FOLDER} int").parquet(f"{self.path}/{aside}")
-            copied.repartition(self.folders, FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(f"{self.path}/rows")
+            copied.repartition(FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(f"{self.path}/rows")
         system, at = self._file(f"ledger/{batch}")
         system.mkdirs(at.getParent())
         system.create(at, True).close()
