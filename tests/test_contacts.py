@@ -83,6 +83,34 @@ def test_host_contacts_and_rows(spark):
     assert sorted((r.domain_contact_id, r.value) for r in rows) == [(1, "a@acme.example"), (1, "b@acme.example"), (2, "a@acme.example")]
 
 
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_filter_on_the_contacts_does_not_find_them_again(spark):
+    """The filter stays above the patterns, so none is in the plan more often than without it."""
+    pages = spark.createDataFrame([(1, "https://a.example/", "a@acme.example"), (2, "https://b.example/", "+1 555 010 1234"), (3, "https://c.example/", None)], "id int, url string, html string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        found = crawl.page_contacts(pages)
+        kept, every = sinks.saved(found), sinks.saved(found, keep_empty=True)
+        assert _plan(kept).count("regexp_extract_all") == _plan(every).count("regexp_extract_all") > 0
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert kept.columns == every.columns
+    assert [(r.id, r.info.emails) for r in kept.collect()] == [(1, ["a@acme.example"])] and every.count() == 3
+
+
+def test_pages_of_one_file_are_read_for_contacts_by_several_tasks(spark):
+    pages = spark.range(400).select("id", F.lit("https://a.example/").alias("url"), F.expr("concat('a', id, '@acme.example ', repeat(sha2(cast(id as string), 256), 500))").alias("html")).coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rows = crawl.page_contacts(pages).groupBy(F.spark_partition_id().alias("p")).agg(F.count("info").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 4 and sum(r.n for r in rows) == 400 and max(r.n for r in rows) < 200
+
+
 def test_text_of_a_page_is_computed_once(spark):
     """The optimizer turns the names of references into one map, and no step of the text is repeated."""
     rows = spark.createDataFrame([("<p>a &amp; b&copy;</p><NOSCRIPT>x</noscript>",), (None,)], "html string").select(C.html_text(F.col("html")).alias("t"))

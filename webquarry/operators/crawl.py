@@ -40,8 +40,12 @@ def not_blocked(rows: DataFrame, url: str, listed: DataFrame) -> DataFrame:
 
 
 def page_contacts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with the text of the HTML and the contacts of text, HTML and linked data as ``info``."""
-    texts = pages.withColumn("content", C.html_text(F.col(html))).withColumn("_linked", C.linked_contacts(F.col(html)))
+    """``pages`` with the text of the HTML and the contacts of text, HTML and linked data as ``info``.
+
+    Patterns take far longer than reading, and a file of pages may be one row group, which one task
+    reads; so the pages are dealt by a hash of the row, to a number of tasks that Spark chooses by their size.
+    """
+    texts = pages.repartition(F.xxhash64(*pages.columns)).withColumn("content", C.html_text(F.col(html))).withColumn("_linked", C.linked_contacts(F.col(html)))
     found = texts.withColumn("info", C.contact_info(F.col("content"), F.col(html)))
     return found.withColumn("info", C.with_linked(F.col("info"), F.col("_linked"))).drop("_linked")
 

@@ -265,7 +265,8 @@ def x19_html_text(spark, sf_dir):  # noqa: ANN001, ANN201
 @query(f"WITH {_FOUND} SELECT page_id, string_agg(value, ' ' ORDER BY value) AS emails FROM found WHERE kind = 'emails' GROUP BY page_id")
 def x1_emails(spark, sf_dir):  # noqa: ANN001, ANN201
     """Business addresses of every page that has one."""
-    rows = crawl.page_contacts(_rich(_Tables(spark, sf_dir))).select("page_id", F.array_join("info.emails", " ").alias("emails"))
+    # As the row of a generator, so that the filter doesn't find them a second time.
+    rows = crawl.page_contacts(_rich(_Tables(spark, sf_dir))).select("page_id", F.explode(F.array(F.array_join("info.emails", " "))).alias("emails"))
     return rows.where("emails <> ''")
 
 

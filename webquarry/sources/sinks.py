@@ -32,7 +32,11 @@ def append_new(rows: DataFrame, known: DataFrame, keys: list[str], order: list[s
 
 def saved(found: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Extractions (info) that are stored: those with any contact but phones, or all."""
-    return found if keep_empty else found.where(C.has_contacts(F.col("info")))
+    if keep_empty:
+        return found
+    # As the row of a generator the contacts are computed once; the filter would else go below them and find them again for each kind.
+    once = found.select(*[F.explode(F.array("info")).alias("info") if c == "info" else F.col(c) for c in found.columns])
+    return once.where(C.has_contacts(F.col("info")))
 
 
 def contact_rows(found: DataFrame) -> DataFrame:
