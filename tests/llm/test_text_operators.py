@@ -481,6 +481,18 @@ def test_substrings_equal_brute_force(spark, hot):
     assert sorted(map(tuple, got)) == brute_windows(list(enumerate(texts)))
 
 
+def test_a_common_passage_is_few_spans_of_a_document(spark):
+    """Windows of common passages are cut from the distinct spans only, so a document has a row a span and not a row a window."""
+    r = random.Random(31)
+    passage = sentence(r, 150)
+    docs = table(spark, [f"{sentence(r, 10)} {passage} {sentence(r, 10)}" for _ in range(12)])
+    rows = docs.select("doc_id", F.col("doc_id").alias("h1"), "text")
+    found = {x.doc_id: x.spans for x in substring_dedup.removed_windows(rows, hot=3).collect()}
+    assert sorted(found) == list(range(1, 12))
+    assert all(sum(bin(s.mask).count("1") for s in spans) == 138 for spans in found.values())
+    assert max(map(len, found.values())) < 138 / 2
+
+
 def test_substrings_of_odd_rows(spark, odd):
     rows = substring_dedup.dedup(odd).collect()
     assert len(rows) == odd.count()

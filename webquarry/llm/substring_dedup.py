@@ -9,8 +9,10 @@ first: the anchor of a window is the least hash among its nine runs of five word
 windows have equal anchors. Only anchors of two or more documents matter; the rest of the text
 never leaves its task. Around such an anchor each document gives a span, the run of windows
 that share it; a task keeps equal spans once, with the least id that it saw, so a passage that
-a third of all documents repeat is a row a task. Anchors of very many documents are replaced by
-the windows themselves, which spreads common phrases over all tasks. Whole copies of a
+a third of all documents repeat is a row a task. Spans of anchors of very many documents are keyed by
+themselves, which spreads common phrases over all tasks; only the distinct ones of them are cut into
+windows, each of which has a least id of its own, so a document's rows are spans and not windows
+also there. Whole copies of a
 document are found by hash before that and need no comparison. The references are
 sharded by anchor; a task builds a suffix automaton for each shard of bounded size, streams
 the shard's spans through it in the order of their ids, takes the matching statistics (the
@@ -157,8 +159,8 @@ def _spans(docs: DataFrame, window: int, also: tuple[str, ...] = (), most: int =
     """Occurrences of spans in ``docs`` (doc_id, h1, text, shared, common), and each task's distinct ones.
 
     The occurrences are (key, th, doc_id, h1, start, count), the distinct spans (key, th, first_doc,
-    span) with the least id that the task saw. ``shared``: anchors of other documents too;
-    ``common``: those of very many.
+    span, hot) with the least id that the task saw. ``shared``: anchors of other documents too;
+    ``common``: those of very many, whose spans are hot and have a hash of the span as their key.
     """
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,7 @@ def _spans(docs: DataFrame, window: int, also: tuple[str, ...] = (), most: int =
                 w = textkit.words(texts.slice(i, j - i))
                 at, anchor = _anchors(w, window)
                 anchor = textkit.signed(anchor)
-                rows: list[tuple[int, int, int, int, str, int]] = []
+                rows: list[tuple[int, int, int, int, str, bool, int]] = []
                 edges = np.searchsorted(w.doc[at], np.arange(j - i + 1))
                 for d in range(j - i):
                     here, its = at[edges[d] : edges[d + 1]], anchor[edges[d] : edges[d + 1]]
@@ -182,46 +184,49 @@ def _spans(docs: DataFrame, window: int, also: tuple[str, ...] = (), most: int =
                     run = np.flatnonzero(known & np.concatenate([[True], turn]))
                     stop = np.flatnonzero(known & np.concatenate([turn, [True]])) + 1
                     for a, b in zip(run.tolist(), stop.tolist(), strict=True):
-                        step = 1 if frequent[a] else SPAN_WINDOWS
-                        for s in range(a, b, step):
-                            e = min(b, s + step)
+                        for s in range(a, b, SPAN_WINDOWS):
+                            e = min(b, s + SPAN_WINDOWS)
                             first = int(here[s])
                             words = w.text(first, first + (e - s) + window - 1)
                             key, th = _digests(words)
-                            rows.append((key if frequent[a] else int(its[a]), th, first - int(w.first[d]), e - s, words, i + d))
+                            rows.append((key if frequent[a] else int(its[a]), th, first - int(w.first[d]), e - s, words, bool(frequent[a]), i + d))
                 if rows:
-                    key, th, start, count, text, row = zip(*rows, strict=True)
+                    key, th, start, count, text, hot, row = zip(*rows, strict=True)
                     take = pa.array(row)
-                    yield pa.record_batch({"key": pa.array(key, pa.int64()), "th": pa.array(th, pa.int64()), "doc_id": ids.take(take), "h1": h1.take(take), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32()), "span": pa.array(text, pa.string())})
+                    yield pa.record_batch({"key": pa.array(key, pa.int64()), "th": pa.array(th, pa.int64()), "doc_id": ids.take(take), "h1": h1.take(take), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32()), "span": pa.array(text, pa.string()), "hot": pa.array(hot, pa.bool_())})
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[int, str]] = {}
+        held: dict[tuple[int, int], tuple[int, str, bool]] = {}
 
         def flush() -> pa.RecordBatch:
             keys, values = list(held), list(held.values())
             held.clear()
-            return pa.record_batch({"key": pa.array([k[0] for k in keys], pa.int64()), "th": pa.array([k[1] for k in keys], pa.int64()), "first_doc": pa.array([v[0] for v in values], pa.int64()), "span": pa.array([v[1] for v in values], pa.string())})
+            return pa.record_batch({"key": pa.array([k[0] for k in keys], pa.int64()), "th": pa.array([k[1] for k in keys], pa.int64()), "first_doc": pa.array([v[0] for v in values], pa.int64()), "span": pa.array([v[1] for v in values], pa.string()), "hot": pa.array([v[2] for v in values], pa.bool_())})
 
         for batch in spans(batches):
-            for key, th, doc, span in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "doc_id", "span")), strict=True):
+            for key, th, doc, span, hot in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "doc_id", "span", "hot")), strict=True):
                 known = held.get((key, th))
                 if known is None or doc < known[0]:
-                    held[key, th] = (doc, span)
+                    held[key, th] = (doc, span, hot)
             if len(held) >= most:
                 yield flush()
         yield flush()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in spans(batches):
-            yield batch.drop_columns(["span"])
+            yield batch.drop_columns(["span", "hot"])
 
     rows = docs.select("doc_id", "h1", "text", "shared", "common", *also)
-    distinct = rows.mapInArrow(textkit.lean(combine), "key long, th long, first_doc long, span string")
+    distinct = rows.mapInArrow(textkit.lean(combine), "key long, th long, first_doc long, span string, hot boolean")
     return rows.mapInArrow(textkit.lean(places), "key long, th long, doc_id long, h1 long, start int, count int"), distinct
 
 
 def _marked(references: DataFrame, window: int) -> DataFrame:
-    """(key, th, first_doc, mask): every distinct span with its least id and the marks of its windows."""
+    """(key, th, first_doc, mask): every distinct span with its least id and the marks of its windows.
+
+    Spans that aren't hot are compared with those of their anchor. A hot one is alone under its
+    key; its windows are compared as rows, with no more of them than the distinct spans have.
+    """
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple[int, int, int, str]] = []  # spans of anchors with several
@@ -261,7 +266,43 @@ def _marked(references: DataFrame, window: int) -> DataFrame:
             close()
         yield flush()
 
-    return references.repartition("key").sortWithinPartitions("key").mapInArrow(textkit.lean(match), "key long, th long, first_doc long, mask long")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: dict[tuple[int, int], tuple[int, str]] = {}
+        rows: list[tuple[int, int, int, int, int, int]] = []
+        now = None
+
+        def close() -> None:
+            for (key, th), (doc, span) in group.items():
+                words = span.split(" ")
+                rows.extend((*_digests(" ".join(words[i : i + window])), key, th, doc, 1 << i) for i in range(len(words) - window + 1))
+            group.clear()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.record_batch({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(("w1", "w2", "key", "th", "first_doc", "bit"))})
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            batch = batch.filter(batch.column("hot"))
+            for key, th, doc, span in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "first_doc", "span")), strict=True):
+                if key != now:
+                    close()
+                    now = key
+                    if len(rows) >= 50_000:
+                        yield flush()
+                known = group.get((key, th))
+                if known is None or doc < known[0]:
+                    group[key, th] = (doc, span)
+        close()
+        yield flush()
+
+    # Both read all columns of one exchange.
+    dealt = references.repartition("key").sortWithinPartitions("key")
+    marked = dealt.mapInArrow(textkit.lean(match), "key long, th long, first_doc long, mask long")
+    rows = dealt.mapInArrow(textkit.lean(windows), "w1 long, w2 long, key long, th long, first_doc long, bit long")
+    least = rows.groupBy("w1", "w2").agg(F.min("first_doc").alias("least"), F.max("first_doc").alias("most")).where("least < most").drop("most")
+    later = rows.join(least, ["w1", "w2"]).where("first_doc > least").groupBy("key", "th").agg(F.bit_or("bit").alias("more"))
+    return marked.join(later, ["key", "th"], "left").select("key", "th", "first_doc", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0))).alias("mask"))
 
 
 def _seen_anchors(docs: DataFrame, window: int, also: tuple[str, ...] = ()) -> DataFrame:
