@@ -493,6 +493,49 @@ def test_a_common_passage_is_few_spans_of_a_document(spark):
     assert max(map(len, found.values())) < 138 / 2
 
 
+def test_hot_spans_grow_with_the_table(spark, monkeypatch):
+    """A phrase in one of 200 documents is as hot in a large table as in a small one, so windows are cut of no larger share of its spans."""
+    r = random.Random(37)
+    phrases = [sentence(r, 7) for _ in range(200)]
+    texts = [f"{sentence(r, 12)} {phrases[i % 200]} {sentence(r, 12)}" for i in range(3000)]
+    hot = []
+    marked = substring_dedup._marked
+
+    def counted(references, window):
+        hot.append(references.where("hot").count())
+        return marked(references, window)
+
+    monkeypatch.setattr(substring_dedup, "_marked", counted)
+    for n in (600, 3000):
+        substring_dedup.dedup(table(spark, texts[:n]), hot=3)
+    assert hot[1] <= 5 * hot[0] + 50
+
+
+def test_marks_of_many_spans_equal_those_of_one_automaton():
+    """A group of spans larger than a shard is dealt to several, and its windows have the marks of one automaton over all."""
+    r = random.Random(41)
+    phrase, passage = sentence(r, 6).split(), sentence(r, 21).split()
+    spans = [(r.randint(0, 90), " ".join(r.choice([["a"], [], phrase]) + r.choice(["b c", "d e f", "g"]).split() + phrase + r.choices(["h", "i", "j"], k=r.randint(8, 30)))) for _ in range(200)]
+    spans += [(k % 7, " ".join(passage[k % 5 : 14 + k % 8])) for k in range(40)] + [(5, "the " * 40 + "the"), (9, "the " * 20 + "the"), (9, "the " * 59 + "the")]
+    spans = [(doc, span) for doc, span in spans if span.count(" ") >= 12]
+    whole = substring_dedup._marks(spans, 13)
+    assert any(whole)
+    for most in (0, 50, 500, 5000):
+        assert substring_dedup._bounded_marks(spans, 13, most=most) == whole
+
+
+def test_substrings_of_a_large_group_equal_brute_force(spark):
+    """A phrase of more words of context than a shard may have, in documents that aren't enough to make it hot."""
+    r = random.Random(43)
+    phrase = sentence(r, 6)
+    texts = [f"{r.choice('abc')} {sentence(r, 9)} {phrase} {sentence(r, 9)}" for _ in range(5000)]
+    texts += [" ".join(text.split()[k % 3 : 17 + k % 9]) for k, text in enumerate(texts[:60])]
+    docs = table(spark, texts)
+    kept = substring_dedup.dedup(docs, hot=10_000)
+    got = kept.select("doc_id", "n_words", "n_removed", F.sha2(F.trim(F.regexp_replace(F.coalesce("kept_text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), 256).alias("s")).collect()
+    assert sorted(map(tuple, got)) == brute_windows(list(enumerate(texts)))
+
+
 def test_substrings_of_odd_rows(spark, odd):
     rows = substring_dedup.dedup(odd).collect()
     assert len(rows) == odd.count()

@@ -9,15 +9,19 @@ first: the anchor of a window is the least hash among its nine runs of five word
 windows have equal anchors. Only anchors of two or more documents matter; the rest of the text
 never leaves its task. Around such an anchor each document gives a span, the run of windows
 that share it; a task keeps equal spans once, with the least id that it saw, so a passage that
-a third of all documents repeat is a row a task. Spans of anchors of very many documents are keyed by
+a third of all documents repeat is a row a task. Spans of anchors that more than a hundredth of all
+documents have are keyed by
 themselves, which spreads common phrases over all tasks; only the distinct ones of them are cut into
 windows, each of which has a least id of its own, so a document's rows are spans and not windows
-also there. Whole copies of a
+also there. As the limit is a share of the table, the same phrases are cut in a table of any size, and
+their rows grow with the table; a fixed number of documents would be passed by more and more
+phrases. Whole copies of a
 document are found by hash before that and need no comparison. The references are
 sharded by anchor; a task builds a suffix automaton for each shard of bounded size, streams
 the shard's spans through it in the order of their ids, takes the matching statistics (the
 longest suffix known from smaller ids at each word) and marks the windows where they reach
-13 words. The marks go back to the documents by key.
+13 words. An anchor with more words than a shard may have is dealt to several by runs of nine words,
+and then by whole windows. The marks go back to the documents by key.
 
 Defined results: null texts and texts of fewer than 13 words lose nothing; repeated windows
 inside one document are kept; rows with one doc_id are one document for the comparison, and
@@ -29,6 +33,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +46,11 @@ from webquarry.llm.shared import text_key
 
 WINDOW = 13
 GRAM = 5
+#: An anchor is hot in more documents than this and than a share of all; beyond a last number it is hot
+#: in any table, as a task holds the spans of an anchor that isn't.
 HOT = 500
+HOT_SHARE = 100
+HOT_LAST = 200_000
 NO_ID = -(1 << 63)
 #: Tasks that a large group of whole copies is dealt to.
 SALTS = 16
@@ -150,6 +159,50 @@ def _marks(shard: list[tuple[int, str]], window: int) -> list[int]:
     return out
 
 
+def _bounded_marks(spans: list[tuple[int, str]], window: int, gram: int = GRAM, most: int = SHARD_WORDS) -> list[int]:
+    """``_marks`` of any number of spans, by automata of about ``most`` words.
+
+    Equal windows have the same least run of ``gram`` words, so windows meet in the shard of that run.
+    Runs that are in too many words get longer, up to the window, of which an automaton holds one.
+    """
+    if gram >= window or sum(span.count(" ") + 1 for _, span in spans) <= most:
+        return _marks(spans, window)
+    gram = min(gram + 4, window)
+    parts: dict[int, list[tuple[int, int, int, str]]] = defaultdict(list)
+    for i, (doc, span) in enumerate(spans):
+        words = span.split(" ")
+        runs = [hash(" ".join(words[k : k + gram])) for k in range(len(words) - gram + 1)]
+        least = [min(runs[k : k + window - gram + 1]) for k in range(len(words) - window + 1)]
+        a = 0
+        for b in range(1, len(least) + 1):
+            if b == len(least) or least[b] != least[a]:
+                parts[least[a]].append((i, a, doc, " ".join(words[a : b - 1 + window])))
+                a = b
+    out = [0] * len(spans)
+    shard: list[tuple[int, int, int, str]] = []
+
+    def close() -> None:
+        marks = _bounded_marks([(doc, span) for _, _, doc, span in shard], window, gram, most)
+        for (i, a, _, _), mark in zip(shard, marks, strict=True):
+            out[i] |= mark << a
+        shard.clear()
+
+    size = 0
+    for part in parts.values():
+        if len(part) == 1:
+            continue
+        more = sum(span.count(" ") + 1 for _, _, _, span in part)
+        # A part that is too large is a shard of its own, and is split further.
+        if shard and size + more > most:
+            close()
+            size = 0
+        shard.extend(part)
+        size += more
+    if shard:
+        close()
+    return out
+
+
 def _digests(words: str) -> tuple[int, int]:
     both = hashlib.blake2b(words.encode(), digest_size=16).digest()
     return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
@@ -239,8 +292,13 @@ def _marked(references: DataFrame, window: int) -> DataFrame:
                 ((th, (doc, _)),) = group.items()
                 done.append((now, th, doc, 0))
                 return 0
+            size = sum(span.count(" ") + 1 for _, span in group.values())
+            if size > SHARD_WORDS:
+                marks = _bounded_marks(list(group.values()), window)
+                done.extend((now, th, doc, mark) for (th, (doc, _)), mark in zip(group.items(), marks, strict=True))
+                return 0
             shard.extend((now, th, doc, span) for th, (doc, span) in group.items())
-            return sum(span.count(" ") + 1 for _, span in group.values())
+            return size
 
         def flush() -> pa.RecordBatch:
             marks = _marks([(x[2], x[3]) for x in shard], window)
@@ -356,6 +414,7 @@ def _covered(n: int, starts: list[int], masks: list[int], window: int) -> np.nda
 def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carried: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text and its ``carried`` columns.
 
+    The rows are counted at once. ``hot``: the least number of documents of a hot anchor in a small table.
     ``kept_text`` is the input text where nothing goes, else the kept words joined by one space.
     """
 
@@ -392,6 +451,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carried: tuple[
     first = first.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     copies = salted.join(first, ["h1", "h2", "salt"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("copies"))
     rows = keyed.join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("h1")), F.lit(False))).drop("copies")
+    hot = max(hot, min(docs.count() // HOT_SHARE, HOT_LAST))
     found = removed_windows(rows.where("NOT copy"), window, hot, ("own_id", *carried))
     kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
     kept = rows.join(found, "doc_id", "left").select("own_id", "h1", "text", "copy", "spans", *carried)
