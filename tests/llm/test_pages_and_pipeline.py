@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,53 @@ def test_stages_on_null_repeated_and_shared_ids(spark, sf_dir):
     mixed = [(8, "12 34"), (8, lone), (None, "12 34"), (None, lone)]
     got = corpus_pipeline.language(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in mixed], schema), sf_dir).collect()
     assert order((x.doc_id, x.text) for x in got) == order([(8, lone), (None, lone)])
+
+
+def test_tasks_of_the_pipeline_hold_batches_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    """30 MB of texts in one task: no worker is sent more than a part of them, and no second set of workers starts."""
+    from webquarry.llm import textkit
+
+    r, lean = random.Random(9), textkit.lean
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows = [(i, " ".join(r.choices(words, k=1400)), "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def weighed(work):
+        def sized(batches):
+            for batch in batches:
+                if batch.nbytes > 8_000_000:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return lean(lambda batches: work(sized(batches)))
+
+    def refused(*_, **__):
+        raise ValueError("rows of the driver")
+
+    monkeypatch.setattr(textkit, "lean", weighed)
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    for name in ("language", "near_duplicates", "substrings", "tokens"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).count() == 3000, name
+
+
+def test_a_session_may_say_how_large_batches_are(spark):
+    from webquarry.llm import textkit
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.num_rows]})
+
+    rows = spark.range(4000).select(F.repeat(F.lit("ab "), 1000).alias("text")).coalesce(1)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "64m")
+        assert [r.n for r in rows.transform(textkit.mapped, sizes, "n long").collect()] == [4000]
+        spark.conf.unset(name)
+        parts = [r.n for r in rows.transform(textkit.mapped, sizes, "n long").collect()]
+        assert sum(parts) == 4000 and max(parts) < 1500
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -272,7 +272,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             if done < len(batch):
                 yield rows(batch.slice(done), ids, done)
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(textkit.lean(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").transform(textkit.mapped, run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -284,7 +284,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
             data = [bpe.decode(ids.as_py() or []) for ids in batch.column("ids")]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "data": pa.array(data, pa.binary())})
 
-    return tokens.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "ids").mapInArrow(textkit.lean(run), "doc_id long, data binary")
+    return tokens.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "ids").transform(textkit.mapped, run, "doc_id long, data binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -307,7 +307,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                         count[row] += ids.count(b" ") + 1
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(count), "ids_sha256": pa.array([x.hexdigest() for x in ids_sha], pa.string()), "decoded_sha256": pa.array([x.hexdigest() for x in decoded_sha], pa.string())})
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(textkit.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").transform(textkit.mapped, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

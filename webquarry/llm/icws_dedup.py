@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.record_batch({"bucket": at, "df": total[at]})
 
-    return docs.select("text").mapInArrow(textkit.lean(count), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    return docs.select("text").transform(textkit.mapped, count, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
@@ -195,7 +195,7 @@ def _signed_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 take = pa.array(i + at)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").take(take), "h1": batch.column("h1").take(take), "h2": batch.column("h2").take(take), "weight": pa.array(total[at]), "keys": lists})
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *text_key()).mapInArrow(textkit.lean(sign), "doc_id long, h1 long, h2 long, weight double, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", *text_key()).transform(textkit.mapped, sign, "doc_id long, h1 long, h2 long, weight double, keys array<long>")
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     b = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     a = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).join(centres, "a", "left")
     a = a.select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    return split.join(b, "b").join(a, ["a", "part"]).select("a", "b", "ta", "tb").mapInArrow(textkit.lean(verify), "a long, b long, sim double")
+    return split.join(b, "b").join(a, ["a", "part"]).select("a", "b", "ta", "tb").transform(textkit.mapped, verify, "a long, b long, sim double")
 
 
 def rare_first_prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -259,7 +259,7 @@ def rare_first_prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) ->
         at = np.flatnonzero(total)
         yield pa.record_batch({"bucket": at, "n": total[at]})
 
-    found = texts.select("text").mapInArrow(textkit.lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("text").transform(textkit.mapped, count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(1 << bits, np.int64)
     often[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     order_of = sc.broadcast(often)
@@ -279,7 +279,7 @@ def rare_first_prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) ->
                 keep = before - start[doc] <= (1 - threshold) * total[doc] + 1e-6
                 yield pa.record_batch({"rep": rep[i:j][doc[keep]], "h": textkit.signed(h[keep]), "before": (before - start[doc])[keep]})
 
-    return texts.select("rep", "text").mapInArrow(textkit.lean(prefix), "rep long, h long, before double")
+    return texts.select("rep", "text").transform(textkit.mapped, prefix, "rep long, h long, before double")
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -72,9 +72,10 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     sizes = {r["declared"]: r["chars"] for r in sizes.orderBy(F.desc("n"), "declared").limit(MOST_LANGS).collect()}
     langs = sorted(sizes)
     # Rows whose hash is at most this: about TRAIN_CHARS of each language, all of a rare one.
-    limits = [(lang, min((1 << 63) - 1, round((1 << 64) * min(1.0, TRAIN_CHARS / chars)) - (1 << 63))) for lang, chars in sizes.items()]
-    limits = F.broadcast(rows.sparkSession.createDataFrame(limits, "declared string, limit long"))
-    chosen = labelled.withColumn("h", F.xxhash64("text")).join(limits, "declared").where("h <= limit")
+    limits = {lang: min((1 << 63) - 1, round((1 << 64) * min(1.0, TRAIN_CHARS / chars)) - (1 << 63)) for lang, chars in sizes.items()}
+    # A literal: a table of the driver's rows would start a second set of Python workers on every executor.
+    limit = F.create_map(*[x for lang, most in limits.items() for x in (F.lit(lang), F.lit(most).cast("long"))]) if limits else F.create_map().cast("map<string,bigint>")
+    chosen = labelled.withColumn("h", F.xxhash64("text")).where(F.col("h") <= F.element_at(limit, F.col("declared")))
     sample = chosen.select("declared", "text", "h", F.xxhash64(F.lit(1), "text").alias("h2")).groupBy("declared", "h", "h2").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pa.record_batch({"lang": pa.array(np.full(len(at), langs.index(lang), np.int32)), "bucket": pa.array(at.astype(np.int32)), "c": pa.array(total[at])})
 
     # Of bounded size: at most a row for each bucket and class.
-    found = sample.select("declared", "text").mapInArrow(textkit.lean(count), "lang int, bucket int, c double").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    found = sample.select("declared", "text").transform(textkit.mapped, count, "lang int, bucket int, c double").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
     counts = np.full((1 << BUCKET_BITS, max(1, len(langs))), 0.1)
     if langs:
         counts[found.column("bucket").to_numpy(), found.column("lang").to_numpy()] += found.column("c").to_numpy()
@@ -121,7 +122,7 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
                 yield pa.record_batch({**{c: part.column(c) for c in ("id", "declared", "host", "suffix")}, "lettered": pa.array(lettered), "evidence": lists})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "declared", "host", "suffix", "text").mapInArrow(textkit.lean(score), f"id {kind}, declared string, host string, suffix string, lettered boolean, evidence array<double>")
+    return rows.select("id", "declared", "host", "suffix", "text").transform(textkit.mapped, score, f"id {kind}, declared string, host string, suffix string, lettered boolean, evidence array<double>")
 
 
 def host_priors(masses: DataFrame, n: int) -> DataFrame:

@@ -270,8 +270,8 @@ def _spans(docs: DataFrame, window: int, also: tuple[str, ...] = (), most: int =
             yield batch.drop_columns(["span", "hot"])
 
     rows = docs.select("doc_id", "h1", "text", "shared", "common", *also)
-    distinct = rows.mapInArrow(textkit.lean(combine), "key long, th long, first_doc long, span string, hot boolean")
-    return rows.mapInArrow(textkit.lean(places), "key long, th long, doc_id long, h1 long, start int, count int"), distinct
+    distinct = rows.transform(textkit.mapped, combine, "key long, th long, first_doc long, span string, hot boolean")
+    return rows.transform(textkit.mapped, places, "key long, th long, doc_id long, h1 long, start int, count int"), distinct
 
 
 def _marked(references: DataFrame, window: int) -> DataFrame:
@@ -356,8 +356,8 @@ def _marked(references: DataFrame, window: int) -> DataFrame:
 
     # Both read all columns of one exchange.
     dealt = references.repartition("key").sortWithinPartitions("key")
-    marked = dealt.mapInArrow(textkit.lean(match), "key long, th long, first_doc long, mask long")
-    rows = dealt.mapInArrow(textkit.lean(windows), "w1 long, w2 long, key long, th long, first_doc long, bit long")
+    marked = dealt.transform(textkit.mapped, match, "key long, th long, first_doc long, mask long")
+    rows = dealt.transform(textkit.mapped, windows, "w1 long, w2 long, key long, th long, first_doc long, bit long")
     least = rows.groupBy("w1", "w2").agg(F.min("first_doc").alias("least"), F.max("first_doc").alias("most")).where("least < most").drop("most")
     later = rows.join(least, ["w1", "w2"]).where("first_doc > least").groupBy("key", "th").agg(F.bit_or("bit").alias("more"))
     return marked.join(later, ["key", "th"], "left").select("key", "th", "first_doc", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0))).alias("mask"))
@@ -380,7 +380,7 @@ def _seen_anchors(docs: DataFrame, window: int, also: tuple[str, ...] = ()) -> D
                 _, once = np.unique(textkit.mix(textkit.mix(anchor) + doc.astype(np.uint64)), return_index=True)
                 yield pa.record_batch({"anchor": textkit.signed(anchor[once]), "doc_id": ids[i:j][doc[once]]})
 
-    return docs.select("doc_id", "h1", "text", *also).mapInArrow(textkit.lean(anchors), "anchor long, doc_id long")
+    return docs.select("doc_id", "h1", "text", *also).transform(textkit.mapped, anchors, "anchor long, doc_id long")
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT, also: tuple[str, ...] = ()) -> DataFrame:
@@ -455,7 +455,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, carried: tuple[
     found = removed_windows(rows.where("NOT copy"), window, hot, ("own_id", *carried))
     kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
     kept = rows.join(found, "doc_id", "left").select("own_id", "h1", "text", "copy", "spans", *carried)
-    return kept.mapInArrow(textkit.lean(keep), f"doc_id long, n_words long, n_removed long, kept_text string{kind}")
+    return kept.transform(textkit.mapped, keep, f"doc_id long, n_words long, n_removed long, kept_text string{kind}")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 19
+#: Bytes of rows that a worker is sent at once. Spark's own limit is a number of rows, however long their texts
+#: are; executor and worker each hold such a batch, the executor in buffers of up to twice its size.
+BATCH_BYTES = "4m"
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -40,6 +44,14 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def mapped(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``rows.mapInArrow`` of a ``lean`` function, in batches of BATCH_BYTES if the session doesn't say how large."""
+    conf, most = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(most, None) is None:
+        conf.set(most, BATCH_BYTES)
+    return rows.mapInArrow(lean(work), schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit integers (a bijection)."""
     x = x ^ (x >> np.uint64(30))
